@@ -236,3 +236,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     alone = F.col("component_id").isNull() | (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of docs but those of documents that another one of their class stands for; all columns kept."""
+    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontam, minhash, packing, suffix, tokens
+from . import chat, decontam, lm, minhash, packing, pii, quality_rules, quality_zstd, suffix, tokens
 from .common import table
 
 
@@ -15,6 +14,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_crf_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -27,6 +30,26 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op5_recurrent_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.language_scores(table(spark, sf_dir, "documents"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.formatted_conversations(turns.unionByName(more), _tokenizer("byte_bpe_50k.json")))
+
+
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_zstd.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -36,7 +59,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "item_id", "n_shared", "n_item")
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op3_token_counts, op4_best_fit_packing, op9_suffix_array_dedup, op10_benchmark_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_crf_personal_data,
+        op2_minhash_near_dedup,
+        op3_token_counts,
+        op4_best_fit_packing,
+        op5_recurrent_lm_scores,
+        op6_chat_formatting,
+        op7_compression_quality,
+        op8_quality_rules,
+        op9_suffix_array_dedup,
+        op10_benchmark_decontamination,
+    )
+}
 
 _WORDS = """regexp_extract_all(translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0b\\f\\r]+')"""
 _SHINGLES = """
