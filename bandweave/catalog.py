@@ -1,4 +1,8 @@
 """The registered queries of the series, vector and graph operators, and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from .queries import series
+
+QUERIES: dict = {**series.QUERIES}
+ORACLES: dict = {**series.ORACLES}
