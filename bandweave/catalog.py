@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import series
+from .queries import series, vectors
 
-QUERIES: dict = {**series.QUERIES}
-ORACLES: dict = {**series.ORACLES}
+QUERIES: dict = {**series.QUERIES, **vectors.QUERIES}
+ORACLES: dict = {**series.ORACLES, **vectors.ORACLES}

@@ -23,7 +23,7 @@ def zipped(tables: dict[str, DataFrame]) -> DataFrame:
 
 def line(object_id: Column, score: Column) -> Column:
     """'& id & score' with the score at two decimals, half to even."""
-    return F.concat(F.lit("& "), object_id.cast("string"), F.lit(" & "), F.format_string("%.2f", F.bround(score, 2)))
+    return F.concat(F.lit("& "), object_id.cast("string"), F.lit(" & "), F.format_string("%.2f", F.bround(score, 2).cast("double")))
 
 
 def accuracy_grid(results: DataFrame) -> DataFrame:

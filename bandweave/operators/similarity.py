@@ -8,6 +8,7 @@ Scores are rounded to nine decimals before ranking; ties go to the smaller id.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,6 +80,41 @@ def matrix(objects: DataFrame, measure: str, kind: str = "long") -> DataFrame:
     return block_pairs(objects.select("id", "vec"), objects.select("id", "vec"), "id", every, f"i {kind}, j {kind}, score double")
 
 
+def whitened(objects: DataFrame) -> DataFrame:
+    """Vectors (id, vec) mapped so that their euclidean distance is the Mahalanobis distance under the vectors' own covariance.
+
+    The covariance, dimension x dimension numbers, is the only thing the driver holds. Directions without variance are left
+    out (pseudo-inverse); with fewer than two vectors the vectors stay as they are.
+    """
+
+    def partial(batches):
+        for pdf in batches:
+            x = np.array(pdf["vec"].tolist(), np.float64).reshape(len(pdf), -1)
+            if len(x):
+                yield pd.DataFrame({"n": [len(x)], "total": [x.sum(0)], "products": [(x.T @ x).ravel()]})
+
+    rows = objects.select("vec").mapInPandas(partial, "n long, total array<double>, products array<double>")
+    # sums of the partitions, element by element, so that one row comes back
+    summed = rows.select("n", F.posexplode(F.concat("total", "products")).alias("k", "x")).groupBy("k").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).orderBy("k").collect()
+    n = summed[0].n if summed else 0
+    if n < 2:
+        return objects.select("id", "vec")
+    values = np.array([r.x for r in summed])
+    width = int((np.sqrt(1 + 4 * len(values)) - 1) / 2)
+    mean = values[:width] / n
+    covariance = (values[width:].reshape(width, width) - n * np.outer(mean, mean)) / (n - 1)
+    size, axes = np.linalg.eigh(covariance)
+    keep = size > 1e-12 * size.max()
+    change = axes[:, keep] / np.sqrt(size[keep])
+
+    def apply(batches):
+        for pdf in batches:
+            x = np.array(pdf["vec"].tolist(), np.float64).reshape(len(pdf), -1)
+            yield pd.DataFrame({"id": pdf["id"], "vec": list((x - mean) @ change) if len(x) else []})
+
+    return objects.select("id", "vec").mapInPandas(apply, f"id {dict(objects.dtypes)['id']}, vec array<double>")
+
+
 def column_scaled(sim: DataFrame, distance: bool = False) -> DataFrame:
     """Scores divided by their column's largest; for distances, 1 minus that. Not symmetric, by definition."""
     most = F.max("score").over(W.partitionBy("j"))

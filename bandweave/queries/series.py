@@ -23,6 +23,11 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
+def kept(c: str) -> Column:
+    """A score that its operator has rounded already; rounding it once more could meet exact halves."""
+    return (F.col(c) + F.lit(0.0)).alias(c)
+
+
 def long(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
@@ -63,7 +68,7 @@ def _sql(body: str, more: str = "") -> str:
     return f"WITH {CTES.strip()}{more}\n{body}"
 
 
-_TOP = "SELECT query_id, object_id, round(score, 6) + 0.0 AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {0}, object_id) AS rank FROM scored) WHERE rank <= 10"
+_TOP = "SELECT query_id, object_id, score + 0.0 AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score {0}, object_id) AS rank FROM scored) WHERE rank <= 10"
 
 _WARP = """list_reduce(list_prepend(list_prepend(0.0::DOUBLE, list_transform(range(1, len(b) + 1), lambda j: list_sum(list_transform(b[1:j], lambda v: abs(v))))), list_transform(a, lambda v: [v])),
   lambda prev, x: list_reduce(list_prepend([prev[1] + abs(x[1])], list_transform(range(1, len(b) + 1), lambda j: [j::DOUBLE])),
@@ -192,7 +197,7 @@ def _asked(df: DataFrame) -> DataFrame:
 
 def _topped(scored: DataFrame, up: bool) -> DataFrame:
     out = similarity.ranked(scored.withColumn("score", F.round("score", 9)), 10, up)
-    return out.select("query_id", "object_id", r6("score").alias("score"), long("rank").alias("rank"))
+    return out.select("query_id", "object_id", kept("score"), long("rank").alias("rank"))
 
 
 DIMS = ["component", "sensor", "word"]
@@ -228,7 +233,7 @@ def _entropy_sequences(spark, d) -> DataFrame:
 def _sequence_topk(spark, d, measure):
     seq = _entropy_sequences(spark, d)
     out = sequence.sequence_top_k(_asked(seq), seq, measure)
-    return out.select("query_id", "object_id", r6("score").alias("score"), long("rank").alias("rank"))
+    return out.select("query_id", "object_id", kept("score"), long("rank").alias("rank"))
 
 
 def edit_topk(spark, d):
@@ -277,7 +282,7 @@ def prob_weights_feedback(spark, d):
 
 def prob_topk(spark, d):
     w, _, n = _weights(spark, d)
-    return fb.best(fb.scores(w, fb.feedback_weights(w, _told(w), _query(w), n)), 10).select("object_id", r6("score").alias("score"))
+    return fb.best(fb.scores(w, fb.feedback_weights(w, _told(w), _query(w), n)), 10).select("object_id", kept("score"))
 
 
 def rocchio(spark, d):
@@ -295,7 +300,7 @@ def relative_importance(spark, d):
     w, vocab, _ = _weights(spark, d)
     before = _query(w)
     out = fb.relative_importance(before, fb.rocchio(before, w, _told(w)), vocab)
-    return out.select("level", "component", "sensor", long("dim").alias("dim"), r6("change").alias("change"), F.round("scaled", 4).alias("scaled"))
+    return out.select("level", "component", "sensor", long("dim").alias("dim"), kept("change"), F.round("scaled", 4).alias("scaled"))
 
 
 def feedback_curve(spark, d):
@@ -412,13 +417,13 @@ scored AS (SELECT a.object_id AS query_id, b.object_id, round(sum(1 - coalesce(d
     "dtw_matrix_scaled": _sequence_matrix_sql(_WARP),
     "prob_weights_init": _sql("SELECT dim, round(ln(0.5 * (1 - u) / (u * 0.5)), 6) + 0.0 AS q FROM (SELECT dim, CASE WHEN n / nn >= 1 THEN 0.99 ELSE n / nn END::DOUBLE AS u FROM held CROSS JOIN total)", _FEEDBACK),
     "prob_weights_feedback": _sql("SELECT dim, round(q, 6) + 0.0 AS q FROM new", _FEEDBACK + _rewrite_sql("new", "query", "told")),
-    "prob_topk": _sql("SELECT object_id, round(score, 6) + 0.0 AS score FROM (SELECT object_id, round(sum(w * q), 9) AS score FROM weights JOIN new USING (dim) GROUP BY object_id) ORDER BY score DESC, object_id LIMIT 10", _FEEDBACK + _rewrite_sql("new", "query", "told")),
+    "prob_topk": _sql("SELECT object_id, score + 0.0 AS score FROM (SELECT object_id, round(sum(w * q), 9) AS score FROM weights JOIN new USING (dim) GROUP BY object_id) ORDER BY score DESC, object_id LIMIT 10", _FEEDBACK + _rewrite_sql("new", "query", "told")),
     "rocchio": _sql("SELECT dim, round(q, 6) + 0.0 AS q FROM after", _FEEDBACK + _ROCCHIO),
     "query_change": _sql(
         "SELECT count(*) AS dims, count(*) FILTER (round(coalesce(query.q, 0), 9) <> round(coalesce(after.q, 0), 9)) AS changed FROM query FULL JOIN after USING (dim)", _FEEDBACK + _ROCCHIO
     ),
     "relative_importance": _sql(
-        """SELECT level, component, sensor, dim, round(change, 6) + 0.0 AS change, round(coalesce((change - min(change) OVER (PARTITION BY level)) / nullif(max(change) OVER (PARTITION BY level) - min(change) OVER (PARTITION BY level), 0), 0), 4) AS scaled
+        """SELECT level, component, sensor, dim, change + 0.0 AS change, round(coalesce((change - min(change) OVER (PARTITION BY level)) / nullif(max(change) OVER (PARTITION BY level) - min(change) OVER (PARTITION BY level), 0), 0), 4) AS scaled
 FROM (SELECT CASE WHEN component IS NOT NULL THEN 'component' WHEN sensor IS NOT NULL THEN 'sensor' ELSE 'word' END AS level, component, sensor, dim, round(sum(gap), 9) AS change
   FROM (SELECT 'E' AS component, sensor, dim, coalesce(query.q, 0) - coalesce(after.q, 0) AS gap FROM query FULL JOIN after USING (dim) JOIN vocab USING (dim)) GROUP BY GROUPING SETS ((component), (sensor), (dim)))""",
         _FEEDBACK + _ROCCHIO,
