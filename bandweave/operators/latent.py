@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from enum import Enum
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
@@ -28,7 +29,7 @@ def latent(objects: DataFrame, technique: Technique, k: int = 4, seed: int = 3,
     """(latent, components): id and vec of length k; and topic (from 0), dim, score of each component.
 
     Signs of PCA and SVD components are arbitrary. NMF and LDA need vectors without negative numbers. k must not be larger
-    than the dimension. NMF reads ids as integers.
+    than the dimension.
     """
     return {Technique.PCA: _pca, Technique.SVD: _svd, Technique.NMF: _nmf, Technique.LDA: _lda}[technique](objects, k, seed, iterations)
 
@@ -57,14 +58,46 @@ def _svd(objects: DataFrame, k: int, seed: int, iterations: int):
     return _projected(objects, axes), _components(objects, axes)
 
 
+def _nonnegative(cross: np.ndarray, gram: np.ndarray, start: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Rows w >= 0 that minimise |x - w h|, given x h' (cross) and h h' (gram), by coordinate descent over all rows at once."""
+    w = start.copy()
+    for _ in range(rounds):
+        for r in np.flatnonzero(np.diag(gram) > 1e-12):
+            w[:, r] = np.maximum(0.0, w[:, r] + (cross[:, r] - w @ gram[:, r]) / gram[r, r])
+    return w
+
+
 def _nmf(objects: DataFrame, k: int, seed: int, iterations: int):
-    # zeros are data here, so every cell is a rating
-    cells = objects.select(F.col("id").cast("int").alias("user"), F.posexplode("vec").alias("item", "rating"))
-    model = ALS(rank=k, maxIter=iterations, regParam=1e-6, nonnegative=True, implicitPrefs=False, seed=seed, userCol="user", itemCol="item", ratingCol="rating").fit(cells)
-    double = lambda c: F.transform(c, lambda x: x.cast("double"))
-    kind = dict(objects.dtypes)["id"]
-    held = model.userFactors.select(F.col("id").cast(kind).alias("id"), double("features").alias("vec"))
-    return held, model.itemFactors.select(F.col("id").alias("dim"), F.posexplode(double("features")).alias("topic", "score")).select("topic", "dim", "score")
+    """Alternating non-negative least squares. Rows of the left factor are solved where the vectors lie, from the right factor
+    alone; each round sends back sums of k x dimension and k x k numbers."""
+    width = objects.select(F.max(F.size("vec"))).first()[0] or 0
+    h = np.random.default_rng(seed).uniform(0.1, 1.0, (k, width))
+
+    def solved(pdf: pd.DataFrame, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.array(pdf["vec"].tolist(), np.float64).reshape(len(pdf), -1)
+        return x, _nonnegative(x @ h.T, h @ h.T, np.full((len(x), len(h)), 0.1))
+
+    def sums(h: np.ndarray):
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    x, w = solved(pdf, h)
+                    yield pd.DataFrame({"v": [np.concatenate([(w.T @ x).ravel(), (w.T @ w).ravel()])]})
+
+        parts = objects.select("vec").mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("p", "x"))
+        return [r.x for r in parts.groupBy("p").agg(F.sum("x").alias("x")).orderBy("p").collect()]
+
+    for _ in range(iterations if width else 0):
+        got = np.array(sums(h))
+        cross, gram = got[: k * width].reshape(k, width), got[k * width :].reshape(k, k)
+        h = _nonnegative(cross.T, gram, h.T).T
+
+    def apply(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "vec": list(solved(pdf, h)[1]) if len(pdf) else []})
+
+    held = objects.select("id", "vec").mapInPandas(apply, f"id {dict(objects.dtypes)['id']}, vec array<double>")
+    return held, _components(objects, h.tolist())
 
 
 def _lda(objects: DataFrame, k: int, seed: int, iterations: int):
