@@ -122,5 +122,6 @@ def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_good")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    trusted = texts.join(good, F.col("_id") == F.col("_good"), "left_semi")
+    # labels grow with the documents, so they are never broadcast, at no size
+    trusted = texts.join(good.hint("merge"), F.col("_id") == F.col("_good"), "left_semi")
     return scored(docs, log_ratios(texts, trusted), threshold)
