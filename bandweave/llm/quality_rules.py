@@ -87,9 +87,10 @@ def _repeated_words(docs: DataFrame) -> DataFrame:
 def scored(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """All columns of docs but those named here, and the measures of rules() of each row's text."""
     measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept"]
-    docs = docs.drop(*[m for m in measures if m in docs.columns])
-    kept = docs.columns
-    docs = _repeated_words(_with_words(docs.withColumn("_text", F.col("text")).withColumn("text", F.coalesce("text", F.lit("")))))
+    # the rows travel as one column, so no name of theirs can meet one used here
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in measures])
+    docs = docs.select(row.alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = _repeated_words(_with_words(docs))
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     docs = docs.withColumn("_tails", F.transform("_words", _tail))
     pairs = F.zip_with("_tails", _next("_tails"), lambda a, b: F.get(table, _pairs(a, b)))
@@ -105,9 +106,8 @@ def scored(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -
         F.col("n_repeat_words"),
         F.when(F.size("_words") > 0, total / (F.size("_words") * 2)).otherwise(0.0).alias("score"),
     )
-    columns = [F.col("_text").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept]
     # through a generator of one row, since a later filter on a measure is not pushed below it, where it would compute it twice
-    docs = docs.withColumn("_lines", lines).select(*columns, F.inline_outer(F.array(measured)))
+    docs = docs.withColumn("_lines", lines).select("_row.*", F.inline_outer(F.array(measured)))
     failed: Column = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEATED_PERCENT)
     return docs.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
