@@ -4,8 +4,8 @@ A whole conversation is rendered by the template and encoded once, with the offs
 texts are sorted, so the tokens that touch each span are found by binary search on the offsets. A token that also holds
 characters of a mark is cut at the span: the loss mask is kept in characters as well as in tokens.
 
-Template: each turn is <|role|>NEWLINE text <|end|> NEWLINE. Inside roles and texts, a backslash becomes two and "<|" becomes
-"<\\|", so no text can hold a mark, and reading back is exact.
+Template: each turn is <|role|>NEWLINE text <|end|> NEWLINE. Inside texts a backslash becomes two and "<|" becomes "<\\|"; inside
+roles each "|" gets the backslash. So no text can hold a mark, and reading back is exact.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from .common import small_batches
 
 LEARNT = "assistant"
 _ESCAPED = re.compile(r"\\(\\|\|)")
-_TURN = re.compile(r"<\|((?:[^\\|]|\\.|\|(?!>\n))*)\|>\n((?:[^\\<]|\\.|<(?!\|))*)<\|end\|>\n", re.S)
+_TURN = re.compile(r"<\|((?:[^\\|]|\\.)*)\|>\n((?:[^\\<]|\\.|<(?!\|))*)<\|end\|>\n", re.S)
 
 
 def escape(text: str) -> str:
@@ -34,7 +34,7 @@ def unescape(text: str) -> str:
 
 
 def _escape_role(role: str) -> str:
-    return escape(role).replace("|>", "\\|>")
+    return role.replace("\\", "\\\\").replace("|", "\\|")
 
 
 def render(turns: list[tuple[str, str]], learnt: str = LEARNT) -> tuple[str, list[tuple[int, int]]]:

@@ -128,5 +128,5 @@ def contained_items(docs: DataFrame, items: DataFrame, block: int = ITEMS) -> Da
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that contain no item, all columns kept."""
-    bad = contained_items(docs, items).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    bad = contained_items(docs, items).select("doc_id").distinct().alias("bad")
+    return docs.alias("docs").join(bad, F.col("docs.doc_id") == F.col("bad.doc_id"), "left_anti")
