@@ -1,14 +1,14 @@
 """A compression classifier: two zstandard dictionaries, one of good and one of bad labelled texts.
 
-A text is cut into chunks; each is compressed with either dictionary. The difference of the two sizes, divided by their
-sum, is a calibrated score after a logistic fit of one slope and one intercept. Dictionaries are trained on one half of the
-labelled sample, the calibration is fitted on the other half, so it sees the sizes of texts the dictionaries don't hold.
+A text is cut into chunks; each is compressed with either dictionary. The difference of the two sizes for each byte of the
+text becomes a score by a logistic calibration, which also sees how far the text can be compressed at all (repetitive texts
+shrink with any dictionary, and their differences with them). Dictionaries are trained on one half of the labelled sample,
+the calibration is fitted on the other half, so it sees the sizes of texts that the dictionaries don't hold; its intercept is
+moved from the sample's class shares to those of all training labels.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -27,7 +27,7 @@ def _chunks(text: bytes) -> list[bytes]:
 
 
 class Sizes:
-    """The normalised difference of the compressed sizes of a text."""
+    """For a text, the difference of its two compressed sizes and their mean, both for each byte of the text."""
 
     def __init__(self, good: bytes, bad: bytes):
         self.compressors = []
@@ -36,9 +36,11 @@ class Sizes:
             held.precompute_compress(level=LEVEL)
             self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False))
 
-    def __call__(self, text: bytes) -> float:
+    def __call__(self, text: bytes) -> tuple[float, float]:
+        if not text:
+            return 0.0, 0.0
         good, bad = (sum(len(c.compress(x)) for x in _chunks(text)) for c in self.compressors)
-        return (bad - good) / (bad + good) if text else 0.0
+        return (bad - good) / len(text), (bad + good) / 2 / len(text)
 
 
 def dictionary(texts: list[bytes]) -> bytes:
@@ -50,44 +52,61 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b"".join(parts)[:DICTIONARY] or b"\0" * 8
 
 
-def calibration(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float, float]:
-    """Slope, intercept and scale of the logistic fit of y on x, by Newton steps with a small ridge."""
-    scale = float(x.std()) or 1.0
-    design = np.stack([x / scale, np.ones(len(x))], 1)
-    w = np.zeros(2)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        gradient = design.T @ (y - p) - 1e-2 * w
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(w[0]) / scale, float(w[1]), scale
-
-
-def fit(rows: list[tuple[int, str, int]]) -> tuple[bytes, bytes, float, float]:
-    """(good dictionary, bad dictionary, slope, intercept) of rows (doc_id, text, quality)."""
-    halves: dict[tuple[int, int], list[bytes]] = {(q, h): [] for q in (0, 1) for h in (0, 1)}
-    for k, (_, text, quality) in enumerate(rows):
-        halves[quality, k % 2].append((text or "").encode())
-    good, bad = (dictionary([t for t in halves[q, 0] if t] or [b""]) for q in (1, 0))
-    sizes = Sizes(good, bad)
-    rest = [(sizes(t), q) for q in (0, 1) for t in halves[q, 1]]
-    if len({q for _, q in rest}) < 2:
-        only = {q for _, _, q in rows}
-        return good, bad, 0.0, 0.0 if len(only) != 1 else (3.0 if only == {1} else -3.0)
-    x, y = (np.array(c, float) for c in zip(*rest))
-    slope, intercept, _ = calibration(x, y)
-    return good, bad, slope, intercept
+def _terms(x: np.ndarray) -> np.ndarray:
+    """Both measures, their squares, and a constant."""
+    return np.concatenate([x, x * x, np.ones((len(x), 1))], 1)
+
+
+class Calibration:
+    """A logistic fit of the label on the measures, by Newton steps with a small ridge."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, rounds: int = 60):
+        self.mean, self.scale = x.mean(0), np.maximum(x.std(0), 1e-9)
+        terms = _terms((x - self.mean) / self.scale)
+        self.w = np.zeros(terms.shape[1])
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(terms @ self.w, -30, 30)))
+            bend = (terms * (p * (1 - p))[:, None]).T @ terms + 1e-2 * np.eye(len(self.w))
+            step = np.linalg.solve(bend, terms.T @ (y - p) - 1e-2 * self.w)
+            self.w = self.w + np.clip(step, -3, 3)
+            if np.abs(step).max() < 1e-9:
+                break
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_terms((x - self.mean) / self.scale) @ self.w, -30, 30)))
+
+
+class Model:
+    """Dictionaries and calibration of labelled rows (doc_id, text, quality); totals: all training labels of class 0 and 1."""
+
+    def __init__(self, rows: list[tuple[int, str, int]], totals: tuple[int, int]):
+        halves: dict[tuple[int, int], list[bytes]] = {(q, h): [] for q in (0, 1) for h in (0, 1)}
+        seen = [0, 0]
+        for _, text, quality in rows:
+            halves[quality, seen[quality] % 2].append((text or "").encode())
+            seen[quality] += 1
+        self.dictionaries = tuple(dictionary([t for t in halves[q, 0] if t] or [b""]) for q in (1, 0))
+        rest = [(Sizes(*self.dictionaries)(t), q) for q in (0, 1) for t in halves[q, 1]]
+        self.calibration, self.constant = None, 0.5
+        if len({q for _, q in rest}) == 2:
+            x, y = np.array([m for m, _ in rest]), np.array([q for _, q in rest], float)
+            self.calibration = Calibration(x, y)
+            self.calibration.w[-1] += np.log(totals[1] / totals[0]) - np.log(y.sum() / (len(y) - y.sum()))
+        elif sum(totals):
+            self.constant = (totals[1] + 1) / (sum(totals) + 2)
+
+    def scores(self, sizes: Sizes, texts: list[str | None]) -> np.ndarray:
+        if self.calibration is None or not texts:
+            return np.full(len(texts), self.constant)
+        return self.calibration(np.array([sizes((t or "").encode()) for t in texts]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text; other columns are ignored).
 
     labels: doc_id, quality; rows whose crc32(doc_id) mod 3 is 1 are never learnt from. A score depends on the text alone.
-    Null and empty texts have no size difference and get the score of 0. With labels of one class only, every score leans to
-    that class; without labels it is 0.5. Rows that repeat a doc_id are each scored; a null doc_id is never held out. An empty table
+    Null and empty texts get the score of both measures being 0. With too few labels to calibrate, every score is the share of
+    good labels, one added to each class; without labels it is 0.5. Rows that repeat a doc_id are each scored; a null doc_id is never held out. An empty table
     gives an empty result.
     """
     small_batches(docs.sparkSession)
@@ -98,15 +117,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("id"), "id").limit(per_class) for q in (0, 1)]
     sample = F.broadcast(chosen[0].union(chosen[1]))  # at most 2 * per_class rows of two numbers
     rows = docs.join(sample, F.col("doc_id") == F.col("id")).select("doc_id", "text", "quality").collect()
-    model = fit(sorted(((r.doc_id, r.text, r.quality) for r in rows), key=lambda r: (r[0], r[2], r[1] or "")))
+    found = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
+    model = Model(sorted(((r.doc_id, r.text, r.quality) for r in rows), key=lambda r: (r[0], r[2], r[1] or "")), (found.get(0, 0), found.get(1, 0)))
 
     def run(batches):
-        good, bad, slope, intercept = model
-        sizes = Sizes(good, bad)
+        sizes = Sizes(*model.dictionaries)
         for batch in batches:
             for part in blocks([batch], "text"):
-                z = [slope * sizes((t or "").encode()) + intercept for t in part.column(1).to_pylist()]
-                score = [1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in z]
+                score = model.scores(sizes, part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     out = docs.mapInArrow(run, "doc_id long, score double")
