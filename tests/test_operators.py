@@ -293,3 +293,33 @@ def test_empty_tables(spark):
     assert weights.tf_idf(words).count() == 0 and weights.vocabulary(words).count() == 0
     v = spark.createDataFrame([], "id long, vec array<double>")
     assert similarity.top_k(v, v, "cosine", 3).count() == 0 and similarity.matrix(v, "dot").count() == 0
+
+
+def test_retrieval_session(spark, data):
+    from bandweave.operators import retrieval_session as rs
+
+    v = spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id < 120").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: F.greatest(x.cast("double"), F.lit(0.0))).alias("vec"), "label").cache()
+    label = {r.id: r.label for r in v.collect()}
+    s = rs.start(v.select("id", "vec"), 3, k=5)
+    judge = lambda ids: {i: 1 if label[i] == label[3] else -1 for i in ids}
+    draw = np.random.default_rng(0)
+    for n in (1, 2):
+        every = rs.results(s)
+        # a query that is nobody's neighbour gets no PageRank results
+        assert set(rs.METHODS) - {"ppr_vect", "ppr_prob"} <= {r.method for r in every.collect()} <= set(rs.METHODS)
+        assert every.where("object_id = 3").count() == 0
+        s, chosen, share = rs.step(s, judge, draw)
+        assert chosen in rs.METHODS and 0 <= share <= 1 and s.round == n
+    assert all(label[i] == label[3] for i in s.seeds)
+    row = {r.j: r.score for r in s.sim["vect"].where("i = 3").collect()}
+    q, vec = np.array(s.queries["vect"]), np.array(v.where("id = 7").first().vec)
+    assert row[7] == pytest.approx(q @ vec / np.linalg.norm(q) / np.linalg.norm(vec))
+
+
+def test_rewriting_by_hand():
+    from bandweave.operators import retrieval_session as rs
+
+    assert rs.rewritten_vector([1.0, 0.0], [np.array([0.0, 2.0])], [np.array([3.0, 0.0])]) == [0.0, 1.0]
+    assert rs.rewritten_vector([1.0, 0.0], [], []) == [1.0, 0.0]
+    odds = rs.rewritten_odds([0.0, 0.0], [], [2, 0], 2)
+    assert odds[0] == pytest.approx(math.log(0.99 * 0.01 / (0.99 * 0.01)), abs=1e-9) and math.isfinite(odds[1])
