@@ -6,6 +6,7 @@ cost is a few vector passes over the bytes and no Python loop over words.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -31,12 +32,19 @@ def small_batches(spark: SparkSession, rows: int = 10_000) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder that the cluster names."""
+    """df with its lineage cut by a reliable checkpoint in the folder that the cluster names.
+
+    The shuffles that led to it are no longer needed; Spark deletes them when the driver has collected what referred to them.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "bandweave-checkpoints"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -42,15 +42,16 @@ def least_agreement() -> int:
 
 
 def minima(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The signature of each run of shingles that begins at `starts` (no run may be empty)."""
+    """The signature of each run of shingles that begins at `starts` (no run may be empty): the low 16 bits of each minimum.
+    They are only compared for equality, and differing minima agree in them once in 65,536 times."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     a, b = _coefficients()
-    out = np.empty((len(starts), len(a)), np.uint32)
+    out = np.empty((len(starts), len(a)), np.uint16)
     work = np.empty_like(x)
     for j in range(len(a)):
         np.multiply(x, a[j], out=work)
         np.add(work, b[j], out=work)
-        out[:, j] = np.minimum.reduceat(work, starts)
+        out[:, j] = np.minimum.reduceat(work, starts).astype(np.uint16)
     return out
 
 
@@ -91,7 +92,7 @@ def _signatures(batches):
 def _bands(batches):
     """A row for each band of each signature: the key, and the id."""
     for batch in batches:
-        signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
+        signature = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, BANDS, ROWS)
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         key = np.zeros(signature.shape[:2], np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
         for j in range(ROWS):
@@ -118,7 +119,7 @@ def _compare(batches):
             sides = []
             for side in (left, right):
                 ids, comps, sigs = side.values.flatten()
-                sigs = np.frombuffer(b"".join(sigs.to_pylist()), np.uint32).reshape(len(ids), -1)
+                sigs = np.frombuffer(b"".join(sigs.to_pylist()), np.uint16).reshape(len(ids), -1)
                 sides.append((ids.to_numpy(zero_copy_only=False), comps.to_numpy(zero_copy_only=False), sigs))
             (a, ca, sa), (b, cb, sb) = sides
             for i in range(len(a)):
@@ -193,6 +194,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     real = every.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("x"))
     classes = cut(classes.select("k1", "k2", "n_shingles", F.col("x.doc_id").alias("id"), F.col("x.signature").alias("signature")))
+    every = cut(every.drop("signature"))
     # exact classes need no candidates of their own: their members share a representative
     keyed = classes.select("id", "signature").mapInArrow(_bands, "key long, id long")
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
@@ -232,7 +234,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(links.unionByName(confirm(more)))
 
     named = classes.join(found, "id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    out = every.drop("signature").join(named, ["k1", "k2", "n_shingles"], "left")
+    out = every.join(named, ["k1", "k2", "n_shingles"], "left")
     alone = F.col("component_id").isNull() | (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept"))
