@@ -4,10 +4,12 @@
    smallest id; only representatives go on.
 2. A signature holds the minima of 240 universal hash functions. 48 bands of 5 minima each give bucket keys; a pair at
    similarity 0.75 shares no band with probability (1 - 0.75**5)**48 = 2e-6.
-3. First pass: each member of a bucket is paired with the bucket's smallest id (a star, not all pairs). Second pass: only
-   in buckets whose members are still in several components, members of different components are compared by signature,
-   block against block, and the pairs that may reach the threshold are passed on. Links inside a component add nothing,
-   so no pass skips a pair that could still join two components.
+3. Candidates. First each member of a bucket is paired with the bucket's smallest id (a star, not all pairs). Then, in buckets
+   whose members are still in several components, the members outside the largest one are compared, block by block, with all
+   members by signature. Members that
+   agree often enough with one of another component meet once more with their full sets; pairs are tried by falling
+   agreement until what remains lies inside one component, so a cell of n members gives fewer than n links, and no link
+   between components is missed.
 4. Every candidate is confirmed on the full shingle sets before it counts.
 5. Components come from alternating large-star and small-star steps until nothing changes; only counts reach the driver.
 """
@@ -110,27 +112,71 @@ def _shingle_sets(batches):
             yield pa.RecordBatch.from_arrays([piece.column(piece.schema.names.index("doc_id")), column], ["id", "shingles"])
 
 
-def _compare(batches):
-    """Pairs of different components in one cell (two blocks of a bucket) whose signatures agree often enough."""
-    least = least_agreement()
+def _sides(batch: pa.RecordBatch):
+    """The cells of a batch: key, and for either side a list of columns, signatures as a matrix."""
+    for key, *cell in zip(*batch.columns):
+        sides = []
+        for side in cell:
+            ids, comps, signatures, *rest = side.values.flatten()
+            signatures = np.frombuffer(b"".join(signatures.to_pylist()), np.uint16).reshape(len(ids), -1)
+            sides.append([ids.to_numpy(zero_copy_only=False), comps.to_numpy(zero_copy_only=False), signatures, *rest])
+        yield key, *sides
+
+
+def _agreeing(a: list, b: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs of different components, one on each side, whose signatures agree often enough; and the equal minima."""
+    least, found = least_agreement(), [(np.zeros(0, np.int64),) * 3]
+    for i in range(len(a[0])):
+        near = np.flatnonzero(b[1] != a[1][i])
+        if len(near):
+            equal = (b[2][near] == a[2][i]).sum(1)
+            enough = equal >= least
+            found.append((np.full(int(enough.sum()), i), near[enough], equal[enough]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _promising(batches):
+    """key, id of the members of a cell that agree often enough with one of another component."""
+    for batch in batches:
+        for key, a, b in _sides(batch):
+            i, j, _ = _agreeing(a, b)
+            if len(i):
+                ids = np.unique(np.concatenate([a[0][i], b[0][j]]))
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(ids)), pa.array(ids)], ["key", "id"])
+
+
+def _linked(batches):
+    """Confirmed links between the components of a cell, as a forest: pairs are tried by falling agreement, and one that lies
+    inside what earlier links have joined adds nothing. A cell of n members gives fewer than n links."""
     for batch in batches:
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for left, right in zip(batch.column(0), batch.column(1)):
-            sides = []
-            for side in (left, right):
-                ids, comps, sigs = side.values.flatten()
-                sigs = np.frombuffer(b"".join(sigs.to_pylist()), np.uint16).reshape(len(ids), -1)
-                sides.append((ids.to_numpy(zero_copy_only=False), comps.to_numpy(zero_copy_only=False), sigs))
-            (a, ca, sa), (b, cb, sb) = sides
-            for i in range(len(a)):
-                near = np.flatnonzero((cb != ca[i]) & (b != a[i]))
-                if len(near):
-                    near = near[(sb[near] == sa[i]).sum(1) >= least]
-                    out.append((np.minimum(a[i], b[near]), np.maximum(a[i], b[near])))
-        if out:
-            a, b = (np.concatenate(x) for x in zip(*out))
-            pairs = np.unique(np.stack([a, b]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        out: list[tuple[int, int]] = []
+        for _, a, b in _sides(batch):
+            i, j, equal = _agreeing(a, b)
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:  # noqa: B023
+                    root[c] = c = root.get(root[c], root[c])  # noqa: B023
+                return c
+
+            sets: list[dict[int, frozenset]] = [{}, {}]
+
+            def held(side: int, place: int) -> frozenset:
+                if place not in sets[side]:  # noqa: B023
+                    sets[side][place] = frozenset((a, b)[side][3][place].values.to_numpy().tolist())  # noqa: B023
+                return sets[side][place]  # noqa: B023
+
+            order = np.lexsort((j, i, -equal))
+            for x, y in zip(i[order].tolist(), j[order].tolist()):
+                ca, cb = find(int(a[1][x])), find(int(b[1][y]))
+                if ca != cb:
+                    sa, sb = held(0, x), held(1, y)
+                    common = len(sa & sb)
+                    if common * 100 >= (len(sa) + len(sb) - common) * PERCENT:
+                        root[max(ca, cb)] = min(ca, cb)
+                        out.append((int(a[0][x]), int(b[0][y])))
+        columns = list(zip(*out)) if out else [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -151,7 +197,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Large-star links each larger neighbour to the smallest of a node's neighbourhood, small-star does so for the smaller
     ones; both keep the components. Each step is an aggregate and a join on the node, so the neighbours of one node are
-    never gathered in one place.
+    never gathered in one place. It ends when every edge points to a node that points nowhere itself.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -164,19 +210,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             moved = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             moved = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        return moved.where("u <> v").distinct()
+        return moved.where("u <> v")
 
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        edges = cut(star(star(edges, True), False))
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    )
+    while not edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() or edges.groupBy("u").count().where("count > 1").limit(1).count():
+        edges = cut(star(star(edges, True), False).distinct())
+    roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -215,23 +255,37 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = cut(confirm(cut(first)))
     found = cut(components(links))
 
-    # second pass: buckets that still hold several components
-    placed = members.join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1")
-    # a bucket of two whose only pair has been tested is settled
-    mixed = mixed.where("n > 2").select("key", "n")
-    open_rows = placed.join(mixed, "key").join(signatures.select("id", "signature"), "id")
-    open_rows = open_rows.withColumn("slots", F.ceil(F.col("n") / BLOCK).cast("int"))
-    open_rows = open_rows.withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))
-    cells = open_rows.groupBy("key", "slot", "slots").agg(F.collect_list(F.struct("id", "c", "signature")).alias("rows"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
-    cells = cells.select("key", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "rows")
-    meet = cells.groupBy("key", "i", "j").agg(F.min_by("rows", "slot").alias("x"), F.max_by("rows", "slot").alias("y"))
-    more = meet.select("x", "y").mapInArrow(_compare, "a long, b long").distinct()
-    small_batches(spark, 16)  # a cell holds up to two blocks of signatures
-    more = cut(more)
+    # buckets that still hold several components; a bucket of two is settled by the star
+    placed = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
+    parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("c", "n").alias("main"))
+    slots = lambda n: F.ceil(n / BLOCK).cast("int")
+    mixed = mixed.where("parts > 1 and n > 2").select("key", "main", slots(F.col("n") - F.col("most")).alias("few"), slots(F.col("n")).alias("many"))
+    rows = cut(placed.join(mixed, "key").join(signatures.select("id", "signature"), "id"))
+
+    def cells(rows: DataFrame, *columns: str) -> DataFrame:
+        """key, x, y: blocks of the members outside a bucket's largest component, each with every block of the bucket."""
+
+        def blocks_of(own: DataFrame, count: str, place: str, other_count: str, other: str, name: str) -> DataFrame:
+            dealt = own.withColumn(place, F.pmod(F.xxhash64("id"), F.col(count)).cast("int"))
+            dealt = dealt.groupBy("key", place, other_count).agg(F.collect_list(F.struct("id", "c", "signature", *columns)).alias(name))
+            return dealt.select("key", place, F.explode(F.sequence(F.lit(0), F.col(other_count) - 1)).alias(other), name)
+
+        small = blocks_of(rows.where("c <> main"), "few", "i", "many", "j", "x")
+        return small.join(blocks_of(rows, "many", "j", "few", "i", "y"), ["key", "i", "j"]).select("key", "x", "y")
+
+    small_batches(spark, 16)  # a cell holds up to two blocks
+    promising = cut(cells(rows).mapInArrow(_promising, "key long, id long").distinct())
+    sets = docs.join(promising.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = sets.mapInArrow(_shingle_sets, "id long, shingles array<long>")
+    late = cut(cells(rows.join(promising, ["key", "id"], "left_semi").join(sets, "id"), "shingles").mapInArrow(_linked, "a long, b long"))
     small_batches(spark)
-    found = components(links.unionByName(confirm(more)))
+    # the first links are contracted: each component is one node, so only what the late ones join is worked on
+    name = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
+    late = late.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(late).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    every_id = classes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    found = every_id.join(joined, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
 
     named = classes.join(found, "id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = every.join(named, ["k1", "k2", "n_shingles"], "left")
@@ -242,5 +296,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of docs but those of documents that another one of their class stands for; all columns kept."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct().alias("dropped")
+    return docs.alias("docs").join(dropped, F.col("docs.doc_id") == F.col("dropped.doc_id"), "left_anti")
