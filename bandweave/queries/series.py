@@ -12,6 +12,7 @@ from ..functions.bands import cumulative_bands, sampled_bands
 from ..functions.ids import canonical, display, half_even
 from ..operators import feedback as fb
 from ..operators import sequence, similarity, symbolic, weights
+from ..plans.stages import cut
 from ..sources.series import event_series, order_series
 
 R = 3
@@ -188,7 +189,8 @@ def round_half_even(spark, d):
 
 
 def _sparse(spark, d, weight="tfidf") -> DataFrame:
-    return weights.tf_idf(_words(spark, d)).select("object_id", "component", "sensor", "word", F.col(weight).alias("w"))
+    """Word weights, written down: searches read them for the queries, the objects and the norms."""
+    return cut(weights.tf_idf(_words(spark, d)).select("object_id", "component", "sensor", "word", F.col(weight).alias("w")))
 
 
 def _asked(df: DataFrame) -> DataFrame:
@@ -221,13 +223,13 @@ def dot_topk(spark, d):
 def seq_cosine_topk(spark, d):
     words = _words(spark, d)
     seq = weights.sequences(words, weights.tf_idf(words), ["tfidf"])
-    vecs = seq.select("object_id", "component", "sensor", F.transform("seq", lambda s: s["tfidf"]).alias("vec"))
+    vecs = cut(seq.select("object_id", "component", "sensor", F.transform("seq", lambda s: s["tfidf"]).alias("vec")))
     return _topped(similarity.sequence_distances(_asked(vecs), vecs, "cosine_distance").where("query_id <> object_id"), True)
 
 
 def _entropy_sequences(spark, d) -> DataFrame:
     words = _words(spark, d)
-    return weights.sequences(words, weights.entropy(weights.term_frequency(words)), ["entropy"])
+    return cut(weights.sequences(words, weights.entropy(weights.term_frequency(words)), ["entropy"]))
 
 
 def _sequence_topk(spark, d, measure):
@@ -257,8 +259,8 @@ def dtw_matrix_scaled(spark, d):
 
 def _weights(spark, d) -> tuple[DataFrame, DataFrame, int]:
     words = _words(spark, d)
-    vocab = weights.vocabulary(words)
-    w = weights.tf_idf(words).where("tfidf <> 0").join(vocab, DIMS).select("object_id", "dim", F.col("tfidf").alias("w"))
+    vocab = cut(weights.vocabulary(words))
+    w = cut(weights.tf_idf(words).where("tfidf <> 0").join(vocab, DIMS).select("object_id", "dim", F.col("tfidf").alias("w")))
     return w, vocab, words.select("object_id").distinct().count()
 
 
