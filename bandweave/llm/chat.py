@@ -12,9 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,25 +55,28 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-def masked_tokens(offsets: list[tuple[int, int]], spans: list[tuple[int, int]]) -> tuple[list[int], list[tuple[int, int]]]:
-    """For sorted token offsets and sorted spans: 0 or 1 for each token, and the pieces of the spans that tokens cover."""
-    mask, pieces = [0] * len(offsets), []
-    ends = [e for _, e in offsets]
+def masked_tokens(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """For sorted token offsets (rows of start, end) and sorted spans: 0 or 1 for each token, and the pieces of the spans that
+    tokens cover. The tokens that touch a span are found by binary search."""
+    offsets = np.asarray(offsets, np.int64).reshape(-1, 2)
+    mask, pieces = np.zeros(len(offsets), np.int8), []
     for lo, hi in spans:
-        k, covered = bisect_left(ends, lo + 1), lo
-        while k < len(offsets) and offsets[k][0] < hi:
-            start, end = max(offsets[k][0], covered), min(offsets[k][1], hi)
-            mask[k] = 1
-            # the characters of one code point may be split over tokens that have the same offsets
-            if end > start:
-                if pieces and pieces[-1][1] == start:
-                    start = pieces.pop()[0]
-                pieces.append((start, end))
-                covered = end
-            k += 1
+        a, b = np.searchsorted(offsets[:, 1], lo, "right"), np.searchsorted(offsets[:, 0], hi, "left")
+        if lo == hi or a >= b:
+            continue
+        mask[a:b] = 1
+        # several tokens may stand for the bytes of one character and have the same offsets
+        start, reach = np.maximum(offsets[a:b, 0], lo), np.maximum.accumulate(np.minimum(offsets[a:b, 1], hi))
+        breaks = np.flatnonzero(start[1:] > reach[:-1])
+        pieces += zip(start[np.append(0, breaks + 1)].tolist(), reach[np.append(breaks, b - a - 1)].tolist())
     return mask, pieces
 
 
+def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    at = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(rows) if rows else [], kind))
+
+
 def formatted_conversations(turns: DataFrame, path: str, learnt: str = LEARNT) -> DataFrame:
     """conv_id, n_turns, formatted, ids, mask (of the ids), spans (of the learnt text in formatted): a row for each conversation.
 
@@ -95,13 +99,13 @@ def formatted_conversations(turns: DataFrame, path: str, learnt: str = LEARNT) -
                 part = batch.slice(i, 64)
                 rendered = [render([(t["role"], t["text"]) for t in own], learnt) for own in part.column(1).to_pylist()]
                 encoded = library.encode_batch([r[0] for r in rendered], add_special_tokens=False)
-                masks = [masked_tokens(e.offsets, spans) for e, (_, spans) in zip(encoded, rendered)]
+                masks = [masked_tokens(np.array(e.offsets), spans) for e, (_, spans) in zip(encoded, rendered)]
                 columns = [
                     part.column(0),
-                    pa.array([len(x) for x in part.column(1)], pa.int64()),
+                    pc.list_value_length(part.column(1)).cast(pa.int64()),
                     pa.array([r[0] for r in rendered], pa.string()),
-                    pa.array([e.ids for e in encoded], pa.list_(pa.int32())),
-                    pa.array([m for m, _ in masks], pa.list_(pa.int8())),
+                    _lists([np.array(e.ids, np.int32) for e in encoded], pa.int32()),
+                    _lists([m for m, _ in masks], pa.int8()),
                     pa.array([[{"start": a, "end": b} for a, b in s] for _, s in masks], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["conv_id", "n_turns", "formatted", "ids", "mask", "spans"])
@@ -116,12 +120,14 @@ def digests(formatted: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
-            for conv_id, text, ids, mask, spans in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            sizes = pc.list_value_length(batch.column(2)).to_pylist()
+            learnt = [int(m.values.to_numpy(zero_copy_only=False).sum()) for m in batch.column(3)]
+            for conv_id, text, spans, size, masked in zip(*(batch.column(k).to_pylist() for k in (0, 1, 4)), sizes, learnt):
                 turns = parse(text)
                 said = "".join(f"{role}\n{body}\n" for role, body in turns)
                 loss = unescape("".join(text[s["start"] : s["end"]] for s in spans))
                 digest = [hashlib.sha256(x.encode()).hexdigest() for x in (said, loss)]
-                rows.append((conv_id, len(turns), digest[0], len(loss), digest[1], len(text), len(ids), sum(mask)))
+                rows.append((conv_id, len(turns), digest[0], len(loss), digest[1], len(text), size, masked))
             types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 8, types)], names)
 
