@@ -83,21 +83,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return grams[at], digest, text[lo], lo, hi, at
 
 
-def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The unions of overlapping or touching ranges of each document, sorted."""
+def merged(doc: np.ndarray, part: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The unions of overlapping or touching ranges of each (doc, part), sorted."""
     if not len(doc):
-        return doc, start, end
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    group = np.cumsum(np.append(0, doc[1:] != doc[:-1]))
+        return doc, part, start, end
+    order = np.lexsort((start, part, doc))
+    doc, part, start, end = doc[order], part[order], start[order], end[order]
+    group = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])))
     # ends as running maxima within a document: the group number lifts them above all of earlier documents
     lift = group * (int(end.max()) + 2)
     reach = np.maximum.accumulate(end + lift)
     new = np.append(True, (start + lift)[1:] > reach[:-1])
     last = np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)
-    return doc[new], start[new], (reach - lift)[last]
+    return doc[new], part[new], start[new], (reach - lift)[last]
 
 
+#: Rows of one doc_id with different texts are told apart by so many bits of their text's hash. An anchor's row holds them, times
+#: 256, beside the anchor's place in its context; a context's row holds them, times 2 ** 40, beside a length.
+PART_BITS, BESIDE_PLACE, BESIDE_LENGTH = 22, 8, 40
 NAMES = ["kind", "key", "hash", "digest", "doc", "lo", "hi", "at"]
 TYPES = [pa.int8()] + [pa.int64()] * 4 + [pa.int64()] * 3
 ROWS = "kind tinyint, key long, hash long, digest long, doc long, lo long, hi long, at long"
@@ -111,20 +114,24 @@ def _batch(kind, key, hashes, digest, doc, lo, hi, at) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES)], NAMES)
 
 
-def _ranges(doc, start, end) -> pa.RecordBatch:
-    doc, start, end = merged(doc, start, end)
+def _ranges(doc, part, start, end) -> pa.RecordBatch:
+    doc, part, start, end = merged(doc, part, start, end)
     zero = np.zeros(len(doc), np.int64)
-    return _batch(RANGE, mix64(doc.astype(np.uint64) + np.uint64(1)), zero, zero, doc, start, end, zero)
+    return _batch(RANGE, mix64(doc.astype(np.uint64) + np.uint64(1)), zero, zero, doc, start, end, part << BESIDE_PLACE)
 
 
-def _firsts(group: list[np.ndarray], doc: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by group, doc, lo: which are the first of their group, and which stand later than their first."""
+def _firsts(group: list[np.ndarray], doc: np.ndarray, lo: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by group, doc, lo, part: which stand at the first place of their group (once for each part), and which
+    stand later than it."""
     new = np.zeros(len(doc), bool)
     new[:1] = True
     for g in group:
         new[1:] |= g[1:] != g[:-1]
     first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(doc) else np.zeros(0, np.int64)
-    return new, ~new & ((doc != doc[first]) | (lo != lo[first]))
+    later = ~new & ((doc != doc[first]) | (lo != lo[first]))
+    other = ~new & ~later
+    other[1:] &= part[1:] != part[:-1]
+    return new | other, later
 
 
 def _find(batches):
@@ -134,11 +141,11 @@ def _find(batches):
 
     def flush():
         hashes, digest, doc, lo, hi, at = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((lo, doc, digest, hashes))
+        order = np.lexsort((at, lo, doc, digest, hashes))
         hashes, digest, doc, lo, hi, at = (x[order] for x in (hashes, digest, doc, lo, hi, at))
-        new, later = _firsts([hashes, digest], doc, lo)
+        new, later = _firsts([hashes, digest], doc, lo, at)
         if later.any():
-            yield _ranges(doc[later], lo[later], hi[later] + SPAN)
+            yield _ranges(doc[later], at[later] >> BESIDE_PLACE, lo[later], hi[later] + SPAN)
         hashes, digest, doc, lo, hi, at = (x[new] for x in (hashes, digest, doc, lo, hi, at))
         head = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
         rank = np.arange(len(hashes)) - np.repeat(head, np.diff(np.append(head, len(hashes))))
@@ -146,7 +153,7 @@ def _find(batches):
         yield _batch(np.where(known, BY_CONTEXT, BY_HASH), np.where(known, mix64(digest), hashes), hashes, digest, doc, lo, hi, at)
 
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, parts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
         data, offsets = bytes_of(batch.column(1))
         i = 0
         while i < len(ids):
@@ -159,7 +166,7 @@ def _find(batches):
                 own = np.clip(offsets[i : j + 1], at0, to) - at0
                 hashes, digest, text, lo, hi, at = anchors(data[at0:to], own)
                 shift = at0 - offsets[i + text]
-                held.append((hashes, digest, ids[i + text], lo + shift, hi + shift, at + shift))
+                held.append((hashes, digest, ids[i + text], lo + shift, hi + shift, (at - lo) + (parts[i + text] << BESIDE_PLACE)))
             size += end - base
             i = j
             if size >= CHUNK:
@@ -208,9 +215,9 @@ def _meet(batches):
         kind, key, hashes, digest, doc, lo, hi, at = (c[~ranges] for c in columns)
         if not len(doc):
             continue
-        new, later = _firsts([kind, key, digest], doc, lo)
+        new, later = _firsts([kind, key, digest], doc, lo, at)
         if later.any():
-            yield _ranges(doc[later], lo[later], hi[later] + SPAN)
+            yield _ranges(doc[later], at[later] >> BESIDE_PLACE, lo[later], hi[later] + SPAN)
         kind, key, hashes, digest, doc, lo, hi, at = (c[new] for c in (kind, key, hashes, digest, doc, lo, hi, at))
         head = np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))
         group = np.cumsum(head) - 1
@@ -222,17 +229,17 @@ def _meet(batches):
 def _contexts(batches):
     """The contexts' bytes; of hot hashes, a row for each window, reduced batch by batch."""
     for batch in batches:
-        out = [[] for _ in range(5)]  # key, doc, lo, place of the anchor, bytes
-        hot = [[] for _ in range(4)]  # hash of the window, hash of it again, doc, start
+        out = [[] for _ in range(5)]  # key, doc, lo, part, bytes
+        hot = [[] for _ in range(5)]  # hash of the window, hash of it again, doc, start, part
         data, offsets = bytes_of(batch.column(1))
-        for d, (doc, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2))):
+        for d, (doc, part, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2))):
             text = data[offsets[d] : offsets[d + 1]]
-            hashes, los, his, ats, hots = (c.to_numpy(zero_copy_only=False) for c in wanted.values.flatten())
-            fits = his + SPAN <= len(text)
-            for h, lo, hi, at in zip(*(x[fits & ~hots].tolist() for x in (hashes, los, his, ats))):
-                for column, x in zip(out, (h, doc, lo, at - lo, text[lo : hi + SPAN].tobytes())):
+            part <<= BESIDE_LENGTH
+            hashes, los, his, hots = (c.to_numpy(zero_copy_only=False) for c in wanted.values.flatten())
+            for h, lo, hi in zip(*(x[~hots].tolist() for x in (hashes, los, his))):
+                for column, x in zip(out, (h, doc, lo, part, text[lo : hi + SPAN].tobytes())):
                     column.append(x)
-            chosen = fits & hots
+            chosen = hots
             if chosen.any():
                 n = (his - los + 1)[chosen]
                 start = np.repeat(los[chosen], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -241,25 +248,24 @@ def _contexts(batches):
                     low = int(own.min())
                     rolling = Rolling(text[low : int(own.max()) + SPAN])
                     h = rolling.of(own - low, own - low + SPAN)
-                    for column, x in zip(hot, (h, mix64(h), np.full(len(own), doc, np.int64), own)):
+                    for column, x in zip(hot, (h, mix64(h), np.full(len(own), doc, np.int64), own, np.full(len(own), part, np.int64))):
                         column.append(x)
         kinds = []
         if out[0]:
             n = len(out[0])
             kinds.append([pa.array(np.zeros(n, np.int8)), *(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())])
         if hot[0]:
-            h, key, doc, start = (np.concatenate(x) for x in hot)
-            order = np.lexsort((start, doc, h))
-            h, key, doc, start = h[order], key[order], doc[order], start[order]
-            new, later = _firsts([h], doc, start)
-            for kind, rows, key_column in ((1, new, key), (2, later, key)):
+            h, key, doc, start, part = (np.concatenate(x) for x in hot)
+            order = np.lexsort((part, start, doc, h))
+            h, key, doc, start, part = (x[order] for x in (h, key, doc, start, part))
+            new, later = _firsts([h], doc, start, part)
+            for kind, rows in ((1, new), (2, later)):
                 if rows.any():
-                    d, s, e = doc[rows], start[rows], start[rows] + SPAN
-                    k = key_column[rows]
+                    d, p, s, e, k = doc[rows], part[rows], start[rows], start[rows] + SPAN, key[rows]
                     if kind == 2:
-                        d, s, e = merged(d, s, e)
+                        d, p, s, e = merged(d, p, s, e)
                         k = mix64(d.astype(np.uint64) + np.uint64(1))
-                    columns = [np.full(len(d), kind, np.int8), k.view(np.int64), d, s, e - s]
+                    columns = [np.full(len(d), kind, np.int8), k.view(np.int64), d, s, p | (e - s)]
                     kinds.append([pa.array(c) for c in columns] + [pa.nulls(len(d), pa.binary())])
         for columns in kinds:
             yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "doc", "lo", "at", "context"])
@@ -321,8 +327,8 @@ def shared_prefix(text: np.ndarray, order: np.ndarray, depth: int = SPAN) -> np.
     return same
 
 
-def _repeats(docs: np.ndarray, starts: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, start) of the 100-byte windows of the contexts that also stand in an earlier place among them."""
+def _repeats(docs: np.ndarray, starts: np.ndarray, parts: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(doc, part, start) of the 100-byte windows of the contexts that also stand in an earlier place among them."""
     sizes = np.array([len(c) for c in contexts])
     ends = np.cumsum(sizes)
     text = np.frombuffer(b"".join(contexts), np.uint8)
@@ -331,37 +337,38 @@ def _repeats(docs: np.ndarray, starts: np.ndarray, contexts: list[bytes]) -> tup
     owner = np.searchsorted(ends, order, "right")
     inside = order + SPAN <= ends[owner]
     order, run, owner = order[inside], run[inside], owner[inside]
-    doc, start = docs[owner], starts[owner] + order - (ends - sizes)[owner]
+    doc, part, start = docs[owner], parts[owner], starts[owner] + order - (ends - sizes)[owner]
     by = np.lexsort((start, doc, run))
-    doc, start, run = doc[by], start[by], run[by]
-    _, later = _firsts([run], doc, start)
-    return doc[later], start[later]
+    doc, part, start, run = doc[by], part[by], start[by], run[by]
+    _, later = _firsts([run], doc, start, part)
+    return doc[later], part[later], start[later]
 
 
 def _sort_shards(batches):
-    """Rows sorted by kind and key: repeated ranges (doc, start, end)."""
-    names = ["doc", "start", "end"]
+    """Rows sorted by kind and key: repeated ranges (doc, part, start, end)."""
+    names = ["doc", "part", "start", "end"]
 
-    def ranges(doc, start, end):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in merged(doc, start, end)], names)
+    def ranges(doc, part, start, end):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in merged(doc, part, start, end)], names)
 
     for kind, key, doc, lo, at, context in _whole_groups(batches, (0, 1), most=SHARD // 135):
+        part, size = at >> BESIDE_LENGTH, at & ((1 << BESIDE_LENGTH) - 1)
         done = kind == 2
         if done.any():
-            yield ranges(doc[done], lo[done], lo[done] + at[done])
+            yield ranges(doc[done], part[done], lo[done], lo[done] + size[done])
         window = kind == 1
         if window.any():
-            k, d, s = key[window], doc[window], lo[window]
+            k, d, s, p = key[window], doc[window], lo[window], part[window]
             order = np.lexsort((s, d, k))
-            k, d, s = k[order], d[order], s[order]
-            _, later = _firsts([k], d, s)
+            k, d, s, p = k[order], d[order], s[order], p[order]
+            _, later = _firsts([k], d, s, p)
             if later.any():
-                yield ranges(d[later], s[later], s[later] + SPAN)
+                yield ranges(d[later], p[later], s[later], s[later] + SPAN)
         sorted_ones = kind == 0
         if sorted_ones.any():
-            d, s = _repeats(doc[sorted_ones], lo[sorted_ones], list(context[sorted_ones]))
+            d, p, s = _repeats(doc[sorted_ones], lo[sorted_ones], part[sorted_ones], list(context[sorted_ones]))
             if len(d):
-                yield ranges(d, s, s + SPAN)
+                yield ranges(d, p, s, s + SPAN)
 
 
 def _remove(batches):
@@ -373,7 +380,8 @@ def _remove(batches):
             spans = 0
             if found.is_valid and len(found.values):
                 start, end = (c.to_numpy(zero_copy_only=False) for c in found.values.flatten())
-                _, start, end = merged(np.zeros(len(start), np.int64), start, end)
+                one = np.zeros(len(start), np.int64)
+                _, _, start, end = merged(one, one, start, end)
                 edge = np.zeros(len(text) + 1, np.int32)
                 np.add.at(edge, np.minimum(start, len(text)), 1)
                 np.add.at(edge, np.minimum(end, len(text)), -1)
@@ -391,17 +399,19 @@ def _remove(batches):
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """doc, start, end: byte ranges whose union, for each document, is what 100-byte strings that start earlier cover."""
+    """doc, part, start, end: byte ranges whose union, for each row, is what 100-byte strings that start earlier cover. docs: doc,
+    part, text."""
     small_batches(docs.sparkSession)
-    found = docs.select("doc", "text").mapInArrow(_find, ROWS).repartition("key").sortWithinPartitions("kind", "key", "digest", "doc", "lo")
-    met = cut(found.mapInArrow(_meet, ROWS))
-    early = met.where(F.col("kind") == RANGE).select("doc", F.col("lo").alias("start"), F.col("hi").alias("end"))
-    classes = met.where(F.col("kind") == BY_HASH).select("hash", "doc", "lo", "hi", "at")
+    found = docs.select("doc", "text", "part").mapInArrow(_find, ROWS).repartition("key").sortWithinPartitions("kind", "key", "digest", "doc", "lo", "at")
+    met = cut(found.mapInArrow(_meet, ROWS)).withColumn("part", F.shiftright("at", BESIDE_PLACE))
+    early = met.where(F.col("kind") == RANGE).select("doc", "part", F.col("lo").alias("start"), F.col("hi").alias("end"))
+    classes = met.where(F.col("kind") == BY_HASH).select("hash", "doc", "part", "lo", "hi")
     frequent = classes.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash", F.lit(True).alias("hot"))
     classes = classes.join(frequent, "hash", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = classes.groupBy("doc").agg(F.collect_list(F.struct("hash", "lo", "hi", "at", "hot")).alias("wanted"))
-    contexts = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_contexts, "kind tinyint, key long, doc long, lo long, at long, context binary")
-    late = contexts.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(_sort_shards, "doc long, start long, end long")
+    wanted = classes.groupBy("doc", "part").agg(F.collect_list(F.struct("hash", "lo", "hi", "hot")).alias("wanted"))
+    asked = docs.join(wanted, ["doc", "part"]).select("doc", "text", "wanted", "part")
+    contexts = asked.mapInArrow(_contexts, "kind tinyint, key long, doc long, lo long, at long, context binary")
+    late = contexts.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(_sort_shards, "doc long, part long, start long, end long")
     return early.unionByName(late)
 
 
@@ -409,12 +419,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that remain) for every row of docs.
 
     docs: doc_id, text; other columns are ignored. Texts count as UTF-8 bytes, a null text as empty. Earlier means a smaller
-    doc_id, or the same one and an earlier start; a null doc_id counts as the smallest. Rows that repeat a doc_id stand at the
-    same places: equal strings at equal starts of them are not earlier than each other. An empty table gives an empty result.
+    doc_id, or the same one and an earlier start; a null doc_id counts as the smallest. Rows that repeat a doc_id are one
+    document: equal strings at equal starts of them are not earlier than each other, those at different starts are. An empty
+    table gives an empty result.
     """
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    spans = cut(repeated_ranges(docs)).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = docs.join(spans, "doc", "left").select("doc_id", "text", "spans")
+    docs = docs.withColumn("part", F.xxhash64("text").bitwiseAND((1 << PART_BITS) - 1))
+    spans = cut(repeated_ranges(docs)).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    joined = docs.join(spans, ["doc", "part"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.mapInArrow(_remove, schema)

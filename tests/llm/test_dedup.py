@@ -114,6 +114,14 @@ def test_removal_of_messy_rows(messy, none):
     assert suffix.deduplicated(none).count() == 0
 
 
+def test_removal_from_rows_of_one_id(spark):
+    """Rows of one doc_id with different texts, a passage in both at equal and at different starts, and once more elsewhere."""
+    passage, fill = "the quick brown fox jumps over it " * 5, "abcdefghij" * 12
+    rows = [(5, passage + fill), (5, passage + "z" * 150), (5, "y" * 40 + passage), (5, passage + fill), (7, fill + "x" * 10 + passage), (3, "w" * 120)]
+    check_removal(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    check_removal(spark.createDataFrame([*rows, (2, passage)], "doc_id long, text string").repartition(2))
+
+
 def test_removal_with_frequent_passages(spark, monkeypatch):
     """Passages in most texts, also beyond the number of contexts that one task sorts and the size of a segment."""
     draw = random.Random(3)
@@ -132,9 +140,9 @@ def _local(docs):
     """The same steps in this process, where the changed limits hold."""
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs], pa.int64()), pa.array([t for _, t in docs])], ["doc", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs], pa.int64()), pa.array([t for _, t in docs]), pa.array([0] * len(docs), pa.int64())], ["doc", "text", "part"])
     rows = [x for b in suffix._find(iter([batch])) for x in b.to_pylist()]
-    rows.sort(key=lambda x: (x["kind"], x["key"], x["digest"], x["doc"], x["lo"]))
+    rows.sort(key=lambda x: (x["kind"], x["key"], x["digest"], x["doc"], x["lo"], x["at"]))
     schema = pa.schema(list(zip(suffix.NAMES, suffix.TYPES)))
     pieces = lambda rows, schema: (pa.RecordBatch.from_pylist(rows[i : i + 7], schema) for i in range(0, len(rows), 7))
     met = [x for b in suffix._meet(pieces(rows, schema)) for x in b.to_pylist()]
@@ -144,13 +152,13 @@ def _local(docs):
     for x in classes:
         count[x["hash"]] = count.get(x["hash"], 0) + 1
     for x in classes:
-        wanted.setdefault(x["doc"], []).append({k: x[k] for k in ("hash", "lo", "hi", "at")} | {"hot": count[x["hash"]] > suffix.HOT})
-    kind = pa.list_(pa.struct([*((k, pa.int64()) for k in ("hash", "lo", "hi", "at")), ("hot", pa.bool_())]))
+        wanted.setdefault(x["doc"], []).append({k: x[k] for k in ("hash", "lo", "hi")} | {"hot": count[x["hash"]] > suffix.HOT})
+    kind = pa.list_(pa.struct([*((k, pa.int64()) for k in ("hash", "lo", "hi")), ("hot", pa.bool_())]))
     ids = sorted(wanted)
-    asked = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([texts[i] for i in ids]), pa.array([wanted[i] for i in ids], kind)], ["doc", "text", "wanted"])
+    asked = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([texts[i] for i in ids]), pa.array([wanted[i] for i in ids], kind), pa.array([0] * len(ids), pa.int64())], ["doc", "text", "wanted", "part"])
     rows = sorted((x for b in suffix._contexts(iter([asked])) for x in b.to_pylist()), key=lambda x: (x["kind"], x["key"]))
     schema = pa.schema([("kind", pa.int8()), *((k, pa.int64()) for k in ("key", "doc", "lo", "at")), ("context", pa.binary())])
-    spans += [tuple(x.values()) for b in suffix._sort_shards(pieces(rows, schema)) for x in b.to_pylist()]
+    spans += [(x["doc"], x["start"], x["end"]) for b in suffix._sort_shards(pieces(rows, schema)) for x in b.to_pylist()]
     found = {i: [] for i, _ in docs}
     for d, a, b in spans:
         found[d].append({"start": a, "end": b})

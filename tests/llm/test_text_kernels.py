@@ -70,7 +70,8 @@ def test_repeats_of_contexts():
     parts = [bytes(DRAW.choice(b"abcd \x00\xff") for _ in range(DRAW.randint(60, 300))) for _ in range(12)]
     for _ in range(30):
         contexts = [c for c in (b"".join(DRAW.choice(parts) for _ in range(DRAW.randint(1, 4))) for _ in range(6)) if len(c) >= 100] or [b"x" * 150]
-        doc, start = suffix._repeats(np.arange(len(contexts)), np.zeros(len(contexts), np.int64), contexts)
+        zero = np.zeros(len(contexts), np.int64)
+        doc, _, start = suffix._repeats(np.arange(len(contexts)), zero, zero, contexts)
         marks = [set() for _ in contexts]
         for d, s in zip(doc.tolist(), start.tolist()):
             marks[d].update(range(s, s + 100))
