@@ -302,7 +302,8 @@ def relative_importance(spark, d):
     w, vocab, _ = _weights(spark, d)
     before = _query(w)
     out = fb.relative_importance(before, fb.rocchio(before, w, _told(w)), vocab)
-    return out.select("level", "component", "sensor", long("dim").alias("dim"), kept("change"), F.round("scaled", 4).alias("scaled"))
+    name = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return out.select("level", name("component"), name("sensor"), F.coalesce(long("dim"), F.lit(-1).cast("long")).alias("dim"), kept("change"), F.round("scaled", 4).alias("scaled"))
 
 
 def feedback_curve(spark, d):
@@ -425,7 +426,7 @@ scored AS (SELECT a.object_id AS query_id, b.object_id, round(sum(1 - coalesce(d
         "SELECT count(*) AS dims, count(*) FILTER (round(coalesce(query.q, 0), 9) <> round(coalesce(after.q, 0), 9)) AS changed FROM query FULL JOIN after USING (dim)", _FEEDBACK + _ROCCHIO
     ),
     "relative_importance": _sql(
-        """SELECT level, component, sensor, dim, change + 0.0 AS change, round(coalesce((change - min(change) OVER (PARTITION BY level)) / nullif(max(change) OVER (PARTITION BY level) - min(change) OVER (PARTITION BY level), 0), 0), 4) AS scaled
+        """SELECT level, coalesce(component, '') AS component, coalesce(sensor, '') AS sensor, coalesce(dim, -1) AS dim, change + 0.0 AS change, round(coalesce((change - min(change) OVER (PARTITION BY level)) / nullif(max(change) OVER (PARTITION BY level) - min(change) OVER (PARTITION BY level), 0), 0), 4) AS scaled
 FROM (SELECT CASE WHEN component IS NOT NULL THEN 'component' WHEN sensor IS NOT NULL THEN 'sensor' ELSE 'word' END AS level, component, sensor, dim, round(sum(gap), 9) AS change
   FROM (SELECT 'E' AS component, sensor, dim, coalesce(query.q, 0) - coalesce(after.q, 0) AS gap FROM query FULL JOIN after USING (dim) JOIN vocab USING (dim)) GROUP BY GROUPING SETS ((component), (sensor), (dim)))""",
         _FEEDBACK + _ROCCHIO,
