@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -36,6 +37,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARKER = re.compile(r"[0-9@=]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _DIGITS = re.compile(r"[0-9]")
+_PART = re.compile(r"[^,;|/]+")
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
 
@@ -308,8 +310,9 @@ def _after(text: str, end: int) -> list[str]:
 
 
 def find_all(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
-    """For each text its base spans and all its spans; the field's spans are those that meet no base span."""
+    """For each text its base spans and all its spans; the field's spans are what its runs leave beside the base spans."""
     bases = [base_spans(t) if t and _MARKER.search(t) else [] for t in texts]
+    covered = [_covered(base) for base in bases]
     found: list[list[Span]] = [[] for _ in texts]
     runs, owners = [], []
     for k, text in enumerate(texts):
@@ -325,14 +328,41 @@ def find_all(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span
             while j + 1 < len(labels) and labels[j + 1] == labels[i]:
                 j += 1
             if labels[i]:
-                start, end = _trimmed(texts[k], places[i][0], places[j][1])
-                found[k].append((start, labels[i] - 1, end))
+                found[k] += [(a, labels[i] - 1, b) for a, b in _beside(texts[k], places[i : j + 1], covered[k])]
             i = j + 1
-    out = []
-    for base, added in zip(bases, found):
-        new = [s for s in added if s[0] < s[2] and not any(s[0] < e and b < s[2] for b, _, e in base)]
-        out.append((base, sorted(base + new)))
-    return out
+    return [(base, sorted(base + new)) for base, new in zip(bases, found)]
+
+
+def _covered(base: list[Span]) -> tuple[list[int], list[int]]:
+    """The starts and the ends of what the spans cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, _, end in base:
+        if ends and start < ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
+def _beside(text: str, places: list[tuple[int, int]], base: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
+    """What a run of words with one label leaves beside the base spans: the groups of words that meet none, and of a word that
+    meets one the parts that a separator parts from it. (What touches a base span, as a port or a bracket, belongs to it.)"""
+    starts, ends = base
+    within = lambda a, b: range(bisect_right(ends, a), bisect_left(starts, b))
+    met = bool(within(places[0][0], places[-1][1]))
+    groups: list[tuple[int, int]] = []
+    joins = False
+    for a, b in places:
+        if not (own := within(a, b)):
+            groups[-1:] = [(groups[-1][0], b)] if joins else [*groups[-1:], (a, b)]
+        else:
+            parts = [m.span() for m in _PART.finditer(text, a, b)]
+            groups += [(c, d) for c, d in parts if not within(c, d)]
+        joins = not own
+    spans = [_trimmed(text, a, b) for a, b in groups]
+    return [(a, b) for a, b in spans if any(c.isalnum() for c in text[a:b])] if met else [(a, b) for a, b in spans if a < b]
 
 
 def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:

@@ -77,6 +77,32 @@ def test_fields_find_what_patterns_miss(field):
         assert not base and [k for _, k, _ in every] == [4], text
 
 
+class Labels:
+    """A field that gives every word it sees the label of one kind."""
+
+    def __init__(self, kind):
+        self.label = pii.LABELS.index(kind)
+
+    def decode(self, runs):
+        return [[self.label] * len(run) for run in runs]
+
+
+@pytest.mark.parametrize(
+    ("kind", "text", "left"),
+    [
+        ("phone", "+1 212 555 0101\n(212) 555-0100\n212-555-0102", ["(212) 555-0100\n212-555-0102"]),
+        ("phone", "(212) 555-0100\n+1 212 555 0101\n212-555-0102", ["(212) 555-0100", "212-555-0102"]),
+        ("email", "a@b.com, c99(at)d.org", ["c99(at)d.org"]),
+        ("email", "a@b.com,c99(at)d.org;e@f.net", ["c99(at)d.org"]),
+        ("ip", "10.0.0.1:8080, 10.0.0.2:99", []),
+        ("secret", "token=a1 x2", ["token=a1 x2"]),
+    ],
+)
+def test_items_beside_a_base_span_are_kept(kind, text, left):
+    (base, every), = pii.find_all([text], Labels(kind))
+    assert [text[a:b] for a, _, b in every if (a, _, b) not in base] == left
+
+
 def test_rows(messy, none):
     got = pii.personal_data(messy).collect()
     assert len(got) == len(MESSY)
