@@ -4,8 +4,9 @@ The field is trained on the small labelled table below (sentences with marked sp
 letters for the marked parts) by gradient steps on the exact conditional likelihood. It labels words; its features are a
 word's shape, its prefix, lengths, its neighbours' shapes and whether a key word such as "password" stands before it.
 
-Words without a digit, "@" or "=" are outside by construction: their label is fixed, and a label that is fixed splits the
-chain. So Viterbi runs, exactly, on the runs of other words only, and runs of equal length are decoded together in numpy.
+Every word of a text is labelled. A word's own share of its score is kept from its first sight; a word whose score is so far
+in favour of "outside" that no neighbours' labels could turn it is outside on the best path, and splits the chain there. So
+Viterbi runs, exactly, on the runs of other words only, and all runs go through numpy side by side.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARKER = re.compile(r"[0-9@=]")
 _SPACE = re.compile(r"[\x20\x09-\x0D]")
 _DIGITS = re.compile(r"[0-9]")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_TAIL = ".,;:!?*&%#$\"')]}"
+_WRAPPED = re.compile(r"[(\[{<](at|dot)[)\]}>]", re.IGNORECASE)
 _PART = re.compile(r"[^,;|/]+")
 
 Span = tuple[int, int, int]  # start, place of the kind in KINDS, end
@@ -77,7 +81,7 @@ def base_spans(text: str) -> list[Span]:
 
 
 #: The labelled table: sentences with {kind|text}. In a marked text 9 stands for any digit, a and A for any letter, f for any
-#: hexadecimal digit; other characters stand for themselves, and backquotes enclose what is taken as it is.
+#: hexadecimal digit; other characters stand for themselves, and backquotes enclose what is taken as it is. {none|text} is drawn but not marked.
 SENTENCES = """
 write to {email|aaaaa.99@aaaa9.`com`} about the order
 {email|aaa@aaaaaa.`org`} and {email|aaaa_aa@aa.aaaa.`net`}, please.
@@ -116,8 +120,37 @@ the ISBN 9783161484100 book and order 123456
 it is 100% of 50 = half @ best
 price = 30; count=3, size=10
 1 2 3 4 5 and 10 20 30 40 50
+mail {email|aaaaaa(`at`)aaaaaaa.`org`} now
+or {email|aaaa.aaaaa[`at`]aaaaaa.`com`}, thanks to you
+{email|aaa@aaaa.`com`}, {email|a99(`at`)a.`org`} and {email|aa(`at`)aaa.aa.`net`}
+write {email|aaaa [`at`] aaaaaaa [`dot`] `org`} about it
+so {email|aaaaaa.aaa (`at`) aaaaa (`dot`) `net`}, is hers
+ask {email|aaaaa [`at`] aaaaaa.`com`} today
+the password: {secret|aaaaaaaaaaaaaaaa} is old
+his token: {secret|aaaaaaaaaa}, not hers
+Password: {secret|aaaaaa} and name
+the passwd: {secret|AAAAaaaaaaaa}.
+a secret = {secret|aaaaaaaaaaaaaa} in it
+with {secret|`password=`aaaaaaaaaaaa} there
+The password is reset by mail, and the token ring is a network
+A secret garden; the key idea, a card game: call me later
+She asked for the password, the secret token and the phone
+(see above) and [sic], at the end (at least once) of it
+He said: "Well, it's well-known" - and/or so, e.g. THIS OR THAT.
+Dot by dot, at home. Look at it! What? Yes... the end
+El niño y la niña; über die Straße, où est-il? ça va
+name: John, title: Story, note: nothing to see
+{none|aaaaaaaaa} the {none|aaaaaaaaaaaaaa} of {none|aaaaaaaaaaaaaaaaaaaa}, {none|aaaaaaaa}: {none|Aaaaaaaaaaa} {none|aaaaaaaaaaaaaaaaa}.
+In {none|Aaaaaaaaaaaaa}; {none|aaaaaa aaaaaaaaaa} - {none|aaaaaaaaaaa.} {none|AAAAAAAAAA AAAAAAAAAAAA, AAAAAA! AAAAAAAAAAAAAAAA}
+{none|aaaaaaaaaaaa*** aaaaaaa&&& aaa%%% aaaaaaaaaaaa,### aaaaaaaaa$$$ aaaaaa.***} {none|AAAAAA!! AAAAAAAA.!! AAAAAAAAAAAA,!!}
+{none|aaaaaaaaaa.&&& Aaaaaaaaaaaaaa*** aaaaaaaa.### aaa aaaaaaaaaaa&&&}
+{none|aaaaaaaaaaa} 999 {none|aaaaaaaaaaaa} 99, {none|aaaaaaaa aaaaaaaaaaaaa} {phone|+9 (999) 999-9999} {none|aaaaaaaaaa}
+{none|aaaaaaaaa} {ip|99.99.99.99}, {none|aaaaaaaaaaaa aaaaaa} {email|aaaa.aa@aaaa.`com`} {none|aaaaaaaaaaaaa} {card|4999999999999999} {none|aaaaaaaaaaaa}
+{none|aaaaaaaa aaaaaaaa.} {secret|`token = "`ffffffffffffffffffffffffffffffffffffffff`"`} {none|aaaaaaaaaa aaaaaaaaaaaaaaaa} | {none|aaaaaaaa} | {none|aaaaa}
+{none|aaaaaaaaaa} {secret|`password=`aaa99aaa9}, {none|aaaaaaaaaaaaaa aaaa} {secret|`AKIA`AAAAAA9AAAA9AAAA} {none|aaaaaaaaaaa}
 """
 KEYS = frozenset("password passwd pwd token key secret apikey api_key auth bearer call phone tel card mail email".split())
+SECRETS = frozenset("password passwd pwd passphrase token secret apikey api_key".split())
 _ALPHABET = {"9": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "f": "0123456789abcdef"}
 
 
@@ -135,7 +168,8 @@ def labelled_table(copies: int = 8, seed: int = 7) -> list[tuple[str, list[tuple
                 shown = ""
                 for k, piece in enumerate(pattern.split("`")):
                     shown += piece if k % 2 else "".join(draw.choice(_ALPHABET[c]) if c in _ALPHABET else c for c in piece)
-                spans.append((len(text), len(text) + len(shown), kind))
+                if kind != "none":
+                    spans.append((len(text), len(text) + len(shown), kind))
                 text += shown
             out.append((text, spans))
     return out
@@ -157,31 +191,121 @@ def marked(word: str) -> bool:
     return _MARKER.search(word) is not None
 
 
-def _features(words: list[str], i: int) -> list[str]:
-    """Features of the marked word i. Neighbours are given by their shapes; unmarked ones all look alike."""
-    word = words[i]
-    near = lambda j: (shape(words[j]) if marked(words[j]) else "plain") if 0 <= j < len(words) else "none"
+def _near(word: str) -> str:
+    """What a neighbour looks like: the shape of a marked word, or a bracketed at or dot; others all look alike."""
+    wrapped = _WRAPPED.fullmatch(word.rstrip(".,;:"))
+    return shape(word) if marked(word) else wrapped[1].lower() if wrapped else "plain"
+
+
+def _keyword(word: str) -> bool:
+    return word.strip("\"'.,;:=()").lower() in KEYS
+
+
+def _teller(word: str) -> int:
+    """1 for a secret's key word that ends in a colon or equals sign, 2 for one that does not, 3 for the sign alone."""
+    if word in (":", "="):
+        return 3
+    return (1 if word[-1] in ":=" else 2) if word.strip("\"'.,;:=()").lower() in SECRETS else 0
+
+
+def _bare(word: str) -> str:
+    return word.strip("\"'.,;:()[]")
+
+
+def _own_features(word: str) -> list[str]:
     digits, letters = len(_DIGITS.findall(word)), sum(c.isalpha() for c in word)
-    bare = word.strip("\"'.,;:()[]")
-    keyed = any(words[j].strip("\"'.,;:=()").lower() in KEYS for j in (i - 1, i - 2) if j >= 0)
+    bare = _bare(word)
+    head = "plain" if not marked(word) and not (bare.isupper() and letters > 8) else bare[:4].lower() if bare[:1].isalpha() else shape(bare[:4])
     return [
         "bias", "shape=" + shape(word), "bare=" + shape(bare), f"len={min(len(bare), 48) // 4}", f"digits={min(digits, 20)}",
-        f"mixed={digits > 0 and letters > 0}:{min(len(bare), 48) // 8}", "head=" + bare[:4].lower() if bare[:1].isalpha() else "head=" + shape(bare[:4]),
-        f"at={'@' in word}:{'.' in bare}", f"equals={'=' in word}:{len(bare) > 8}", "before=" + near(i - 1), "after=" + near(i + 1), f"keyed={keyed}:{len(bare) > 8}",
+        f"mixed={digits > 0 and letters > 0}:{min(len(bare), 48) // 8}", "head=" + head,
+        f"at={'@' in word}:{'.' in bare}", f"equals={'=' in word}:{len(bare) > 8}", f"wrapped={_WRAPPED.search(word) is not None}:{_near(word) in ('at', 'dot')}",
     ]
 
 
+def _features(words: list[str], i: int) -> list[str]:
+    """Features of the word i: its own, and those of the words beside it."""
+    near = lambda j: _near(words[j]) if 0 <= j < len(words) else "none"
+    keyed = any(_keyword(words[j]) for j in (i - 1, i - 2) if j >= 0)
+    tellers = [_teller(words[j]) if j >= 0 else 0 for j in (i - 1, i - 2)]
+    told = tellers[0] == 1 or tellers[0] == 3 and tellers[1] in (1, 2)
+    long = len(_bare(words[i])) > 8
+    return [*_own_features(words[i]), "before=" + near(i - 1), "after=" + near(i + 1), f"keyed={keyed}:{long}", f"told={told}"]
+
+
 def words_of(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    return [m.span() for m in _WORD.finditer(text)]
+
+
+def _like(word: str) -> str:
+    """A word of the same features: lower-case letters, after at most one capital and before punctuation, are as good as others."""
+    stem = word.rstrip(_TAIL)
+    if not stem.isalpha() or not (stem[1:].islower() or len(stem) == 1 and stem.islower()) or stem.lower() in KEYS or stem.lower() in SECRETS:
+        return word
+    return ("A" if stem[0].isupper() else "a") + "a" * (len(stem) - 1) + word[len(stem) :]
+
+
+class Lexicon(dict):
+    """The words seen so far, as numbers, with what the field's scores need of each. Number 0 is a text's border."""
+
+    def __init__(self, field: Field):
+        super().__init__()
+        self.field, self.size, self.kinds = field, 0, 0
+        self.nears: dict[str, int] = {}
+        self.beside = np.zeros((64, 2, len(LABELS)))  # a neighbour's share of the score when it stands before, and after
+        self.own = np.zeros((1024, len(LABELS)))
+        self.facts = np.zeros((1024, 4), np.int32)  # neighbour's look, key word, teller, longer than 8
+        self._look("none")
+
+    def _look(self, near: str) -> int:
+        k = self.nears.setdefault(near, len(self.nears))
+        if k >= len(self.beside):
+            self.beside = np.concatenate([self.beside, np.zeros_like(self.beside)])
+        self.beside[k] = [self.field.emission(["before=" + near]), self.field.emission(["after=" + near])]
+        return k
+
+    def __missing__(self, word: str) -> int:
+        self.size += len(word) + 64
+        like = _like(word)
+        if like != word:
+            k = self[word] = self[like]
+            return k
+        self.kinds += 1
+        k = self.kinds
+        if k >= len(self.own):
+            self.own, self.facts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.own, self.facts))
+        self.own[k] = self.field.emission(_own_features(word))
+        self.facts[k] = self._look(_near(word)), _keyword(word), _teller(word), len(_bare(word)) > 8
+        self[word] = k
+        return k
+
+    def numbers(self, text: str) -> list[np.ndarray]:
+        """The numbers of the text's words; the words are held for a piece of the text at a time."""
+        out, at = [], 0
+        while at < len(text):
+            space = _SPACE.search(text, at + _PIECE)
+            end = space.start() if space else len(text)
+            words = _WORD.findall(text, at, end)
+            out.append(np.fromiter(map(self.__getitem__, words), np.int32, len(words)))
+            at = end
+        return out
+
+
+#: Characters of a text that are split into words at once, words that are scored at once, and the size of a lexicon that is dropped.
+_PIECE, _STEP, _LEXICON = 1 << 20, 1 << 17, 1 << 25
 
 
 class Field:
-    """A linear-chain conditional random field over the runs of marked words."""
+    """A linear-chain conditional random field over the words of a text."""
 
     def __init__(self) -> None:
         self.index: dict[str, int] = {}
         self.weights = np.zeros((0, len(LABELS)))
         self.moves = np.zeros((len(LABELS), len(LABELS)))
+        self.lexicon: Lexicon | None = None
+
+    def emission(self, features: list[str]) -> np.ndarray:
+        return self.weights[self.rows(features)].sum(0)
 
     def rows(self, features: list[str]) -> list[int]:
         return [self.index[f] for f in features if f in self.index]
@@ -192,12 +316,11 @@ class Field:
             at = words_of(text)
             words = [text[a:b] for a, b in at]
             label = lambda a, b: next((LABELS.index(k) for s, e, k in spans if a < e and s < b), 0)  # noqa: B023, E731
-            for run in _runs([marked(w) for w in words]):
-                features = [_features(words, i) for i in run]
-                runs.append((features, [label(*at[i]) for i in run]))
-                for f in features:
-                    for x in f:
-                        self.index.setdefault(x, len(self.index))
+            features = [_features(words, i) for i in range(len(words))]
+            runs.append((features, [label(*p) for p in at]))
+            for f in features:
+                for x in f:
+                    self.index.setdefault(x, len(self.index))
         self.weights = np.zeros((len(self.index), len(LABELS)))
         by_length = defaultdict(list)
         for features, labels in runs:
@@ -239,74 +362,82 @@ class Field:
             grad_m += np.einsum("ni,nj->ij", seen[:, t - 1], seen[:, t]) - pair.sum(0)
 
     def decode(self, runs: list[list[list[str]]]) -> list[list[int]]:
-        """The best labels of each run, by Viterbi over all runs of one length at once."""
-        out: list[list[int]] = [[] for _ in runs]
-        by_length = defaultdict(list)
-        for k, run in enumerate(runs):
-            by_length[len(run)].append(k)
-        for length, own in by_length.items():
-            for part in range(0, len(own), 4096):
-                some = own[part : part + 4096]
-                emit = np.array([[self.weights[self.rows(f)].sum(0) for f in runs[k]] for k in some])
-                best, came = self.moves[0] + emit[:, 0], np.zeros(emit.shape, np.int64)
-                for t in range(1, length):
-                    step = best[:, :, None] + self.moves
-                    came[:, t] = step.argmax(1)
-                    best = step.max(1) + emit[:, t]
-                label = (best + self.moves[:, 0]).argmax(1)
-                path = [label]
-                for t in range(length - 1, 0, -1):
-                    label = came[np.arange(len(some)), t, label]
-                    path.append(label)
-                for k, labels in zip(some, np.stack(path[::-1], 1).tolist()):
-                    out[k] = labels
+        """The best labels of each run of words, which are given by their features."""
+        offsets = np.cumsum([0, *map(len, runs)])
+        labels = self._best(np.array([self.emission(f) for run in runs for f in run]).reshape(-1, len(LABELS)), offsets).tolist()
+        return [labels[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+
+    def _best(self, emit: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The best labels of runs of scored words, emit[offsets[i]:offsets[i + 1]], by Viterbi over all runs side by side."""
+        order = np.argsort(-np.diff(offsets), kind="stable")
+        sizes, starts = np.diff(offsets)[order], offsets[:-1][order]
+        out = np.zeros(len(emit), np.int64)
+        came, label = [], np.zeros(len(sizes), np.int64)
+        longest = int(sizes[0]) if len(sizes) else 0
+        best = np.zeros((len(sizes), len(LABELS)))
+        for t in range(longest):
+            n = int(np.searchsorted(-sizes, -t, "left"))  # runs longer than t
+            step = best[:n, :, None] + self.moves if t else np.broadcast_to(self.moves[0], (n, 1, len(LABELS)))
+            came.append(step.argmax(1).astype(np.int8))
+            best = step.max(1) + emit[starts[:n] + t]
+            ended = sizes[:n] == t + 1
+            label[:n][ended] = (best[ended] + self.moves[:, 0]).argmax(1)
+        for t in range(longest - 1, -1, -1):
+            n = len(came[t])
+            out[starts[:n] + t] = label[:n]
+            if t:  # runs that end before t keep their last label
+                label[:n] = came[t][np.arange(n), label[:n]]
         return out
 
-
-def _runs(flags: list[bool]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for i, flag in enumerate(flags):
-        if flag and out and out[-1][-1] == i - 1:
-            out[-1].append(i)
-        elif flag:
-            out.append([i])
-    return out
-
-
-def _marked_runs(text: str) -> list[tuple[list[tuple[int, int]], list[str], list[str]]]:
-    """The runs of marked words: their places, the words, and up to two words before and one after, found without splitting
-    the whole text."""
-    places: list[tuple[int, int]] = []
-    m = _MARKER.search(text)
-    floor = 0
-    while m:
-        start = m.start()
-        while start > floor and not _SPACE.match(text, start - 1):
-            start -= 1
-        space = _SPACE.search(text, m.end())
-        end = space.start() if space else len(text)
-        places.append((start, end))
-        floor = end
-        m = _MARKER.search(text, end)
-    runs: list[list[tuple[int, int]]] = []
-    for a, b in places:
-        if runs and not text[runs[-1][-1][1] : a].strip(" \t\n\x0b\x0c\r"):
-            runs[-1].append((a, b))
-        else:
-            runs.append([(a, b)])
-    return [(run, _before(text, run[0][0]), _after(text, run[-1][1])) for run in runs]
-
-
-#: Characters of an unmarked neighbour that are looked at; only short key words matter there.
-_NEAR = 64
-
-
-def _before(text: str, start: int) -> list[str]:
-    return re.split(r"[\x20\x09-\x0D]+", text[max(0, start - 2 * _NEAR) : start].strip(" \t\n\x0b\x0c\r"))[-2:] if start else []
+    def labelled(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """For each text the places among its words, and the labels, of the words that are not outside on the best path."""
+        if self.lexicon is None or self.lexicon.size > _LEXICON:
+            self.lexicon = Lexicon(self)
+        lexicon, border = self.lexicon, np.zeros(2, np.int32)
+        pieces, starts, at = [border], [], 2
+        for text in texts:
+            own = lexicon.numbers(text)
+            starts.append(at)
+            at += sum(map(len, own)) + 2
+            pieces += [*own, border]
+        words = np.concatenate(pieces)
+        near, keyword, teller, long = lexicon.facts[words].T
+        keyed = keyword[1:-1] | keyword[:-2]  # of the words from the third on, as below
+        told = (teller[1:-1] == 1) | (teller[1:-1] == 3) & ((teller[:-2] == 1) | (teller[:-2] == 2))
+        keyed_share = np.array([self.emission([f"keyed={k}:{b}"]) for k in (False, True) for b in (False, True)])
+        told_share = np.array([self.emission([f"told={k}"]) for k in (False, True)])
+        # what a label could gain at most over "outside" from the labels beside it
+        gain = (self.moves - self.moves[:, :1]).max(0) + (self.moves - self.moves[:1]).max(1)
+        places, emits = [], []
+        for lo in range(2, len(words) - 2, _STEP):
+            hi = min(lo + _STEP, len(words) - 2)
+            emit = lexicon.own[words[lo:hi]] + lexicon.beside[near[lo - 1 : hi - 1], 0] + lexicon.beside[near[lo + 1 : hi + 1], 1]
+            emit += keyed_share[2 * keyed[lo - 2 : hi - 2] + long[lo:hi]] + told_share[told[lo - 2 : hi - 2].astype(np.int8)]
+            still = ((emit + gain)[:, 1:] >= emit[:, :1]).any(1) & (words[lo:hi] > 0)
+            places.append(np.flatnonzero(still) + lo)
+            emits.append(emit[still])
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        if not places:
+            return out
+        open_ = np.concatenate(places)
+        offsets = np.concatenate([np.flatnonzero(np.diff(open_, prepend=-1) != 1), [len(open_)]])
+        labels = self._best(np.concatenate(emits), offsets)
+        real = labels > 0
+        owner = np.searchsorted(np.array(starts), open_[real], "right") - 1
+        for k, place, label in zip(owner.tolist(), open_[real].tolist(), labels[real].tolist()):
+            out[k].append((place - starts[k], label))
+        return out
 
 
-def _after(text: str, end: int) -> list[str]:
-    return [w for w in re.split(r"[\x20\x09-\x0D]+", text[end : end + _NEAR]) if w][:1]
+def _spans_of(text: str, wanted: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Starts and ends of some of the text's words, which are given by their places in ascending order."""
+    out: list[tuple[int, int]] = []
+    for i, m in enumerate(_WORD.finditer(text)):
+        if len(out) == len(wanted):
+            break
+        if i == wanted[len(out)][0]:
+            out.append(m.span())
+    return out
 
 
 def find_all(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
@@ -314,21 +445,14 @@ def find_all(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span
     bases = [base_spans(t) if t and _MARKER.search(t) else [] for t in texts]
     covered = [_covered(base) for base in bases]
     found: list[list[Span]] = [[] for _ in texts]
-    runs, owners = [], []
-    for k, text in enumerate(texts):
-        for places, before, after in _marked_runs(text) if text else []:
-            before = [w for w in before if w]
-            words = before + [text[a:b] for a, b in places] + after
-            runs.append([_features(words, len(before) + i) for i in range(len(places))])
-            owners.append((k, places))
-    for (k, places), labels in zip(owners, field.decode(runs)):
+    for k, labels in enumerate(field.labelled(texts)):
+        places = _spans_of(texts[k], labels) if labels else []
         i = 0
         while i < len(labels):
             j = i
-            while j + 1 < len(labels) and labels[j + 1] == labels[i]:
+            while j + 1 < len(labels) and labels[j + 1] == (labels[j][0] + 1, labels[i][1]):
                 j += 1
-            if labels[i]:
-                found[k] += [(a, labels[i] - 1, b) for a, b in _beside(texts[k], places[i : j + 1], covered[k])]
+            found[k] += [(a, labels[i][1] - 1, b) for a, b in _beside(texts[k], places[i : j + 1], covered[k])]
             i = j + 1
     return [(base, sorted(base + new)) for base, new in zip(bases, found)]
 

@@ -83,8 +83,8 @@ class Labels:
     def __init__(self, kind):
         self.label = pii.LABELS.index(kind)
 
-    def decode(self, runs):
-        return [[self.label] * len(run) for run in runs]
+    def labelled(self, texts):
+        return [[(i, self.label) for i in range(len(pii.words_of(t)))] for t in texts]
 
 
 @pytest.mark.parametrize(
@@ -103,6 +103,37 @@ def test_items_beside_a_base_span_are_kept(kind, text, left):
     assert [text[a:b] for a, _, b in every if (a, _, b) not in base] == left
 
 
+@pytest.mark.parametrize(
+    ("text", "masked"),
+    [
+        ("write to jane(at)example.org now", "write to [EMAIL] now"),
+        ("please ask jane [at] example [dot] org about it", "please ask [EMAIL] about it"),
+        ("the password: correcthorsebattery is old", "the password: [SECRET] is old"),
+        ("his token: swordfishes, not hers", "his token: [SECRET], not hers"),
+        ("password: hunterabc", "password: [SECRET]"),
+    ],
+)
+def test_personal_data_without_digits(field, text, masked):
+    (_, every), = pii.find_all([text], field)
+    assert pii.masked(text, every) == masked
+
+
+def test_prose_has_no_personal_data(field):
+    texts = ["The password was changed, and the secret is safe.", "Call me (at home) or write a mail; look at the dot.", "Der Schlüssel liegt über der Tür.", "THE END"]
+    assert [every for _, every in pii.find_all(texts, field)] == [[]] * len(texts)
+
+
+def test_splitting_at_sure_words_is_exact(field, plain):
+    """Labels of whole texts in one block against Viterbi over all their words."""
+    texts = [t for t in list(plain.values())[:40] if t] + ["", " ", "x", "jane [at] example [dot] org token = abc1"]
+    want = []
+    for t in texts:
+        words = [t[a:b] for a, b in pii.words_of(t)]
+        labels = field.decode([[pii._features(words, i) for i in range(len(words))]])[0] if words else []
+        want.append([(i, k) for i, k in enumerate(labels) if k])
+    assert field.labelled(texts) == want and any(want)
+
+
 def test_rows(messy, none):
     got = pii.personal_data(messy).collect()
     assert len(got) == len(MESSY)
