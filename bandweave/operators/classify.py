@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.stages import cut
+from .similarity import top_k
+
 
 def knn_votes(neighbours: DataFrame, k: int, k_max: int | None = None) -> DataFrame:
     """query_id, predicted, k_used: the most frequent class among the k nearest; on a tie k grows until one class leads.
@@ -25,6 +28,27 @@ def knn_votes(neighbours: DataFrame, k: int, k_max: int | None = None) -> DataFr
     return out.select("query_id", F.coalesce("predicted", "nearest").alias("predicted"), F.coalesce("k_used", F.lit(1)).alias("k_used"))
 
 
+def knn_classes(queries: DataFrame, objects: DataFrame, k: int, most: int = 20) -> DataFrame:
+    """query_id, predicted, k_used of the votes of the nearest objects (euclidean), for every query. queries: id, vec; objects: id, vec, class.
+
+    The `most` nearest are looked at first. Queries still tied there go through further rounds with twice as many, until one
+    class leads or the objects end; only then is the nearest neighbour's class taken. k must be at least 2.
+    """
+    n, out = objects.count(), None
+    classes = objects.select(F.col("id").alias("object_id"), "class")
+    while True:
+        near = top_k(queries, objects, "euclidean", most).join(classes, "object_id").select("query_id", "rank", "class")
+        votes = cut(knn_votes(cut(near), k))
+        tied = votes.where(F.col("k_used") < k)
+        last = most >= n or tied.isEmpty()
+        done = votes if last else votes.where(F.col("k_used") >= k)
+        out = done if out is None else out.unionByName(done)
+        if last:
+            return out
+        queries = cut(queries.join(tied.select(F.col("query_id").alias("id")), "id", "left_semi"))
+        most *= 2
+
+
 def majority(votes: DataFrame) -> DataFrame:
     """query_id, predicted: the most frequent class of votes (query_id, class); the smallest on ties."""
     counted = votes.groupBy("query_id", "class").agg(F.count("*").alias("n"))

@@ -191,14 +191,9 @@ def lsh_rerank(spark, d):
 # ---- classification ----
 
 
-def _neighbours(spark, d, most: int = 20) -> DataFrame:
-    v = _vectors(spark, d)
-    top = similarity.top_k(v.where(~_train(F.col("id"))), v.where(_train(F.col("id"))), "euclidean", most)
-    return top.join(v.select(F.col("id").alias("object_id"), "class"), "object_id").select("query_id", "rank", "class")
-
-
 def knn_classify_tiebreak(spark, d):
-    out = classify.knn_votes(cut(_neighbours(spark, d)), 5)
+    v = _vectors(spark, d)
+    out = classify.knn_classes(v.where(~_train(F.col("id"))), v.where(_train(F.col("id"))), 5)
     return out.select("query_id", "predicted", long("k_used").alias("k_used"))
 
 

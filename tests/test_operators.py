@@ -11,6 +11,7 @@ from bandweave.functions import bands, ids, vectors
 from bandweave.operators import classify, cluster, feedback, graph, lsh, report, sequence, similarity, symbolic, weights
 from bandweave.operators.latent import Technique, latent, sim_rows, topic_terms
 from bandweave.plans.stages import Stages
+from bandweave.queries import vectors as vector_queries
 from bandweave.sources import files, series
 
 SERIES = "object_id long, component string, sensor string, t int, value double"
@@ -166,6 +167,19 @@ def test_knn_ties_grow_k(spark):
     assert got == {1: ("b", 3), 2: ("a", 1)}
 
 
+def test_knn_ties_grow_past_the_first_round(spark, tmp_path):
+    """Two training rows of each class by distance, so that no class leads before a third of one comes at rank 25."""
+    train = [i for i in range(90) if i % 10 < 3][:25]
+    rows = [(i, [1.0 + r], r // 2 if r < 24 else 5) for r, i in enumerate(train)] + [(3, [0.0], 0), (4, [200.0], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/a/embeddings.parquet")
+    got = {r.query_id: (r.predicted, r.k_used) for r in vector_queries.knn_classify_tiebreak(spark, f"{tmp_path}/a").collect()}
+    assert got == {3: (5, 25), 4: (5, 15)}
+    rows = [r for r in rows if r[0] != train[24]]  # the third row is gone: nothing settles it
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/b/embeddings.parquet")
+    got = {r.query_id: (r.predicted, r.k_used) for r in vector_queries.knn_classify_tiebreak(spark, f"{tmp_path}/b").collect()}
+    assert got == {3: (0, 1), 4: (11, 1)}
+
+
 def test_cart_separates_a_grid(spark):
     x = np.random.default_rng(4).uniform(-1, 1, (200, 2))
     y = (x[:, 0] > 0).astype(int) + 2 * (x[:, 1] > 0.3).astype(int)
