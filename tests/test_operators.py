@@ -161,6 +161,20 @@ def test_lsh_recall_and_exact_bucket(spark):
     assert found.groupBy("query_id").count().where("count < 10").count() == 0
 
 
+def test_lsh_recall_against_brute_force(spark, data):
+    """Recall@10 of the registered probe, as the README states it, and with a minimum that grows with the table."""
+    v = vector_queries._vectors(spark, data)
+    exact = vector_queries.latent_cosine_topk(spark, data).select("query_id", "object_id").cache()
+    coded = lsh.codes(v, vector_queries.PLANES).cache()
+    n = v.count()
+    recall = lambda found: exact.join(found, ["query_id", "object_id"], "left_semi").count() / exact.count()
+    registered = recall(vector_queries.lsh_multiprobe(spark, data))
+    grown = recall(lsh.probe(coded.where("object_id % 20 = 0"), coded, 8, n // 2))
+    if data.endswith("sf0.001"):
+        assert registered == pytest.approx(0.40, abs=0.005)
+    assert grown >= 0.9 > registered
+
+
 def test_knn_ties_grow_k(spark):
     rows = [(1, 1, "a"), (1, 2, "b"), (1, 3, "b"), (2, 1, "a"), (2, 2, "b")]
     got = {r.query_id: (r.predicted, r.k_used) for r in classify.knn_votes(spark.createDataFrame(rows, "query_id long, rank int, class string"), 2).collect()}
