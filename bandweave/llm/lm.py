@@ -4,12 +4,16 @@ Counts. Words are counted over every training text; partial counts are summed be
 words, at most HEAD (a fixed number), are sent to all tasks. Rarer words meet their counts by a shuffle on the word: none of them
 is frequent, so no task gets a hot key.
 
-Model. A gated recurrent unit reads the words of a text. Its output vocabulary is the most frequent words, the end of a text,
-and one symbol for all other words; they are dealt into classes by frequency, and a word's probability is that of its class
-times its share in the class. For the other words the symbol's probability is multiplied by the word's smoothed share of all
-such words in the corpus counts, so every text has a probability. Weights are trained in numpy by truncated backpropagation,
-with the state carried from window to window. Only the weights come from a bounded sample of training texts (SAMPLE); all
-counts cover all training texts.
+Model. A minimal gated recurrent unit reads the words of a text: each word has a gate z and a value c, and the state becomes
+(1 - z) * state + z * c. Its output vocabulary is the most frequent words, the end of a text, and one symbol for all other
+words; they are dealt by frequency into classes of growing size, and a word's probability is that of its class times its share
+in the class. For the other words the symbol's probability is multiplied by the word's smoothed share of all such words in the
+corpus counts, so every text has a probability.
+
+Training. Every training text is learnt from once. The texts are dealt by a hash into rounds of growing size; in a round each
+task trains on the texts of its partition, in numpy by truncated backpropagation with the state carried from window to window,
+from the weights of the round before, and the weights that come out are averaged by the tokens they have seen. What is sent is
+weights, so its size doesn't depend on the texts; no text reaches the driver.
 
 Scoring. Texts are sorted by length and go through the network side by side, window by window, with the state carried along,
 so a text of any length is scored whole.
@@ -17,194 +21,215 @@ so a text of any length is scored whole.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, bytes_of, cut, mix64, small_batches, word_hashes
 
-#: Words whose counts are sent to all tasks, and training texts (those with the smallest hash of their id) that fit the weights.
-HEAD, SAMPLE = 1 << 18, 1200
-CLASSES, PER_CLASS, HIDDEN, EMBEDDED = 24, 24, 24, 16
-WINDOW, LANES, EPOCHS, RATE, SEED = 20, 64, 3, 0.01, 5
-#: Bytes of text that go through the network side by side.
-GROUP = 12 << 20
-END, OTHER = 0, 1
+#: Words whose counts are sent to all tasks.
+HEAD = 1 << 18
+VOCABULARY, CLASSES, HIDDEN = 4096, 40, 24
+WINDOW, LANES, SEED = 20, 512, 5
+#: The rounds of training: of 64 parts of the training texts, how many each takes, and its rate.
+ROUNDS = ((2, 0.02), (8, 0.02), (22, 0.01), (32, 0.005))
+#: Bytes of text that a task trains on at once, and that go through the network side by side when they are scored.
+TRAINED, GROUP = 4 << 20, 12 << 20
+#: Tokens of texts of any number that are scored at once; weights in a message, and sums of messages that reach the driver.
+STEP, BLOCK, PARTS = 1 << 13, 1 << 13, 4
+OTHER, END = 0, 1
 SMOOTHING = 0.1
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def class_edges(vocabulary: int, classes: int) -> np.ndarray:
+    """The first word of each class, and the vocabulary's size: OTHER and END are classes of their own, the others grow by a
+    constant factor, so that frequent words stand in small classes."""
+
+    def sizes(growth: float) -> np.ndarray:
+        return np.ceil(4 * growth ** np.arange(classes - 2)).astype(np.int64)
+
+    low, high = 1.0, 2.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sizes(middle).sum() < vocabulary - 2 else (low, middle)
+    return np.minimum(np.concatenate([[0, 1, 2], 2 + np.cumsum(sizes(high))]), vocabulary)
 
 
 class Network:
-    """A gated recurrent unit with a class-factored output. Output word i belongs to class i // PER_CLASS."""
+    """A minimal gated recurrent unit with a class-factored output; frequency: counts of OTHER, END and the other words."""
 
     def __init__(self, frequency: np.ndarray, seed: int = SEED):
         draw = np.random.default_rng(seed)
-        n, h = CLASSES * PER_CLASS, HIDDEN
-        weight = lambda *shape: (draw.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)
+        n, h = VOCABULARY, HIDDEN
+        self.edges = class_edges(n, CLASSES)
+        self.class_of = (np.searchsorted(self.edges, np.arange(n), "right") - 1).astype(np.int16)
         share = np.full(n, 1e-6)
         share[: len(frequency)] += frequency / max(1.0, frequency.sum())
-        share = share.reshape(CLASSES, PER_CLASS)
+        of_class = np.add.reduceat(share, self.edges[:-1])
+        weight = lambda scale, *shape: (draw.standard_normal(shape) * scale).astype(np.float32)
         self.p = {
-            "embed": weight(n, EMBEDDED) * np.float32(2), "wx": weight(EMBEDDED, 3 * h), "b": np.zeros(3 * h, np.float32), "u": weight(h, 3 * h),
-            "wc": weight(h, CLASSES) * np.float32(0.1), "bc": np.log(share.sum(1)).astype(np.float32),
-            "ww": weight(CLASSES, h, PER_CLASS) * np.float32(0.1), "bw": np.log(share / share.sum(1, keepdims=True)).astype(np.float32),
+            "gate": weight(0.5, n, h), "value": weight(0.7, n, h), "wc": weight(0.1 / h**0.5, h, CLASSES), "bc": np.log(of_class).astype(np.float32),
+            "ww": weight(0.1 / h**0.5, h, n), "bw": np.log(share / of_class[self.class_of]).astype(np.float32),
         }
 
-    def inputs(self) -> np.ndarray:
-        """The input side of the gates for every word."""
-        return self.p["embed"] @ self.p["wx"] + self.p["b"]
+    def gates(self) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.p["gate"], -30, 30)))
 
-    def step(self, gx: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-        h = HIDDEN
-        gh = state @ self.p["u"]
-        zr = _sigmoid(gx[:, : 2 * h] + gh[:, : 2 * h])
-        z, r = zr[:, :h], zr[:, h:]
-        c = 2 * _sigmoid(2 * (gx[:, 2 * h :] + r * gh[:, 2 * h :])) - 1
-        return c + z * (state - c), z, r, c, gh[:, 2 * h :]
+    def states(self, before: np.ndarray, state: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For words that stand before (steps x texts) and the state before them: the states, and the shares kept, the gates and
+        the values at each step. A state starts anew after END."""
+        z, value = gate[before], self.p["value"][before]
+        keep = 1 - z
+        keep[before == END] = 0
+        out = z * value
+        for t in range(len(before)):
+            out[t] += keep[t] * (out[t - 1] if t else state)
+        return out, keep, z, value
 
     def log_likelihood(self, states: np.ndarray, words: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probabilities of the words after the states; with grad, also the gradient of the states."""
-        p, classes = self.p, words // PER_CLASS
+        p, classes = self.p, self.class_of[words]
+        order = np.argsort(classes, kind="stable")
+        classes, words, states = classes[order], words[order], states[order]
+        to = np.searchsorted(classes, np.arange(len(self.edges)))
+        one = np.ones(max(len(words), 1), np.float32)
+
+        def chosen(logits: np.ndarray, target: np.ndarray) -> np.ndarray:
+            """The log share of each row's target; with grad, the logits become the gradient of that."""
+            rows = np.arange(len(target))
+            logits -= logits.max(1, keepdims=True)
+            out = logits[rows, target]
+            np.exp(logits, out=logits)
+            total = logits.sum(1)
+            if grad is not None:
+                logits *= (-1 / total)[:, None]
+                logits[rows, target] += 1
+            return out - np.log(total)
+
         logits = states @ p["wc"] + p["bc"]
-        logits -= logits.max(1, keepdims=True)
-        shares = np.exp(logits)
-        total = shares.sum(1)
-        rows = np.arange(len(words))
-        out = logits[rows, classes] - np.log(total)
-        back = None
+        found, back = chosen(logits, classes), None
         if grad is not None:
-            shares /= -total[:, None]
-            shares[rows, classes] += 1
-            grad["wc"] += states.T @ shares
-            grad["bc"] += shares.sum(0)
-            back = shares @ p["wc"].T
-        order = np.argsort(classes.astype(np.int8), kind="stable")
-        edges = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[edges[c] : edges[c + 1]]
-            if not len(own):
+            grad["wc"] += states.T @ logits
+            grad["bc"] += one[: len(words)] @ logits
+            back = logits @ p["wc"].T
+        for c in range(len(self.edges) - 1):
+            (i, j), (a, b) = to[c : c + 2], self.edges[c : c + 2]
+            if i == j or b - a < 2:
                 continue
-            some, inner = states[own], words[own] % PER_CLASS
-            logits = some @ p["ww"][c] + p["bw"][c]
-            logits -= logits.max(1, keepdims=True)
-            shares = np.exp(logits)
-            total = shares.sum(1)
-            rows = np.arange(len(own))
-            out[own] += logits[rows, inner] - np.log(total)
+            own = states[i:j]
+            logits = own @ p["ww"][:, a:b] + p["bw"][a:b]
+            found[i:j] += chosen(logits, words[i:j] - a)
             if grad is not None:
-                shares /= -total[:, None]
-                shares[rows, inner] += 1
-                grad["ww"][c] += some.T @ shares
-                grad["bw"][c] += shares.sum(0)
-                back[own] += shares @ p["ww"][c].T
-        return out, back
-
-    def fit(self, texts: list[np.ndarray], epochs: int = EPOCHS) -> Network:
-        """Truncated backpropagation over lanes of texts; texts are arrays of word numbers that end with END."""
-        texts = [t for t in texts if len(t)]
-        if not texts:
-            return self
-        lanes: list[list[np.ndarray]] = [[] for _ in range(min(LANES, len(texts)))]
-        for t in sorted(texts, key=len, reverse=True):
-            min(lanes, key=lambda lane: sum(map(len, lane))).append(t)
-        length = max(sum(map(len, lane)) for lane in lanes)
-        words, first = np.full((len(lanes), length), -1, np.int64), np.zeros((len(lanes), length), bool)
-        draw = np.random.default_rng(SEED)
-        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
-        steps, of = 0, epochs * -(-length // WINDOW)
-        for _ in range(epochs):
-            words[:] = -1
-            first[:] = False
-            for row, lane in enumerate(lanes):
-                at = 0
-                for k in draw.permutation(len(lane)):
-                    words[row, at : at + len(lane[k])] = lane[k]
-                    first[row, at] = True
-                    at += len(lane[k])
-            state = np.zeros((len(lanes), HIDDEN), np.float32)
-            before = np.full(len(lanes), END)
-            for lo in range(0, length, WINDOW):
-                state, grad, n = self._window(words[:, lo : lo + WINDOW], first[:, lo : lo + WINDOW], before, state)
-                before = words[:, min(lo + WINDOW, length) - 1]
-                steps += 1
-                norm = float(np.sqrt(sum((g**2).sum() for g in grad.values()))) / max(1, n)
-                rate = RATE * max(0.05, 1 - steps / of)
-                for k, g in grad.items():
-                    g = g / max(1, n) / max(1.0, norm)
-                    m, v = moments[k]
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    self.p[k] += rate * (m / (1 - 0.9**steps)) / (np.sqrt(v / (1 - 0.99**steps)) + 1e-8)
-        return self
-
-    def _window(self, words: np.ndarray, first: np.ndarray, before: np.ndarray, state: np.ndarray):
-        p, h = self.p, HIDDEN
-        grad = {k: np.zeros_like(v) for k, v in p.items()}
-        table = self.inputs()
-        previous = np.concatenate([before[:, None], words[:, :-1]], 1)
-        previous = np.where(first | (previous < 0), END, previous)
-        kept, states = [], []
-        for t in range(words.shape[1]):
-            start = state * ~first[:, t : t + 1]
-            state, z, r, c, gh = self.step(table[previous[:, t]], start)
-            kept.append((start, z, r, c, gh))
-            states.append(state)
-        stacked = np.stack(states, 1)
+                grad["ww"][:, a:b] += own.T @ logits
+                grad["bw"][a:b] += one[: j - i] @ logits
+                back[i:j] += logits @ p["ww"][:, a:b].T
+        out = np.empty_like(found)
+        out[order] = found
+        if grad is None:
+            return out, None
+        unsorted = np.empty_like(back)
+        unsorted[order] = back
+        return out, unsorted
+
+    def gradient(self, words: np.ndarray, before: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, dict, int]:
+        """The state after a window of words (steps x lanes; -1: none), the gradient of its log-likelihood, and its tokens."""
+        h = HIDDEN
+        grad = {k: np.zeros_like(v) for k, v in self.p.items()}
+        states, keep, z, value = self.states(before, state, self.gates())
         real = words >= 0
-        _, back = self.log_likelihood(stacked[real], words[real], grad)
-        into = np.zeros_like(stacked)
+        _, back = self.log_likelihood(states[real], words[real], grad)
+        into = np.zeros_like(states)
         into[real] = back
-        ahead = np.zeros_like(state)
-        gx_all = np.zeros((*words.shape, 3 * h), np.float32)
-        for t in range(words.shape[1] - 1, -1, -1):
-            start, z, r, c, gh = kept[t]
-            d = into[:, t] + ahead
-            dc = d * (1 - z) * (1 - c * c)
-            dz = d * (start - c) * z * (1 - z)
-            dr = dc * gh * r * (1 - r)
-            gx_all[:, t] = np.concatenate([dz, dr, dc], 1)
-            dgh = np.concatenate([dz, dr, dc * r], 1)
-            grad["u"] += start.T @ dgh
-            ahead = (d * z + dgh @ p["u"].T) * ~first[:, t : t + 1]
-        flat, ids = gx_all.reshape(-1, 3 * h), previous.reshape(-1)
-        grad["b"] += flat.sum(0)
-        grad["wx"] += p["embed"][ids].T @ flat
-        np.add.at(grad["embed"], ids, flat @ p["wx"].T)
-        return state, grad, int(real.sum())
+        for t in range(len(words) - 2, -1, -1):
+            into[t] += keep[t + 1] * into[t + 1]
+        earlier = np.concatenate([state[None], states[:-1]])
+        earlier[before == END] = 0
+        # of each word's gate and value, summed by word
+        flat = np.concatenate([into * (value - earlier) * z * (1 - z), into * z], 2).reshape(-1, 2 * h)
+        ids = before.reshape(-1)
+        order = np.argsort(ids.astype(np.int16), kind="stable")
+        ids = ids[order]
+        new = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        sums = np.add.reduceat(flat[order], new)
+        grad["gate"][ids[new]], grad["value"][ids[new]] = sums[:, :h], sums[:, h:]
+        return states[-1], grad, int(real.sum())
+
+    def flat(self) -> np.ndarray:
+        """All weights as one array."""
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def set_flat(self, flat: np.ndarray) -> None:
+        at = 0
+        for k, v in self.p.items():
+            self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
 
     def score(self, words: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The log10 probability of each text: words[offsets[i]:offsets[i + 1]], whole, whatever its length."""
         sizes = np.diff(offsets)
         order = np.argsort(-sizes, kind="stable")
         sizes, starts = sizes[order], offsets[:-1][order]
-        out = np.zeros(len(sizes))
-        table = self.inputs()
+        out, gate = np.zeros(len(sizes)), self.gates()
         state = np.zeros((len(sizes), HIDDEN), np.float32)
-        last = np.full(len(sizes), END)
-        for lo in range(0, int(sizes[0]) if len(sizes) else 0, WINDOW):
+        lo, longest = 0, int(sizes[0]) if len(sizes) else 0
+        while lo < longest:
             n = int(np.searchsorted(-sizes, -lo, "left"))  # texts longer than lo
-            steps = min(WINDOW, int(sizes[0]) - lo)
-            state, last = state[:n], last[:n]
-            states = np.empty((steps, n, HIDDEN), np.float32)
-            target = np.full((steps, n), -1, np.int64)
-            for t in range(steps):
-                state = self.step(table[last], state)[0]
-                states[t] = state
-                live = sizes[:n] > lo + t
-                target[t, live] = words[starts[:n][live] + lo + t]
-                last = np.where(live, target[t], END)
-            real = target >= 0
-            got, _ = self.log_likelihood(states[real], target[real])
+            steps = min(max(WINDOW, STEP // n), longest - lo)
+            at = lo + np.arange(steps)[:, None]
+            real = at < sizes[:n]
+            place = np.minimum(starts[:n] + at, len(words) - 1)
+            before = np.where(real & (at > 0), words[place - 1], END)
+            states = self.states(before, state[:n], gate)[0]
+            state = states[-1]
+            got, _ = self.log_likelihood(states[real], words[place[real]])
             out[:n] += np.bincount(np.nonzero(real)[1], got.astype(np.float64), n)
+            lo += steps
         result = np.zeros(len(sizes))
         result[order] = out / np.log(10)
         return result
 
 
+class Trainer:
+    """Adam steps on a network's weights, over streams of texts in which each ends with END."""
+
+    def __init__(self, network: Network, rate: float):
+        self.network, self.rate, self.steps, self.tokens = network, rate, 0, 0
+        self.moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in network.p.items()}
+
+    def fit(self, stream: np.ndarray) -> None:
+        """The stream is cut into lanes that are trained side by side; fewer lanes for a short one, so that it gives as many steps."""
+        n = len(stream)
+        if not n:
+            return
+        lanes = max(1, min(LANES, n // (WINDOW * 48)))
+        length = -(-n // lanes)
+        words, before = np.full(lanes * length, -1), np.full(lanes * length, END)
+        words[:n], before[1:n] = stream, stream[:-1]
+        words, before = (np.ascontiguousarray(x.reshape(lanes, length).T) for x in (words, before))
+        state = np.zeros((lanes, HIDDEN), np.float32)
+        for lo in range(0, length, WINDOW):
+            state, grad, tokens = self.network.gradient(words[lo : lo + WINDOW], before[lo : lo + WINDOW], state)
+            self.step(grad, max(1, tokens))
+        self.tokens += n
+
+    def step(self, grad: dict, tokens: int) -> None:
+        self.steps += 1
+        norm = sum(float(np.vdot(g, g)) for g in grad.values()) ** 0.5 / tokens
+        scale = np.float32(1 / tokens / max(1.0, norm))
+        rate = np.float32(self.rate * min(1.0, self.steps / 20) / (1 - 0.9**self.steps))
+        spread = np.float32((1 - 0.99**self.steps) ** -0.5)
+        for k, g in grad.items():
+            g *= scale
+            mean, square = self.moments[k]
+            mean += np.float32(0.1) * (g - mean)
+            square += np.float32(0.01) * (g * g - square)
+            self.network.p[k] += rate * mean / (np.sqrt(square) * spread + np.float32(1e-8))
+
+
 def _texts(part: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(*bytes_of(part.column(column)))
 
@@ -248,7 +273,7 @@ class Scorer:
         rank[order] = np.arange(len(words))
         # the most frequent words are numbered from 2; all others are OTHER
         number = np.full(len(words), OTHER, np.int16)
-        top = min(len(words), CLASSES * PER_CLASS - 2)
+        top = min(len(words), VOCABULARY - 2)
         number[rank[:top]] = np.arange(2, top + 2)
         self.number = number
         self.top_counts = counts[:top]
@@ -293,7 +318,7 @@ class Scorer:
     def _scored(self, group: list[tuple]) -> pa.RecordBatch:
         rows, words, known, sums, other, other_logs = (np.concatenate([g[k] for g in group]) for k in (0, 2, 3, 4, 5, 6))
         ids = pa.concat_arrays([g[1] for g in group])
-        numbers = np.concatenate([np.insert(g[7], np.cumsum(g[2]), END) for g in group])  # the end follows each text
+        numbers = np.concatenate([np.insert(g[7], np.cumsum(g[2]), END).astype(np.int64) for g in group])  # the end follows each text
         score = self.network.score(numbers, np.concatenate([[0], np.cumsum(words + 1)]))
         # the key of these rows is spread like a word's, and stands for none
         key = mix64(rows.astype(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)).view(np.int64)
@@ -325,36 +350,122 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.where(F.lit(False) if lowest is None else step >= lowest)
 
 
-def language_scores(docs: DataFrame, head: int = HEAD, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
+def _trained(scorer: Scorer, rate: float):
+    """Trains the scorer's network on the texts of a partition; the weights that come out are sent in blocks."""
 
-    docs: doc_id, text; other columns are ignored. Null and empty texts are one end token. A text is held out if crc32 of its
-    doc_id mod 10 is 0; a null doc_id is never held out. Repeated rows are each counted and scored. If every row is held out, N and V
-    are 0 and every token is unknown. An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    training = docs.where(~held_out)
+    def run(batches):
+        trainer = Trainer(scorer.network, rate)
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for part in blocks([batch], "text", TRAINED):
+                hashes, at = _texts(part, 0)
+                held.append(np.insert(scorer.numbers(hashes), at[1:], END))
+                size += len(bytes_of(part.column(0))[0])
+                if size >= TRAINED:
+                    trainer.fit(np.concatenate(held))
+                    held, size = [], 0
+        if held:
+            trainer.fit(np.concatenate(held))
+        if trainer.tokens:
+            flat = scorer.network.flat()
+            pieces = [flat[i : i + BLOCK].astype(np.float64) * trainer.tokens for i in range(0, len(flat), BLOCK)]
+            yield _message(range(len(pieces)), TaskContext.get().partitionId() % PARTS, trainer.tokens, pieces)
+
+    return run
+
+
+def _message(places, part: int, tokens: float, pieces: list[np.ndarray]) -> pa.RecordBatch:
+    n = len(pieces)
+    columns = [pa.array(places, pa.int32()), pa.array([part] * n, pa.int32()), pa.array([float(tokens)] * n), pa.array([x.tobytes() for x in pieces], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["block", "part", "tokens", "sums"])
+
+
+def _summed(batches):
+    """Sums of the messages of each block and part that meet here."""
+    total: dict[tuple[int, int], list] = {}
+    for batch in batches:
+        for block, part, tokens, sums in zip(*(c.to_pylist() for c in batch.columns)):
+            held = total.setdefault((block, part), [0.0, 0.0])
+            held[0] += tokens
+            held[1] = held[1] + np.frombuffer(sums)
+    for (block, part), (tokens, sums) in sorted(total.items()):
+        yield _message([block], part, tokens, [sums])
+
+
+def _fit(training: DataFrame, scorer: Scorer) -> None:
+    """Trains the scorer's network on all texts of training (doc_id, text)."""
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(sum(n for n, _ in ROUNDS)))
+    first = 0
+    for n, rate in ROUNDS:
+        texts = training.where((place >= first) & (place < first + n)).select("text")
+        sent = texts.mapInArrow(_trained(scorer, rate), _MESSAGE).repartition("block", "part").mapInArrow(_summed, _MESSAGE).collect()
+        first += n
+        if sent:  # PARTS messages of each block, whatever the texts
+            flat = np.concatenate([sum(np.frombuffer(r.sums) for r in sent if r.block == b) for b in range(1 + max(r.block for r in sent))])
+            scorer.network.set_flat(flat / sum(r.tokens for r in sent if r.block == 0))
+
+
+_MESSAGE = "block int, part int, tokens double, sums binary"
+
+
+@dataclass
+class Model:
+    """What the training texts give: the scorer with its network, counts (word, c), and their sums: tokens, distinct tokens, ends
+    of texts, and the tokens and kinds of words that the network calls OTHER."""
+
+    scorer: Scorer
+    counts: DataFrame
+    total: int
+    distinct: int
+    ends: int
+
+    @property
+    def other(self) -> float:
+        return float(self.total - self.ends - self.scorer.top_counts.sum())
+
+    @property
+    def other_kinds(self) -> int:
+        return self.distinct - (self.ends > 0) - len(self.scorer.top_counts)
+
+    @property
+    def base(self) -> float:
+        """The weight that all tokens share, one unseen among them, by the smoothed counts."""
+        return self.total + SMOOTHING * (self.distinct + 1)
+
+    @property
+    def rest(self) -> float:
+        """The weight that all words called OTHER share, one unseen among them."""
+        return max(0.0, self.other) + SMOOTHING * (self.other_kinds + 1)
+
+
+def language_model(training: DataFrame, head: int = HEAD) -> Model:
+    """The model of all rows of training (doc_id, text; text is not null)."""
     counts = cut(training.select("text").mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("c")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = training.count()
-    total, distinct = total + ends, distinct + (ends > 0)
     top = most_frequent(counts, head).toPandas().sort_values(["c", "word"], ascending=[False, True])
     scorer = Scorer(top.word.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64), ends)
-    chosen = training.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = training.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(sample).select("text").toArrow()
-    learnt = []
-    for part in texts.to_batches():
-        for piece in blocks([part], "text"):
-            hashes, at = _texts(piece, 0)
-            numbers = scorer.numbers(hashes)
-            learnt += [np.append(numbers[a:b], END) for a, b in zip(at[:-1], at[1:])]
-    other = float(total - ends - scorer.top_counts.sum())
-    scorer.network = Network(np.concatenate([[ends, max(other, 0.5)], scorer.top_counts]).astype(np.float64)).fit(learnt)
-    rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(scorer.run, _SCHEMA)
-    met = rows.join(counts, "word", "left")
+    model = Model(scorer, counts, total + ends, distinct + (ends > 0), ends)
+    scorer.network = Network(np.concatenate([[max(model.other, 0.5), ends], scorer.top_counts]).astype(np.float64))
+    _fit(training, scorer)
+    return model
+
+
+def language_scores(docs: DataFrame, head: int = HEAD) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs.
+
+    docs: doc_id, text; other columns are ignored. Null and empty texts are one end token. A text is held out if crc32 of its
+    doc_id mod 10 is 0; a null doc_id is never held out. Repeated rows are each counted, learnt from and scored. If every row is
+    held out, N and V are 0 and every token is unknown. An empty table gives an empty result. The weights depend, like any
+    average of partial fits, on how the rows are dealt into partitions; counts and base scores do not.
+    """
+    small_batches(docs.sparkSession)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    model = language_model(docs.where(~held_out), head)
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(model.scorer.run, _SCHEMA)
+    met = rows.join(model.counts, "word", "left")
     real, c = F.col("n") > 0, F.coalesce("c", F.lit(0))
     log = F.when(real, F.col("n") * F.log10(c + F.lit(SMOOTHING))).otherwise(0.0)
     met = met.groupBy("row").agg(
@@ -366,12 +477,9 @@ def language_scores(docs: DataFrame, head: int = HEAD, sample: int = SAMPLE) ->
         F.sum(F.col("other_sums") + log).alias("other_sums"),
         F.sum("model").alias("model"),
     )
-    # the symbol for other words is followed by the word's share among them
-    other_kinds = distinct - (ends > 0) - len(scorer.top_counts)
-    base = F.log10(F.lit(total + SMOOTHING * (distinct + 1)))
-    rest = F.log10(F.lit(max(0.0, other) + SMOOTHING * (other_kinds + 1)))
     return met.select(
-        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("sums") - F.col("n_tokens") * base).alias("base_score"),
-        (F.col("model") + F.col("other_sums") - F.col("other") * rest).alias("score"),
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("sums") - F.col("n_tokens") * F.log10(F.lit(float(model.base)))).alias("base_score"),
+        # the symbol for other words is followed by the word's share among them
+        (F.col("model") + F.col("other_sums") - F.col("other") * F.log10(F.lit(float(model.rest)))).alias("score"),
     )
