@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Parts into which the rows of any key are dealt where one key may have a large share of all rows.
+SALTS = 64
 #: Bytes of text that the numpy kernels work on at once; longer single texts are worked on alone.
 BLOCK_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -32,13 +34,16 @@ def small_batches(spark: SparkSession, rows: int = 10_000) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder that the cluster names.
+    """df with its lineage cut by a reliable checkpoint in the folder that the cluster names (spark.checkpoint.dir).
 
-    The shuffles that led to it are no longer needed; Spark deletes them when the driver has collected what referred to them.
+    A folder of this machine is taken only by a local session that names none; a cluster without one gets an error. The shuffles
+    that led to the checkpoint are no longer needed; Spark deletes them when the driver has collected what referred to them.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "bandweave-checkpoints"))
     out = df.checkpoint(eager=True)
     del df
@@ -47,6 +52,16 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with values (at most one row for each of the keys), where a key may have any share of the rows.
+
+    The rows of a key are dealt into SALTS parts by the columns `by`; the parts that occur, at most SALTS rows for a key, meet the
+    values first, and the rows then meet their own part."""
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    parts = rows.select(*keys, "_salt").distinct().join(values, keys, how)
+    return rows.join(parts, [*keys, "_salt"], how).drop("_salt")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finishing mixer of the splitmix generator, on uint64 arrays."""
     x = x ^ (x >> np.uint64(30))

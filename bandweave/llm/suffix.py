@@ -10,6 +10,10 @@
    the common prefixes of neighbours are compared, and of each run that shares 100 bytes all but the earliest are repeats.
 4. The repeated windows of a document are merged and removed.
 
+Equal contexts meet by 128 bits (the hash of their anchor and a digest of the whole context with the anchor's place) and are one
+string to the suffix arrays, as equal texts would be: their later copies repeat whatever the arrays find. Rows are told apart by
+their doc_id and, only where some doc_id repeats, by 128 bits of their text.
+
 Frequent passages: rows are reduced to one for each context (and eight for each hash) in every few megabytes before they are
 shuffled; further anchors of a hash that is frequent there are known to repeat and travel by their context instead. A hash
 with more different contexts than one task should hold (HOT) leaves the suffix arrays: its windows are dealt one by one by
@@ -22,10 +26,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, _Powers, bytes_of, cut, mix64, small_batches
+from .common import BLOCK_BYTES, SALTS, _Powers, bytes_of, cut, mix64, small_batches
 
 SPAN, GRAM = 100, 32
 #: Rows of one hash that a chunk sends by that hash; two show that it repeats.
@@ -55,11 +60,11 @@ class Rolling:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash, digest, text, first window, last window, anchor) of each anchor of a block of texts; places in the block."""
+    """(hash, digest, text, first window, last window) of each anchor of a block of texts; places in the block."""
     none = np.zeros(0, np.int64)
     windows = len(data) - SPAN + 1
     if windows <= 0:
-        return none.view(np.uint64), none.view(np.uint64), none, none, none, none
+        return none.view(np.uint64), none.view(np.uint64), none, none, none
     rolling = Rolling(data)
     grams = rolling.grams(GRAM)
     keys = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64)
@@ -73,65 +78,76 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     valid = np.arange(windows) + SPAN <= offsets[text + 1]
     starts = np.flatnonzero(valid)
     if not len(starts):
-        return none.view(np.uint64), none.view(np.uint64), none, none, none, none
+        return none.view(np.uint64), none.view(np.uint64), none, none, none
     new = np.ones(len(starts), bool)
     new[1:] = (place[starts[1:]] != place[starts[:-1]]) | (starts[1:] != starts[:-1] + 1) | (text[starts[1:]] != text[starts[:-1]])
     lo = starts[new]
     hi = starts[np.append(np.flatnonzero(new)[1:] - 1, len(starts) - 1)]
     at = place[lo]
     digest = mix64(rolling.of(lo, hi + SPAN) + (at - lo).astype(np.uint64))
-    return grams[at], digest, text[lo], lo, hi, at
+    return grams[at], digest, text[lo], lo, hi
 
 
-def merged(doc: np.ndarray, part: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The unions of overlapping or touching ranges of each (doc, part), sorted."""
-    if not len(doc):
-        return doc, part, start, end
-    order = np.lexsort((start, part, doc))
-    doc, part, start, end = doc[order], part[order], start[order], end[order]
-    group = np.cumsum(np.append(0, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])))
+def merged(keys: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The unions of overlapping or touching ranges of rows with equal keys, sorted: the keys' columns, starts, ends."""
+    if not len(start):
+        return *keys, start, end
+    order = np.lexsort((start, *keys[::-1]))
+    keys, start, end = [k[order] for k in keys], start[order], end[order]
+    group = np.cumsum(np.append(0, np.any([k[1:] != k[:-1] for k in keys], 0)))
     # ends as running maxima within a document: the group number lifts them above all of earlier documents
     lift = group * (int(end.max()) + 2)
     reach = np.maximum.accumulate(end + lift)
     new = np.append(True, (start + lift)[1:] > reach[:-1])
-    last = np.append(np.flatnonzero(new)[1:] - 1, len(doc) - 1)
-    return doc[new], part[new], start[new], (reach - lift)[last]
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)
+    return *(k[new] for k in keys), start[new], (reach - lift)[last]
 
 
-#: Rows of one doc_id with different texts are told apart by so many bits of their text's hash. An anchor's row holds them, times
-#: 256, beside the anchor's place in its context; a context's row holds them, times 2 ** 40, beside a length.
-PART_BITS, BESIDE_PLACE, BESIDE_LENGTH = 22, 8, 40
-NAMES = ["kind", "key", "hash", "digest", "doc", "lo", "hi", "at"]
-TYPES = [pa.int8()] + [pa.int64()] * 4 + [pa.int64()] * 3
-ROWS = "kind tinyint, key long, hash long, digest long, doc long, lo long, hi long, at long"
+#: A row of documents is named by doc, a, b: its doc_id and, where ids repeat, two hashes of its text.
+NAMES = ["kind", "key", "hash", "digest", "doc", "lo", "hi", "a", "b"]
+TYPES = [pa.int8(), *[pa.int64()] * 8]
+ROWS = "kind tinyint, key long, hash long, digest long, doc long, lo long, hi long, a long, b long"
 #: kinds: an anchor that travels by its hash; one that is known to repeat and travels by its context; a repeated range
 BY_HASH, BY_CONTEXT, RANGE = 0, 1, 2
 
 
-def _batch(kind, key, hashes, digest, doc, lo, hi, at) -> pa.RecordBatch:
+def _batch(kind, key, hashes, digest, doc, lo, hi, a, b) -> pa.RecordBatch:
     columns = [np.broadcast_to(np.asarray(kind, np.int8), doc.shape)]
-    columns += [np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x for x in (key, hashes, digest, doc, lo, hi, at)]
+    columns += [np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x for x in (key, hashes, digest, doc, lo, hi, a, b)]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, TYPES)], NAMES)
 
 
-def _ranges(doc, part, start, end) -> pa.RecordBatch:
-    doc, part, start, end = merged(doc, part, start, end)
+def _ranges(doc, a, b, start, end) -> pa.RecordBatch:
+    doc, a, b, start, end = merged([doc, a, b], start, end)
     zero = np.zeros(len(doc), np.int64)
-    return _batch(RANGE, mix64(doc.astype(np.uint64) + np.uint64(1)), zero, zero, doc, start, end, part << BESIDE_PLACE)
-
-
-def _firsts(group: list[np.ndarray], doc: np.ndarray, lo: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by group, doc, lo, part: which stand at the first place of their group (once for each part), and which
-    stand later than it."""
-    new = np.zeros(len(doc), bool)
-    new[:1] = True
-    for g in group:
-        new[1:] |= g[1:] != g[:-1]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(doc) else np.zeros(0, np.int64)
-    later = ~new & ((doc != doc[first]) | (lo != lo[first]))
-    other = ~new & ~later
-    other[1:] &= part[1:] != part[:-1]
-    return new | other, later
+    return _batch(RANGE, mix64(doc.astype(np.uint64) + np.uint64(1) ^ a.astype(np.uint64)), zero, zero, doc, start, end, a, b)
+
+
+class Places:
+    """Tells, in rows sorted by their class, doc, lo, a and b that come piece by piece, those that stand at the first place of
+    their class (once for each row of documents) from those that stand later."""
+
+    def __init__(self) -> None:
+        self.last: list | None = None  # class, a and b of the last row
+        self.first: tuple | None = None  # doc and lo of the first row of its class
+
+    def split(self, classes: list[np.ndarray], doc: np.ndarray, lo: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Masks of the rows that begin a class, that stand at its first place in another row of documents, and that stand later."""
+        n = len(doc)
+        new, same_row = np.ones(n, bool), np.zeros(n, bool)
+        if not n:
+            return new, same_row, same_row
+        new[1:] = np.any([g[1:] != g[:-1] for g in classes], 0)
+        same_row[1:] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+        if self.last is not None:
+            new[0] = any(g[0] != x for g, x in zip(classes, self.last))
+            same_row[0] = (a[0], b[0]) == tuple(self.last[-2:])
+        of = np.cumsum(new) - 1  # -1: the class goes on from the piece before
+        starts = np.flatnonzero(new)
+        first_doc, first_lo = (np.append(x[starts], y)[of] for x, y in ((doc, self.first[0] if self.first else 0), (lo, self.first[1] if self.first else 0)))
+        later = ~new & ((doc != first_doc) | (lo != first_lo))
+        self.last, self.first = [*(g[-1] for g in classes), a[-1], b[-1]], (first_doc[-1], first_lo[-1])
+        return new, ~new & ~later & ~same_row, later
 
 
 def _find(batches):
@@ -140,20 +156,20 @@ def _find(batches):
     size = 0
 
     def flush():
-        hashes, digest, doc, lo, hi, at = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((at, lo, doc, digest, hashes))
-        hashes, digest, doc, lo, hi, at = (x[order] for x in (hashes, digest, doc, lo, hi, at))
-        new, later = _firsts([hashes, digest], doc, lo, at)
+        columns = [np.concatenate(x) for x in zip(*held)]
+        order = np.lexsort(tuple(columns[k] for k in (6, 5, 3, 2, 1, 0)))
+        hashes, digest, doc, lo, hi, a, b = (x[order] for x in columns)
+        new, other, later = Places().split([hashes, digest], doc, lo, a, b)
         if later.any():
-            yield _ranges(doc[later], at[later] >> BESIDE_PLACE, lo[later], hi[later] + SPAN)
-        hashes, digest, doc, lo, hi, at = (x[new] for x in (hashes, digest, doc, lo, hi, at))
+            yield _ranges(doc[later], a[later], b[later], lo[later], hi[later] + SPAN)
+        hashes, digest, doc, lo, hi, a, b = (x[new | other] for x in (hashes, digest, doc, lo, hi, a, b))
         head = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
         rank = np.arange(len(hashes)) - np.repeat(head, np.diff(np.append(head, len(hashes))))
         known = rank >= SENT
-        yield _batch(np.where(known, BY_CONTEXT, BY_HASH), np.where(known, mix64(digest), hashes), hashes, digest, doc, lo, hi, at)
+        yield _batch(np.where(known, BY_CONTEXT, BY_HASH), np.where(known, mix64(digest), hashes), hashes, digest, doc, lo, hi, a, b)
 
     for batch in batches:
-        ids, parts = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
+        ids, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
         data, offsets = bytes_of(batch.column(1))
         i = 0
         while i < len(ids):
@@ -164,9 +180,10 @@ def _find(batches):
             for at0 in range(base, max(end, base + 1), SEGMENT):
                 to = min(end, at0 + SEGMENT + SPAN - 1)
                 own = np.clip(offsets[i : j + 1], at0, to) - at0
-                hashes, digest, text, lo, hi, at = anchors(data[at0:to], own)
-                shift = at0 - offsets[i + text]
-                held.append((hashes, digest, ids[i + text], lo + shift, hi + shift, (at - lo) + (parts[i + text] << BESIDE_PLACE)))
+                hashes, digest, text, lo, hi = anchors(data[at0:to], own)
+                text += i
+                shift = at0 - offsets[text]
+                held.append((hashes, digest, ids[text], lo + shift, hi + shift, a[text], b[text]))
             size += end - base
             i = j
             if size >= CHUNK:
@@ -206,69 +223,87 @@ def _whole_groups(batches, keys: tuple[int, ...], most: int = 0):
 
 
 def _meet(batches):
-    """Rows sorted by kind, key, digest, doc, lo: the earliest context of each class of repeated anchors, and repeated ranges."""
-    for columns in _whole_groups(batches, (0, 1)):
-        kind, key, hashes, digest, doc, lo, hi, at = columns
-        ranges = kind == RANGE
+    """Rows sorted by kind, key, digest, doc, lo, a, b: the earliest context of each class of repeated anchors, and repeated
+    ranges. Rows are taken batch by batch, so a key may have any number of them."""
+    places, last, waiting = Places(), None, None  # waiting: the only row so far of a hash that travels by itself
+    for batch in batches:
+        columns = _columns(batch)
+        ranges = columns[0] == RANGE
         if ranges.any():
-            yield _batch(RANGE, *(c[ranges] for c in (key, hashes, digest, doc, lo, hi, at)))
-        kind, key, hashes, digest, doc, lo, hi, at = (c[~ranges] for c in columns)
+            yield _batch(RANGE, *(c[ranges] for c in columns[1:]))
+            columns = [c[~ranges] for c in columns]
+        kind, key, _, digest, doc, lo, hi, a, b = columns
         if not len(doc):
             continue
-        new, later = _firsts([kind, key, digest], doc, lo, at)
+        new, other, later = places.split([kind, key, digest], doc, lo, a, b)
         if later.any():
-            yield _ranges(doc[later], at[later] >> BESIDE_PLACE, lo[later], hi[later] + SPAN)
-        kind, key, hashes, digest, doc, lo, hi, at = (c[new] for c in (kind, key, hashes, digest, doc, lo, hi, at))
-        head = np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))
-        group = np.cumsum(head) - 1
-        keep = (np.bincount(group)[group] > 1) | (kind == BY_CONTEXT)
-        if keep.any():
-            yield _batch(BY_HASH, *(c[keep] for c in (hashes, hashes, digest, doc, lo, hi, at)))
+            yield _ranges(doc[later], a[later], b[later], lo[later], hi[later] + SPAN)
+        begins = np.append(last != (kind[0], key[0]), (kind[1:] != kind[:-1]) | (key[1:] != key[:-1]))
+        last = (kind[-1], key[-1])
+        group = np.cumsum(begins)  # 0: the one that the last batch ended with
+        kept = np.flatnonzero(new | other)
+        n = np.bincount(group[kept], minlength=group[-1] + 1)
+        n[0] += 1  # its first row is in an earlier batch
+        if waiting is not None and n[0] > 1:
+            yield waiting
+            waiting = None
+        again = (n[group[kept]] > 1) | (kind[kept] == BY_CONTEXT)
+        out = [c[kept] for c in columns]
+        if again.any():
+            yield _batch(BY_HASH, *(c[again] for c in out[1:]))
+        if group[-1]:
+            alone = len(kept) - 1 if not again[-1] else None
+            waiting = None if alone is None else _batch(BY_HASH, *(c[alone : alone + 1] for c in out[1:]))
+
+
+CONTEXTS = "kind tinyint, key long, doc long, lo long, hi long, a long, b long, context binary"
+#: kinds: a context; a window that is the first of its hash in a batch; a repeated range
+CONTEXT, WINDOW, REPEATED = 0, 1, 2
 
 
 def _contexts(batches):
     """The contexts' bytes; of hot hashes, a row for each window, reduced batch by batch."""
+    kinds = [pa.int8(), *[pa.int64()] * 6, pa.binary()]
+    names = [x.split()[0] for x in CONTEXTS.split(", ")]
+
+    def rows(*columns):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
     for batch in batches:
-        out = [[] for _ in range(5)]  # key, doc, lo, part, bytes
-        hot = [[] for _ in range(5)]  # hash of the window, hash of it again, doc, start, part
+        out = [[] for _ in range(7)]  # key, doc, lo, hi, a, b, bytes
+        hot = [[] for _ in range(5)]  # hash of the window, doc, start, a, b
         data, offsets = bytes_of(batch.column(1))
-        for d, (doc, part, wanted) in enumerate(zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2))):
+        named = zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)))
+        for d, ((doc, a, b), wanted) in enumerate(zip(named, batch.column(4))):
             text = data[offsets[d] : offsets[d + 1]]
-            part <<= BESIDE_LENGTH
             hashes, los, his, hots = (c.to_numpy(zero_copy_only=False) for c in wanted.values.flatten())
             for h, lo, hi in zip(*(x[~hots].tolist() for x in (hashes, los, his))):
-                for column, x in zip(out, (h, doc, lo, part, text[lo : hi + SPAN].tobytes())):
+                for column, x in zip(out, (h, doc, lo, hi, a, b, text[lo : hi + SPAN].tobytes())):
                     column.append(x)
-            chosen = hots
-            if chosen.any():
-                n = (his - los + 1)[chosen]
-                start = np.repeat(los[chosen], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            if hots.any():
+                n = (his - los + 1)[hots]
+                start = np.repeat(los[hots], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 for k in range(0, len(start), 1 << 16):
                     own = start[k : k + (1 << 16)]
                     low = int(own.min())
                     rolling = Rolling(text[low : int(own.max()) + SPAN])
                     h = rolling.of(own - low, own - low + SPAN)
-                    for column, x in zip(hot, (h, mix64(h), np.full(len(own), doc, np.int64), own, np.full(len(own), part, np.int64))):
+                    for column, x in zip(hot, (h, np.full(len(own), doc, np.int64), own, np.full(len(own), a, np.int64), np.full(len(own), b, np.int64))):
                         column.append(x)
-        kinds = []
         if out[0]:
-            n = len(out[0])
-            kinds.append([pa.array(np.zeros(n, np.int8)), *(pa.array(c, pa.int64()) for c in out[:4]), pa.array(out[4], pa.binary())])
+            yield rows(np.zeros(len(out[0]), np.int8), *out)
         if hot[0]:
-            h, key, doc, start, part = (np.concatenate(x) for x in hot)
-            order = np.lexsort((part, start, doc, h))
-            h, key, doc, start, part = (x[order] for x in (h, key, doc, start, part))
-            new, later = _firsts([h], doc, start, part)
-            for kind, rows in ((1, new), (2, later)):
-                if rows.any():
-                    d, p, s, e, k = doc[rows], part[rows], start[rows], start[rows] + SPAN, key[rows]
-                    if kind == 2:
-                        d, p, s, e = merged(d, p, s, e)
-                        k = mix64(d.astype(np.uint64) + np.uint64(1))
-                    columns = [np.full(len(d), kind, np.int8), k.view(np.int64), d, s, p | (e - s)]
-                    kinds.append([pa.array(c) for c in columns] + [pa.nulls(len(d), pa.binary())])
-        for columns in kinds:
-            yield pa.RecordBatch.from_arrays(columns, ["kind", "key", "doc", "lo", "at", "context"])
+            columns = [np.concatenate(x) for x in hot]
+            order = np.lexsort(tuple(columns[k] for k in (4, 3, 2, 1, 0)))
+            h, doc, start, a, b = (x[order] for x in columns)
+            new, other, later = Places().split([h], doc, start, a, b)
+            first = new | other
+            empty = pa.nulls(int(first.sum()), pa.binary())
+            yield rows(np.full(len(empty), WINDOW, np.int8), mix64(h[first]).view(np.int64), doc[first], start[first], start[first] + SPAN, a[first], b[first], empty)
+            if later.any():
+                doc, a, b, start, end = merged([doc[later], a[later], b[later]], start[later], start[later] + SPAN)
+                key = mix64(doc.astype(np.uint64) + np.uint64(1) ^ a.astype(np.uint64)).view(np.int64)
+                yield rows(np.full(len(doc), REPEATED, np.int8), key, doc, start, end, a, b, pa.nulls(len(doc), pa.binary()))
 
 
 def suffix_array(text: np.ndarray, depth: int = SPAN) -> np.ndarray:
@@ -327,8 +362,8 @@ def shared_prefix(text: np.ndarray, order: np.ndarray, depth: int = SPAN) -> np.
     return same
 
 
-def _repeats(docs: np.ndarray, starts: np.ndarray, parts: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(doc, part, start) of the 100-byte windows of the contexts that also stand in an earlier place among them."""
+def _repeats(doc: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(doc, a, b, start) of the 100-byte windows of the contexts that also stand in an earlier place among them."""
     sizes = np.array([len(c) for c in contexts])
     ends = np.cumsum(sizes)
     text = np.frombuffer(b"".join(contexts), np.uint8)
@@ -337,38 +372,46 @@ def _repeats(docs: np.ndarray, starts: np.ndarray, parts: np.ndarray, contexts:
     owner = np.searchsorted(ends, order, "right")
     inside = order + SPAN <= ends[owner]
     order, run, owner = order[inside], run[inside], owner[inside]
-    doc, part, start = docs[owner], parts[owner], starts[owner] + order - (ends - sizes)[owner]
-    by = np.lexsort((start, doc, run))
-    doc, part, start, run = doc[by], part[by], start[by], run[by]
-    _, later = _firsts([run], doc, start, part)
-    return doc[later], part[later], start[later]
+    doc, a, b, start = doc[owner], a[owner], b[owner], start[owner] + order - (ends - sizes)[owner]
+    by = np.lexsort((b, a, start, doc, run))
+    doc, a, b, start, run = doc[by], a[by], b[by], start[by], run[by]
+    later = Places().split([run], doc, start, a, b)[2]
+    return doc[later], a[later], b[later], start[later]
 
 
 def _sort_shards(batches):
-    """Rows sorted by kind and key: repeated ranges (doc, part, start, end)."""
-    names = ["doc", "part", "start", "end"]
+    """Rows sorted by kind, key, doc, lo, a, b: repeated ranges (doc, a, b, start, end)."""
+    names = ["doc", "a", "b", "start", "end"]
+    windows = Places()
 
-    def ranges(doc, part, start, end):
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in merged(doc, part, start, end)], names)
+    def ranges(doc, a, b, start, end):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in merged([doc, a, b], start, end)], names)
 
-    for kind, key, doc, lo, at, context in _whole_groups(batches, (0, 1), most=SHARD // 135):
-        part, size = at >> BESIDE_LENGTH, at & ((1 << BESIDE_LENGTH) - 1)
-        done = kind == 2
-        if done.any():
-            yield ranges(doc[done], part[done], lo[done], lo[done] + size[done])
-        window = kind == 1
+    def rest(batch):
+        """The rows of a batch that are no contexts."""
+        kind, key, doc, lo, hi, a, b = _columns(batch)[:7]
+        done, window = kind == REPEATED, kind == WINDOW
         if window.any():
-            k, d, s, p = key[window], doc[window], lo[window], part[window]
-            order = np.lexsort((s, d, k))
-            k, d, s, p = k[order], d[order], s[order], p[order]
-            _, later = _firsts([k], d, s, p)
-            if later.any():
-                yield ranges(d[later], p[later], s[later], s[later] + SPAN)
-        sorted_ones = kind == 0
-        if sorted_ones.any():
-            d, p, s = _repeats(doc[sorted_ones], lo[sorted_ones], part[sorted_ones], list(context[sorted_ones]))
-            if len(d):
-                yield ranges(d, p, s, s + SPAN)
+            done[np.flatnonzero(window)[windows.split([key[window]], doc[window], lo[window], a[window], b[window])[2]]] = True
+        if done.any():
+            yield ranges(doc[done], a[done], b[done], lo[done], hi[done])
+
+    def contexts():
+        for batch in batches:
+            own = batch.filter(pa.compute.equal(batch.column(0), CONTEXT))
+            if own.num_rows:
+                yield own
+            if own.num_rows < batch.num_rows:
+                found.extend(rest(batch))
+
+    found: list[pa.RecordBatch] = []
+    for _, _, doc, lo, _, a, b, context in _whole_groups(contexts(), (0, 1), most=SHARD // 135):
+        doc, a, b, start = _repeats(doc, lo, a, b, list(context))
+        if len(doc):
+            yield ranges(doc, a, b, start, start + SPAN)
+        yield from found
+        found.clear()
+    yield from found
 
 
 def _remove(batches):
@@ -380,8 +423,7 @@ def _remove(batches):
             spans = 0
             if found.is_valid and len(found.values):
                 start, end = (c.to_numpy(zero_copy_only=False) for c in found.values.flatten())
-                one = np.zeros(len(start), np.int64)
-                _, _, start, end = merged(one, one, start, end)
+                start, end = merged([np.zeros(len(start), np.int64)], start, end)[1:]
                 edge = np.zeros(len(text) + 1, np.int32)
                 np.add.at(edge, np.minimum(start, len(text)), 1)
                 np.add.at(edge, np.minimum(end, len(text)), -1)
@@ -399,20 +441,24 @@ def _remove(batches):
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """doc, part, start, end: byte ranges whose union, for each row, is what 100-byte strings that start earlier cover. docs: doc,
-    part, text."""
+    """doc, a, b, start, end: byte ranges whose union, for each row, is what 100-byte strings that start earlier cover. docs: doc,
+    text, a, b; rows with equal doc, a and b have equal texts."""
     small_batches(docs.sparkSession)
-    found = docs.select("doc", "text", "part").mapInArrow(_find, ROWS).repartition("key").sortWithinPartitions("kind", "key", "digest", "doc", "lo", "at")
-    met = cut(found.mapInArrow(_meet, ROWS)).withColumn("part", F.shiftright("at", BESIDE_PLACE))
-    early = met.where(F.col("kind") == RANGE).select("doc", "part", F.col("lo").alias("start"), F.col("hi").alias("end"))
-    classes = met.where(F.col("kind") == BY_HASH).select("hash", "doc", "part", "lo", "hi")
+    row = ["doc", "a", "b"]
+    found = docs.select("doc", "text", "a", "b").mapInArrow(_find, ROWS)
+    met = cut(found.repartition("key").sortWithinPartitions("kind", "key", "digest", "doc", "lo", "a", "b").mapInArrow(_meet, ROWS))
+    early = met.where(F.col("kind") == RANGE).select(*row, F.col("lo").alias("start"), F.col("hi").alias("end"))
+    classes = met.where(F.col("kind") == BY_HASH).select("hash", *row, "lo", "hi")
+    # a hash of many contexts would be a hot key of the join, so its contexts are dealt out by a salt
+    salted = classes.withColumn("salt", F.pmod(F.xxhash64("doc", "lo"), F.lit(SALTS)).cast("int"))
     frequent = classes.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("hash", F.lit(True).alias("hot"))
-    classes = classes.join(frequent, "hash", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    wanted = classes.groupBy("doc", "part").agg(F.collect_list(F.struct("hash", "lo", "hi", "hot")).alias("wanted"))
-    asked = docs.join(wanted, ["doc", "part"]).select("doc", "text", "wanted", "part")
-    contexts = asked.mapInArrow(_contexts, "kind tinyint, key long, doc long, lo long, at long, context binary")
-    late = contexts.repartition("key").sortWithinPartitions("kind", "key").mapInArrow(_sort_shards, "doc long, part long, start long, end long")
-    return early.unionByName(late)
+    frequent = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    classes = salted.join(frequent, ["hash", "salt"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    # sets: what repeated rows ask for is the same, so an array is as long as its text allows
+    wanted = classes.groupBy(*row).agg(F.collect_set(F.struct("hash", "lo", "hi", "hot")).alias("wanted"))
+    asked = docs.join(wanted, row).select("doc", "text", "a", "b", "wanted")
+    contexts = asked.mapInArrow(_contexts, CONTEXTS).repartition("key").sortWithinPartitions("kind", "key", "doc", "lo", "a", "b")
+    return early.unionByName(contexts.mapInArrow(_sort_shards, "doc long, a long, b long, start long, end long"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -425,8 +471,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     place = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("part", F.xxhash64("text").bitwiseAND((1 << PART_BITS) - 1))
-    spans = cut(repeated_ranges(docs)).groupBy("doc", "part").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = docs.join(spans, ["doc", "part"], "left").select("doc_id", "text", "spans")
+    # 128 bits of the text name a row beside its doc_id; they are left out where no doc_id repeats
+    once = docs.groupBy("doc").count().where("count > 1").isEmpty()
+    key = [F.lit(0).cast("long")] * 2 if once else [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    docs = docs.withColumn("a", key[0]).withColumn("b", key[1])
+    spans = cut(repeated_ranges(docs)).groupBy("doc", "a", "b").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    joined = docs.join(spans, ["doc", "a", "b"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return joined.mapInArrow(_remove, schema)

@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+import xxhash
+
 from bandweave.llm import decontam, minhash, suffix
 
 from .conftest import MESSY
@@ -138,16 +141,17 @@ def test_removal_with_frequent_passages(spark, monkeypatch):
 
 def _local(docs):
     """The same steps in this process, where the changed limits hold."""
-    import pyarrow as pa
-
-    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs], pa.int64()), pa.array([t for _, t in docs]), pa.array([0] * len(docs), pa.int64())], ["doc", "text", "part"])
+    zeros = [0] * len(docs)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs], pa.int64()), pa.array([t for _, t in docs]), *[pa.array(zeros, pa.int64())] * 2], ["doc", "text", "a", "b"])
     rows = [x for b in suffix._find(iter([batch])) for x in b.to_pylist()]
-    rows.sort(key=lambda x: (x["kind"], x["key"], x["digest"], x["doc"], x["lo"], x["at"]))
+    rows.sort(key=lambda x: [x[k] for k in ("kind", "key", "digest", "doc", "lo", "a", "b")])
     schema = pa.schema(list(zip(suffix.NAMES, suffix.TYPES)))
     pieces = lambda rows, schema: (pa.RecordBatch.from_pylist(rows[i : i + 7], schema) for i in range(0, len(rows), 7))
     met = [x for b in suffix._meet(pieces(rows, schema)) for x in b.to_pylist()]
     spans = [(x["doc"], x["lo"], x["hi"]) for x in met if x["kind"] == suffix.RANGE]
     classes = [x for x in met if x["kind"] == suffix.BY_HASH]
+    whole = [x for b in suffix._meet(iter([pa.RecordBatch.from_pylist(rows, schema)])) for x in b.to_pylist()]
+    assert sorted(map(str, classes)) == sorted(str(x) for x in whole if x["kind"] == suffix.BY_HASH)
     count, wanted, texts = {}, {}, dict(docs)
     for x in classes:
         count[x["hash"]] = count.get(x["hash"], 0) + 1
@@ -155,9 +159,10 @@ def _local(docs):
         wanted.setdefault(x["doc"], []).append({k: x[k] for k in ("hash", "lo", "hi")} | {"hot": count[x["hash"]] > suffix.HOT})
     kind = pa.list_(pa.struct([*((k, pa.int64()) for k in ("hash", "lo", "hi")), ("hot", pa.bool_())]))
     ids = sorted(wanted)
-    asked = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([texts[i] for i in ids]), pa.array([wanted[i] for i in ids], kind), pa.array([0] * len(ids), pa.int64())], ["doc", "text", "wanted", "part"])
-    rows = sorted((x for b in suffix._contexts(iter([asked])) for x in b.to_pylist()), key=lambda x: (x["kind"], x["key"]))
-    schema = pa.schema([("kind", pa.int8()), *((k, pa.int64()) for k in ("key", "doc", "lo", "at")), ("context", pa.binary())])
+    zeros = pa.array([0] * len(ids), pa.int64())
+    asked = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([texts[i] for i in ids]), zeros, zeros, pa.array([wanted[i] for i in ids], kind)], ["doc", "text", "a", "b", "wanted"])
+    rows = sorted((x for b in suffix._contexts(iter([asked])) for x in b.to_pylist()), key=lambda x: [x[k] for k in ("kind", "key", "doc", "lo", "a", "b")])
+    schema = pa.schema([("kind", pa.int8()), *((k, pa.int64()) for k in ("key", "doc", "lo", "hi", "a", "b")), ("context", pa.binary())])
     spans += [(x["doc"], x["start"], x["end"]) for b in suffix._sort_shards(pieces(rows, schema)) for x in b.to_pylist()]
     found = {i: [] for i, _ in docs}
     for d, a, b in spans:
@@ -167,6 +172,29 @@ def _local(docs):
     return [(r["n_removed"], r["n_spans"]) for b in suffix._remove(iter([out])) for r in b.to_pylist()]
 
 
+def test_many_texts_under_one_id(spark):
+    """Texts without an id, or under one id, whose hashes once met in few bits: each keeps its own bytes."""
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghij ") for _ in range(30))
+    rows = [(None if k % 2 else 7, "".join(word() for _ in range(draw.randint(3, 5)))) for k in range(3000)]
+    rows += [(i, t + t) for i, t in rows[:40]] + [(9, rows[0][1] + rows[1][1])]
+    assert sum(g[2] for g in check_removal(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) > 0
+
+
+def test_texts_of_one_id_that_agree_in_few_bits(spark):
+    """Two texts of one id with equal low bits of their hash; only the one that repeats itself loses bytes."""
+    seen, pair = {}, None
+    for k in range(20_000):
+        text = f"{k} " + "".join(chr(97 + (k * 7 + j * j * 31 + j * k) % 26) for j in range(138))
+        low = xxhash.xxh64(text.encode(), 42).intdigest() & ((1 << 22) - 1)
+        if low in seen:
+            pair = (seen[low], text)
+            break
+        seen[low] = text
+    assert pair
+    check_removal(spark.createDataFrame([(None, pair[0]), (None, pair[1]), (None, pair[1] * 3)], "doc_id long, text string"))
+
+
 def brute_contained(docs, items):
     out = set()
     for i, t in items:
