@@ -1,9 +1,9 @@
 """Quality rules on native expressions: text statistics, and a hashed n-gram log-likelihood ratio.
 
 Two multinomials over hashed n-grams are counted: one of the trusted target (documents labelled good and not toxic), one of
-the raw corpus (all documents). The n-grams of a text are its words and, for each word, the last two characters of it and of the
-next word, so both vocabulary and surface form (case, stuck-on symbols, separators) count. A document's score is the mean, over
-its n-grams, of the log-likelihood ratio of target to raw; a document below a fixed threshold is rejected.
+the raw corpus (all documents). The n-grams of a text are its words and its pairs of neighbouring words, as they stand. A
+document's score is the mean, over its n-grams, of the log-likelihood ratio of target to raw; a document below a fixed threshold
+is rejected.
 
 Everything is DataFrame functions. The n-grams of a text stay in its row; only counts by bucket, a fixed number of rows, are
 shuffled and collected. The trusted texts are found by a join on doc_id.
@@ -26,18 +26,9 @@ def _with_words(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_words", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
 
 
-def _tail(word: Column) -> Column:
-    return F.xxhash64(F.substring(word, -2, 2))
-
-
-def _ones(word_hash: Column) -> Column:
-    """The bucket of a word."""
-    return word_hash.bitwiseAND(BUCKETS - 1).cast("int")
-
-
-def _pairs(tail: Column, following: Column) -> Column:
-    """The bucket of the last two characters of a word and of the one after it (null after the last)."""
-    return F.shiftrightunsigned(tail, 17).bitwiseXOR(F.coalesce(following, F.lit(0).cast("long"))).bitwiseAND(BUCKETS - 1).cast("int")
+def _bucket(gram: Column) -> Column:
+    """The bucket of an n-gram's hash: that of a word, or of the hashes of two words one after the other."""
+    return gram.bitwiseAND(BUCKETS - 1).cast("int")
 
 
 def _next(column: str, by: int = 1) -> Column:
@@ -48,15 +39,13 @@ def _next(column: str, by: int = 1) -> Column:
 def _counts(docs: DataFrame) -> dict[int, int]:
     # outer: an inner generator makes Spark push a filter on the array below it, and so compute the array once more
     pairs = _with_words(docs).select(F.inline_outer(F.arrays_zip(F.col("_words").alias("a"), _next("_words").alias("b"))))
-    # a hash of null is not null, so the missing word after the last one is handled before hashing
-    following = F.when(F.col("b").isNotNull(), _tail(F.col("b")))
-    buckets = F.array(_ones(F.xxhash64("a")), _pairs(_tail(F.col("a")), following))
-    grams = pairs.where("a is not null").select(F.explode(buckets).alias("bucket"))
+    pair = F.when(F.col("b").isNotNull(), F.xxhash64(F.xxhash64("a"), F.xxhash64("b")))  # none after the last word
+    grams = pairs.where("a is not null").select(F.explode(F.array(_bucket(F.xxhash64("a")), _bucket(pair))).alias("bucket")).where("bucket is not null")
     return {r.bucket: r.n for r in grams.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame) -> list[float]:
-    """The log-likelihood ratio of target to raw for each bucket, with one added to every count."""
+    """The log-likelihood ratio of target to raw for each bucket, with one added to every count. docs, trusted: text."""
     raw, target = _counts(docs), _counts(trusted)
     total_raw, total_target = sum(raw.values()) + BUCKETS, sum(target.values()) + BUCKETS
     if total_target == BUCKETS:
@@ -92,10 +81,9 @@ def scored(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -
     docs = docs.select(row.alias("_row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = _repeated_words(_with_words(docs))
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    docs = docs.withColumn("_tails", F.transform("_words", _tail))
-    pairs = F.zip_with("_tails", _next("_tails"), lambda a, b: F.get(table, _pairs(a, b)))
-    add = lambda t, x: t + x
-    total = F.aggregate(pairs, F.aggregate("_one", F.lit(0.0), lambda t, h: t + F.get(table, _ones(h))), add)
+    add = lambda t, h: t + F.get(table, _bucket(h))
+    pairs = F.slice("_two", 1, F.greatest(F.size("_two") - 1, F.lit(0)))
+    total = F.aggregate(pairs, F.aggregate("_one", F.lit(0.0), add), add)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     long = lambda c: c.cast("long")
     measured = F.struct(
@@ -104,7 +92,7 @@ def scored(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) -
         long(F.size(F.split("text", "[#*$%&|<>]")) - 1).alias("n_symbols"),
         long(F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         F.col("n_repeat_words"),
-        F.when(F.size("_words") > 0, total / (F.size("_words") * 2)).otherwise(0.0).alias("score"),
+        F.when(F.size("_words") > 0, total / (F.size("_words") * 2 - 1)).otherwise(0.0).alias("score"),
     )
     # through a generator of one row, since a later filter on a measure is not pushed below it, where it would compute it twice
     docs = docs.withColumn("_lines", lines).select("_row.*", F.inline_outer(F.array(measured)))
@@ -125,3 +113,13 @@ def rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     # labels grow with the documents, so they are never broadcast, at no size
     trusted = texts.join(good.hint("merge"), F.col("_id") == F.col("_good"), "left_semi")
     return scored(docs, log_ratios(texts, trusted), threshold)
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that rules() keeps, with all their columns as they are, whatever their names.
+
+    Every row is judged by itself, so equal rows are kept or dropped together and a null doc_id is a doc_id like any other. Null and
+    empty texts are dropped; an empty table gives an empty result.
+    """
+    plain = docs.toDF(*[c if c in ("doc_id", "text") else f"_column_{k}" for k, c in enumerate(docs.columns)])
+    return rules(plain, labels, threshold).where("kept").select(plain.columns).toDF(*docs.columns)
