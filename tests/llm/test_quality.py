@@ -4,6 +4,9 @@ import re
 import zlib
 
 import numpy as np
+import pytest
+import xxhash
+import zstandard
 
 from bandweave.llm import quality_rules, quality_zstd
 
@@ -39,6 +42,44 @@ def test_rules_against_brute_force(spark, data, docs, plain):
     assert all(r.kept or r.base_failed for r in got if r.doc_id in good)
 
 
+def grams(text):
+    """The buckets of a text's words and pairs of words."""
+    one = [xxhash.xxh64(w.encode(), 42).intdigest() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    chain = lambda x, seed: xxhash.xxh64(x.to_bytes(8, "little"), seed).intdigest()
+    two = [chain(b, chain(a, 42)) for a, b in zip(one, one[1:])]
+    return [x % quality_rules.BUCKETS for x in one + two]
+
+
+def brute_scores(texts, trusted):
+    b = quality_rules.BUCKETS
+    raw, target = (np.bincount(np.array([g for t in own for g in grams(t)], int), minlength=b) + 1 for own in (texts, trusted))
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    return [float(np.mean(ratio[g])) if (g := grams(t)) else 0.0 for t in texts]
+
+
+def test_scores_and_verdicts_against_brute_force(spark, data, docs, plain):
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    good = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").collect()}
+    ids = sorted(plain)
+    want = dict(zip(ids, brute_scores([plain[i] for i in ids], [plain[i] for i in ids if i in good])))
+    got = quality_rules.rules(docs, labels).collect()
+    for r in got:
+        assert r.score == pytest.approx(want[r.doc_id], abs=1e-9)
+        assert r.kept == (not brute(plain[r.doc_id])[5] and want[r.doc_id] >= quality_rules.THRESHOLD)
+    assert 0 < sum(r.kept for r in got) < sum(not r.base_failed for r in got)
+
+
+def test_kept_rows_keep_their_columns(spark):
+    """Columns that are named like measures, repeated rows and a null doc_id."""
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, text, 111, 2.5, False), (1, text, 111, 2.5, False), (None, text, 7, 1.5, True), (2, "too short", 3, 0.5, True), (3, None, 4, 0.5, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words long, score double, kept boolean")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    got = quality_rules.kept(docs, labels)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=repr) == sorted(rows[:3], key=repr)
+    assert quality_rules.kept(docs.limit(0), labels).count() == 0
+
+
 def test_repeats_in_a_row(spark):
     texts = ["a b c d e f g h " * 5, "x " * 30, " ".join(f"w{i}" for i in range(40)), "a b c d e f g h i " + "z " * 12 + "a b c d e f g h i", "l1\nl2\nl1\n \n\t\nl1"]
     got = quality_rules.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), [0.0] * quality_rules.BUCKETS).collect()
@@ -82,6 +123,44 @@ def test_compression_scores_of_messy_rows(spark, messy, none):
     assert quality_zstd.quality_scores(none, labels).count() == 0
 
 
+def test_compression_scores_against_brute_force(spark):
+    """Which rows are learnt from, the sizes, and the calibrated score, each once more by plain loops."""
+    draw = np.random.default_rng(1)
+    text = lambda q: " ".join(f"{'gb'[q]}{int(k)}" for k in draw.integers(0, 60, 40))
+    rows = [(i, text(i % 4 == 0)) for i in range(240)] + [(4, "a text that is smaller"), (500, None), (None, "x")]
+    labels = [(i, int(i % 4 != 0)) for i in range(240) if i % 6] + [(1, 1), (2, 0), (None, 1), (900, 1), (7, None)]
+    docs, told = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")
+    kinds = {}
+    for i, q in labels:
+        if i is not None and q is not None and not held_out(i):
+            kinds.setdefault(i, set()).add(q)
+    sure = {i: min(q) for i, q in kinds.items() if len(q) == 1}
+    sample, totals = quality_zstd.training_rows(docs, told)
+    texts = {}
+    for i, t in rows:
+        texts[i] = min(texts.get(i, t or ""), t or "")
+    assert sample == sorted((i, texts[i], q) for i, q in sure.items() if i in texts)
+    assert totals == (sum(q == 0 for q in sure.values()), sum(q == 1 for q in sure.values()))
+    assert len(quality_zstd.training_rows(docs, told, 5)[0]) <= 10
+    half = {q: [t.encode() for k, t in enumerate(t for _, t, x in sample if x == q) if k % 2 == 0] for q in (0, 1)}
+    rest = [(t.encode(), q) for q in (0, 1) for k, t in enumerate(t for _, t, x in sample if x == q) if k % 2]
+    made = {q: zstandard.ZstdCompressionDict(quality_zstd.dictionary(half[q])) for q in (0, 1)}
+    size = lambda t, q: len(zstandard.ZstdCompressor(level=quality_zstd.LEVEL, dict_data=made[q], write_content_size=False, write_dict_id=False).compress(t))
+    x = lambda t: (size(t, 0) - size(t, 1)) / len(t) if t else 0.0
+    xs, ys = np.array([x(t) for t, _ in rest]), np.array([q for _, q in rest])
+    z = (xs - xs.mean()) / xs.std()
+    w = np.zeros(2)  # gradient ascent on the same penalised likelihood
+    for _ in range(20000):
+        p = 1 / (1 + np.exp(-(w[0] * z + w[1])))
+        w += 0.02 * (np.array([((ys - p) * z).sum(), (ys - p).sum()]) - 1e-2 * w)
+    shift = np.log(totals[1] / totals[0]) - np.log(ys.sum() / (len(ys) - ys.sum()))
+    want = {i: 1 / (1 + np.exp(-np.clip(w[0] * (x((t or "").encode()) - xs.mean()) / xs.std() + w[1] + shift, -30, 30))) for i, t in rows if i != 4}
+    got = quality_zstd.quality_scores(docs, told).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.doc_id == 4 or r.score == pytest.approx(want[r.doc_id], abs=1e-3)
+
+
 def test_scores_do_not_depend_on_held_out_labels(spark, messy):
     labels = [(i, k % 2) for k, (i, _) in enumerate(MESSY) if i is not None]
     told = spark.createDataFrame(labels, "doc_id long, quality int")
