@@ -8,24 +8,25 @@ nothing: the chances of its windows add up. Each of 96 minima is a band of its o
 with probability (1 - 0.17)**96 < 2e-8. A hit only makes a candidate: the item counts if at least 75 % of its shingles are in
 the document's full shingle set.
 
-The items are the query set. They are taken in blocks of a fixed number, and each block is sent to all tasks and meets
-every document where it lies: documents are never shuffled, and no document's size or popularity loads a single task.
+The items are the query set. They are taken in blocks of a bounded number and size, and each block is sent to all tasks and meets
+every document where it lies: documents are never shuffled, and no document's size or popularity loads a single task. Where
+there are several blocks, the result of one is written down before the next is read, so the driver holds one index at a time.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bytes_of, mix64, shingle_hashes, small_batches, word_hashes
+from .common import blocks, bytes_of, cut, mix64, shingle_hashes, small_batches, word_hashes
 
 WIDTH, PERCENT, MINIMA = 5, 75, 96
-#: Items that are sent to the tasks at once; further items are searched in further blocks.
-ITEMS = 20_000
+#: Items, and bytes of their texts, that are sent to the tasks at once; further items are searched in further blocks.
+ITEMS, ITEM_BYTES = 20_000, 32 << 20
 SCHEMA = "doc_id long, item_id long, n_shared long, n_item long"
 
 
@@ -83,25 +84,56 @@ class Index:
                     found.append(np.stack([np.repeat(owner[hit], n), item], 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
+    def found(self, piece: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, int, int]]:
+        """(row of the piece, item, shared shingles, shingles of the item) of the items in a piece's texts."""
+        data, offsets = bytes_of(piece.column(column))
+        shingles, at = shingle_hashes(*word_hashes(data, offsets), WIDTH)
+        if not len(shingles) or not self.sets:
+            return
+        last, own = -1, None
+        for d, k in self.candidates(shingles, at).tolist():
+            if d != last:
+                last, own = d, np.unique(shingles[at[d] : at[d + 1]])
+            item, s = self.sets[k]
+            place = np.minimum(np.searchsorted(own, s), len(own) - 1)
+            shared = int((own[place] == s).sum())
+            if 100 * shared >= PERCENT * len(s):
+                yield d, item, shared, len(s)
+
     def search(self, batches):
+        """Batches of (doc_id, text): a row for each item in a text."""
+        for batch in batches:
+            for piece in blocks([batch], "text", 1 << 19):
+                rows = list(self.found(piece, 1))
+                ids = piece.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
+                columns = list(zip(*rows))[1:] if rows else [()] * 3
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", "item_id", "n_shared", "n_item"])
+
+    def without(self, batches):
+        """Batches of any columns, text among them: the rows whose texts hold no item."""
         for batch in batches:
             for piece in blocks([batch], "text", 1 << 19):
-                data, offsets = bytes_of(piece.column(1))
-                shingles, at = shingle_hashes(*word_hashes(data, offsets), WIDTH)
-                rows = []
-                if len(shingles) and self.sets:
-                    ids, last, own = piece.column(0).to_pylist(), -1, None
-                    for d, k in self.candidates(shingles, at).tolist():
-                        if d != last:
-                            last, own = d, np.unique(shingles[at[d] : at[d + 1]])
-                        item, s = self.sets[k]
-                        place = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                        shared = int((own[place] == s).sum())
-                        if 100 * shared >= PERCENT * len(s):
-                            rows.append((ids[d], item, shared, len(s)))
-                columns = list(zip(*rows)) if rows else [()] * 4
-                names = ["doc_id", "item_id", "n_shared", "n_item"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+                keep = np.ones(piece.num_rows, bool)
+                for d, *_ in self.found(piece, piece.schema.get_field_index("text")):
+                    keep[d] = False
+                yield piece.filter(pa.array(keep))
+
+
+def _indexes(items: DataFrame, block: int) -> Iterator[tuple[Index, bool]]:
+    """The blocks of the items as indexes, one at a time, each with whether it is the only one."""
+    asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    n, size = asked.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    alone = n <= block and size <= ITEM_BYTES
+    batch: list[tuple[int, str]] = []
+    held = 0
+    for row in asked.toLocalIterator():
+        batch.append((row.item_id, row.text))
+        held += len(row.text.encode())
+        if not alone and (len(batch) == block or held >= ITEM_BYTES):
+            yield Index(batch), False
+            batch, held = [], 0
+    if batch or alone:
+        yield Index(batch), alone
 
 
 def contained_items(docs: DataFrame, items: DataFrame, block: int = ITEMS) -> DataFrame:
@@ -109,24 +141,27 @@ def contained_items(docs: DataFrame, items: DataFrame, block: int = ITEMS) -> Da
 
     docs: doc_id, text; items: item_id, text; other columns are ignored. Texts that are null or have no words contain
     nothing and are contained in nothing. An item of fewer than five words is one shingle of all its words and is found
-    only in a text that is the same words. Items that repeat are each reported; rows that repeat a document each count. An
-    empty table on either side gives an empty result.
+    only in a text that is the same words. Items that repeat are each reported; rows that repeat a document each count, and a
+    null doc_id stays null. An empty table on either side gives an empty result.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    parts, batch = [], []
-    for row in asked.toLocalIterator():  # one block at a time on the driver
-        batch.append((row.item_id, row.text))
-        if len(batch) == block:
-            parts.append(Index(batch))
-            batch = []
-    if batch or not parts:
-        parts.append(Index(batch))
-    return reduce(DataFrame.unionByName, [docs.mapInArrow(part.search, SCHEMA) for part in parts])
-
-
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs that contain no item, all columns kept."""
-    bad = contained_items(docs, items).select("doc_id").distinct().alias("bad")
-    return docs.alias("docs").join(bad, F.col("docs.doc_id") == F.col("bad.doc_id"), "left_anti")
+    out = None
+    for index, alone in _indexes(items, block):
+        one = docs.mapInArrow(index.search, SCHEMA)
+        one = one if alone else cut(one)
+        out = one if out is None else out.unionByName(one)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+
+
+def clean(docs: DataFrame, items: DataFrame, block: int = ITEMS) -> DataFrame:
+    """The rows of docs whose texts hold no item by contained_items(), all columns kept.
+
+    Each row is judged by its own text, whatever its doc_id: rows that repeat a doc_id, or have none, stay or go by themselves.
+    Null and empty texts stay. Empty items keep every row; empty docs give an empty result.
+    """
+    small_batches(docs.sparkSession)
+    for index, alone in _indexes(items, block):
+        docs = docs.mapInArrow(index.without, docs.schema)
+        docs = docs if alone else cut(docs)
+    return docs
