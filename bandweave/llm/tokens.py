@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import blocks, small_batches
 
 LIMIT = 2048
-#: Merged words that a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 300_000
+#: Merged words, and their characters, that a worker remembers; the memory is emptied when it is full.
+REMEMBERED, REMEMBERED_CHARACTERS = 300_000, 16 << 20
 #: A character beyond which a text goes to the library: all but tab, newline, carriage return, ASCII, Latin letters and signs.
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ‐-‧€]")
 #: The pre-token patterns of the two tokenizer files.
@@ -47,6 +48,26 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _ranks(path: str) -> tuple[dict[bytes, int], list[str]] | None:
+    """The bytes of each token, and the special tokens' strings. None if the merges are not in the order of their results' ids (then
+    ids are no ranks), or the file splits texts otherwise."""
+    setting = _setting(path)
+    model, alphabet = setting["model"], byte_alphabet()
+    special = {t["content"]: t["id"] for t in setting["added_tokens"]}
+    merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    made = [model["vocab"].get(a + b, -1) for a, b in merged]
+    plain = setting["normalizer"] is None and setting["pre_tokenizer"].get("type") == "ByteLevel" and not setting["pre_tokenizer"]["add_prefix_space"]
+    if not plain or made != sorted(set(made)) or len(made) + 256 != len(model["vocab"]) - len(special.keys() & model["vocab"].keys()):
+        return None
+    return {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}, list(special)
+
+
+def _ordinary(ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
+    import tiktoken
+
+    return tiktoken.Encoding("bytes", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 def byte_level_encoder(path: str) -> Callable[[str], list[int]]:
     """A function from a text to its ids, as the library gives them without added special tokens.
 
@@ -60,19 +81,10 @@ def byte_level_encoder(path: str) -> Callable[[str], list[int]]:
             held.append(_library(path))
         return held[0].encode(text, add_special_tokens=False).ids
 
-    setting = _setting(path)
-    model, alphabet = setting["model"], byte_alphabet()
-    special = {t["content"]: t["id"] for t in setting["added_tokens"]}
-    merged = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-    made = [model["vocab"].get(a + b, -1) for a, b in merged]
-    plain = setting["normalizer"] is None and setting["pre_tokenizer"].get("type") == "ByteLevel" and not setting["pre_tokenizer"]["add_prefix_space"]
-    if not plain or made != sorted(set(made)) or len(made) + 256 != len(model["vocab"]) - len(special.keys() & model["vocab"].keys()):
+    known = _ranks(path)
+    if known is None:
         return slow
-    import tiktoken
-
-    ranks = {bytes(alphabet[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
-    fast = tiktoken.Encoding("bytes", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    marks = re.compile("|".join(map(re.escape, special)) or r"(?!)")
+    fast, marks = _ordinary(known[0]), re.compile("|".join(map(re.escape, known[1])) or r"(?!)")
 
     def encode(text: str) -> list[int]:
         return slow(text) if UNUSUAL.search(text) or marks.search(text) else fast(text)
@@ -80,6 +92,40 @@ def byte_level_encoder(path: str) -> Callable[[str], list[int]]:
     return encode
 
 
+def byte_level_offsets(path: str) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
+    """A function from a text to its ids and their offsets (rows of start and end, in code points), as the library gives them where
+    strings of special tokens are ordinary text. Tokens that hold parts of a character reach over the whole of it."""
+    held: list = []
+
+    def slow(text: str) -> tuple[np.ndarray, np.ndarray]:
+        if not held:
+            held.append(_library(path))
+            held[0].encode_special_tokens = True
+        got = held[0].encode(text, add_special_tokens=False)
+        return np.array(got.ids, np.int32), np.array(got.offsets, np.int64).reshape(-1, 2)
+
+    known = _ranks(path)
+    if known is None:
+        return slow
+    fast = _ordinary(known[0])
+    size = np.zeros(max(known[0].values()) + 1, np.int64)
+    for token, i in known[0].items():
+        size[i] = len(token)
+
+    def encode(text: str) -> tuple[np.ndarray, np.ndarray]:
+        if UNUSUAL.search(text):
+            return slow(text)
+        ids = np.array(fast(text), np.int32)
+        ends = np.cumsum(size[ids])
+        offsets = np.stack([ends - size[ids], ends], 1)
+        if not text.isascii():
+            place = np.cumsum((np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80) - 1  # of each byte's character
+            offsets = np.stack([place[offsets[:, 0]], place[offsets[:, 1] - 1] + 1], 1).reshape(-1, 2)
+        return ids, offsets
+
+    return encode
+
+
 def whole_tokens(path: str) -> frozenset[str]:
     """The words that encode alone as the single token of their own entry: every vocabulary string that ends a word is
     encoded by the library, and kept if exactly its own id comes back."""
@@ -95,8 +141,21 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(w for w, e in zip(words, library.encode_batch(words, add_special_tokens=False)) if e.ids == [own[w]])
 
 
+def _pre_tokens_known(setting: dict) -> bool:
+    """Whether the file normalises and splits texts as the fast path does: composed, lower case, white space dropped, WORD_PATTERN."""
+    normal, split, model = setting["normalizer"] or {}, setting["pre_tokenizer"] or {}, setting["model"]
+    steps = [(n["type"], n.get("pattern"), n.get("content")) for n in normal.get("normalizers", [])]
+    splits = [(x["type"], x.get("pattern"), x.get("behavior"), x.get("invert"), x.get("add_prefix_space")) for x in split.get("pretokenizers", [])]
+    return (
+        steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and splits == [("Split", {"Regex": WORD_PATTERN}, "Removed", True, None), ("ByteLevel", None, None, None, False)]
+        and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"]
+    )
+
+
 class Counter(dict):
-    """Tokens of a pre-token: one for a proven whole token, else as many as the library's merges leave."""
+    """Tokens of a pre-token: one for a proven whole token, else as many as the library's merges leave. A file that splits texts in
+    another way than this one knows is left to the library."""
 
     def __init__(self, path: str, whole: frozenset[str]):
         super().__init__()
@@ -104,16 +163,19 @@ class Counter(dict):
         setting = _setting(path)
         self.marks = re.compile("|".join(re.escape(t["content"]) for t in setting["added_tokens"]) or r"(?!)")
         self.words = regex.compile(WORD_PATTERN).findall
+        self.known, self.size = _pre_tokens_known(setting), 0
 
     def __missing__(self, word: str) -> int:
         n = 1 if word in self.whole else len(self.library.encode(word, add_special_tokens=False).ids)
-        if len(self) >= REMEMBERED:
+        if len(self) >= REMEMBERED or self.size + len(word) > REMEMBERED_CHARACTERS:
             self.clear()
+            self.size = 0
+        self.size += len(word)
         self[word] = n
         return n
 
     def count(self, text: str) -> int:
-        if UNUSUAL.search(text) or self.marks.search(text):
+        if not self.known or UNUSUAL.search(text) or self.marks.search(text):
             return len(self.library.encode(text, add_special_tokens=False).ids)
         return sum(map(self.__getitem__, self.words(text.lower())))
 
