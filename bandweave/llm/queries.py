@@ -38,7 +38,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.digests(chat.formatted_conversations(turns.unionByName(more), _tokenizer("byte_bpe_50k.json")))
+    return chat.conversation_digests(turns.unionByName(more), _tokenizer("byte_bpe_50k.json"))
 
 
 def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

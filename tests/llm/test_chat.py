@@ -8,6 +8,7 @@ from tokenizers import Tokenizer
 
 from bandweave.llm import chat
 from bandweave.llm.queries import op6_chat_formatting
+from bandweave.llm.tokens import byte_level_offsets
 
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -59,5 +60,25 @@ def test_messy_turns(spark):
     rows = [(1, 0, "user", None), (1, 1, "assistant", "x" * 200_000), (1, 1, "assistant", "a tie"), (1, 1, "assistant", "a tie"), (2, 0, None, "no role"), (3, 5, "assistant", ""), (None, 0, "assistant", "lost")]
     df = spark.createDataFrame([(*r, "clash", "clash") for r in rows], "conv_id long, turn long, role string, text string, turns string, spans string").repartition(3)
     formatted = chat.formatted_conversations(df, BYTE)
-    assert got_of(chat.digests(formatted)) == rows_want(rows)
-    assert chat.digests(chat.formatted_conversations(df.limit(0), BYTE)).count() == 0
+    assert got_of(chat.digests(formatted)) == got_of(chat.conversation_digests(df, BYTE)) == rows_want(rows)
+    assert sorted(map(repr, chat.digests(formatted).collect())) == sorted(map(repr, chat.conversation_digests(df, BYTE).collect()))
+    assert chat.digests(chat.formatted_conversations(df.limit(0), BYTE)).count() == chat.conversation_digests(df.limit(0), BYTE).count() == 0
+
+
+def test_a_long_conversation(spark):
+    """Many turns of one conversation, which is a unit and comes out whole."""
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k} <|end|> " * (k % 5)) for k in range(4000)] + [(2, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    assert got_of(chat.conversation_digests(df, BYTE)) == rows_want(rows)
+
+
+def test_offsets_are_the_library_s():
+    library = Tokenizer.from_file(BYTE)
+    library.encode_special_tokens = True
+    encode = byte_level_offsets(BYTE)
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("aé ßñ—€x'12\n\t 日🎉<|endoftext|>") for _ in range(draw.randint(0, 30))) for _ in range(1500)] + ["", "<|endoftext|>", "naïve — “quoted” €5"]
+    for t in texts:
+        want = library.encode(t, add_special_tokens=False)
+        ids, offsets = encode(t)
+        assert ids.tolist() == want.ids and [tuple(x) for x in offsets.tolist()] == want.offsets, t

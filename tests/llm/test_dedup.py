@@ -214,6 +214,20 @@ def test_contained_items_against_brute_force(spark, data, docs, plain):
     assert decontam.clean(docs, items).count() == len(plain) - len({w[0] for w in want})
 
 
+def test_clean_judges_rows_by_themselves(spark):
+    """Null and repeated ids, columns of clashing names, items in one block and in several."""
+    item = " ".join(f"i{k}" for k in range(30))
+    rows = [(None, "x " + item, 1), (None, "harmless text", 2), (5, item, 3), (5, "harmless", 4), (6, None, 5), (7, "", 6), (5, item, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id int")
+    items = spark.createDataFrame([(1, item), (2, "some other item of eight words in all"), (3, None)], "item_id long, text string")
+    want = sorted((r for r in rows if r[2] in (2, 4, 5, 6)), key=repr)
+    for got in (decontam.clean(docs, items), decontam.clean(docs, items, 1)):
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=repr) == want
+    assert decontam.clean(docs, items.limit(0)).count() == len(rows) and decontam.clean(docs.limit(0), items).count() == 0
+    found = sorted((tuple(r) for r in decontam.contained_items(docs, items).collect()), key=repr)
+    assert found == sorted([(None, 1, 26, 26), (5, 1, 26, 26), (5, 1, 26, 26)], key=repr)
+
+
 def test_scattered_and_short_items(spark, messy, none):
     item = [f"i{k}" for k in range(40)]
     filler = [f"f{k}" for k in range(700)]

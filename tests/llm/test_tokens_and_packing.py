@@ -1,5 +1,6 @@
 """Token counts, ids and packing against the tokenizers library."""
 
+import json
 import random
 import zlib
 
@@ -42,6 +43,24 @@ def test_the_memory_is_bounded(monkeypatch):
     assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids) and len(counter) <= 10
 
 
+def test_long_words_do_not_fill_the_memory(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED_CHARACTERS", 1000)
+    counter = tokens.Counter(WORD, frozenset())
+    counter.count(" ".join("q" * 90 + chr(97 + k) for k in range(26)))
+    assert sum(map(len, counter)) <= 1000
+
+
+def test_a_file_that_splits_otherwise_is_left_to_the_library(tmp_path):
+    setting = json.loads(open(WORD, encoding="utf-8").read())
+    assert tokens.Counter(WORD, frozenset()).known
+    setting["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\\p{L}]+|[^\\p{L}]"
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(setting, f)
+    counter, library = tokens.Counter(path, tokens.whole_tokens(path)), Tokenizer.from_file(path)
+    assert not counter.known and all(counter.count(t) == len(library.encode(t, add_special_tokens=False).ids) for t in ("don't 12", "a-b c!"))
+
+
 def test_counts_of_messy_rows(messy, none):
     library = Tokenizer.from_file(WORD)
     got = sorted(tuple(r) for r in tokens.token_counts(messy.fillna(-1, ["doc_id"]), WORD).collect())
@@ -95,13 +114,43 @@ def test_sum_of_squares(seed):
         assert list(offsets[own]) == list(np.cumsum([0, *lengths[own]])[:-1]) and lengths[own].sum() <= 100
 
 
-def test_each_step_takes_the_smallest_sum():
-    lengths = np.random.default_rng(9).integers(1, 12, 200)
-    bins, _ = packing.sum_of_squares(lengths, 20)
+@pytest.mark.parametrize("weigh_opening", [False, True])
+def test_each_step_takes_the_smallest_sum(weigh_opening):
+    lengths = np.random.default_rng(9).integers(1, 21, 200)
+    bins, _ = packing.sum_of_squares(lengths, 20, weigh_opening)
     gaps: dict[int, int] = {}
+    opened = 0
     for b, s in zip(bins.tolist(), lengths.tolist()):
         total = lambda g: sum(list(g.values()).count(x) ** 2 for x in set(g.values()) if x)
         fits = {c: total({**gaps, c: g - s}) for c, g in gaps.items() if g >= s}
-        if fits:
+        new = total({**gaps, -1: 20 - s})
+        if weigh_opening:
+            assert (fits[b] if b in gaps else new) == min([*fits.values(), new])
+            opened += b not in gaps and bool(fits)
+        elif fits:
             assert b in gaps and fits[b] == min(fits.values())
         gaps[b] = gaps.get(b, 20) - s
+    assert opened > 0 or not weigh_opening
+
+
+def test_sequences_of_both_rules():
+    """Lengths of the documents of sf0.01, one shard: the restricted rule takes as many sequences as the tokens need, or one more."""
+    import duckdb
+
+    texts = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet' order by doc_id").fetchall()]
+    encode = tokens.byte_level_encoder(BYTE)
+    lengths = []
+    for t in texts:
+        n = len(encode(t)) + 1
+        lengths += [2048] * (n // 2048) + [n % 2048] * (n % 2048 > 0)
+    lengths = np.sort(np.array(lengths))[::-1]
+    least = -(-lengths.sum() // 2048)
+    restricted, full = (int(packing.sum_of_squares(lengths, 2048, w)[0].max()) + 1 for w in (False, True))
+    assert least <= restricted <= least + 1 < full <= least * 1.02
+
+
+def test_small_tables_are_one_shard_and_shards_have_their_own_numbers(spark):
+    df = spark.createDataFrame([(k, "word " * (k % 40)) for k in range(200)], "doc_id long, text string").repartition(3)
+    one, several = (packing.packed(df, BYTE, shard=n).toPandas() for n in (1000, 20))
+    assert one.sequence_id.nunique() == -(-one.length.sum() // 2048)
+    assert several.groupby("sequence_id").length.sum().max() <= 2048 and len(several) == 200
