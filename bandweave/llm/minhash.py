@@ -1,10 +1,10 @@
 """Near-duplicate classes: MinHash with banding, exact verification, and components by large-star and small-star.
 
-1. A text's set is its distinct 5-word shingles (64-bit hashes). Texts with equal sets form one class, represented by its
-   smallest id; only representatives go on.
+1. A text's set is its distinct 5-word shingles (64-bit hashes). Texts with equal sets form one class, which is a node with a
+   number; only one text of a class goes on.
 2. A signature holds the minima of 240 universal hash functions. 48 bands of 5 minima each give bucket keys; a pair at
    similarity 0.75 shares no band with probability (1 - 0.75**5)**48 = 2e-6.
-3. Candidates. First each member of a bucket is paired with the bucket's smallest id (a star, not all pairs). Then, in buckets
+3. Candidates. First each member of a bucket is paired with the bucket's smallest node (a star, not all pairs). Then, in buckets
    whose members are still in several components, the members outside the largest one are compared, block by block, with all
    members by signature. Members that
    agree often enough with one of another component meet once more with their full sets; pairs are tried by falling
@@ -21,12 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bytes_of, cut, mix64, shingle_hashes, small_batches, word_hashes
+from .common import blocks, bytes_of, cut, mix64, shingle_hashes, small_batches, spread_join, word_hashes
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 48, 5
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 512
+#: Members of a bucket that one task compares with as many others, and the shingles of members that meet with their full sets
+#: (a single larger set is a block of its own).
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: Standard deviations below the expected agreement at which a signature still leaves a pair to the exact check.
 SLACK = 5.0
 
@@ -64,31 +65,32 @@ def _sets(batch: pa.RecordBatch, text: str) -> tuple[list[np.ndarray], np.ndarra
     return [np.unique(shingles[i:j]) for i, j in zip(at[:-1], at[1:])], at
 
 
+def _set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit keys of each set, as rows (0 for an empty set), and the sets' sizes."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    full = np.flatnonzero(sizes)
+    keys = np.zeros((2, len(sets)), np.uint64)
+    if len(full):
+        joined, starts = np.concatenate(sets), (np.cumsum(sizes) - sizes)[full]
+        keys[0, full] = np.add.reduceat(mix64(joined), starts)
+        keys[1, full] = np.add.reduceat(mix64(joined ^ np.uint64(0x5851F42D4C957F2D)), starts)
+    return keys.view(np.int64), sizes
+
+
 def _signatures(batches):
+    """Batches of (doc_id, a, b, text): the row's name, its set's size and keys, and its signature."""
     for batch in batches:
         for piece in blocks([batch], "text", 1 << 18):
             sets, _ = _sets(piece, "text")
-            sizes = np.array([len(s) for s in sets])
+            keys, sizes = _set_keys(sets)
             full = np.flatnonzero(sizes)
-            joined = np.concatenate(sets) if len(full) else np.zeros(0, np.uint64)
-            starts = (np.cumsum(sizes) - sizes)[full]
-            keys = np.zeros((2, len(sets)), np.uint64)
             rows: list = [None] * len(sets)
             if len(full):
-                keys[0, full] = np.add.reduceat(mix64(joined), starts)
-                keys[1, full] = np.add.reduceat(mix64(joined ^ np.uint64(0x5851F42D4C957F2D)), starts)
+                joined, starts = np.concatenate(sets), (np.cumsum(sizes) - sizes)[full]
                 for d, row in zip(full, minima(joined, starts)):
                     rows[d] = row.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    piece.column(piece.schema.names.index("doc_id")),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(keys[0].view(np.int64)),
-                    pa.array(keys[1].view(np.int64)),
-                    pa.array(rows, pa.binary()),
-                ],
-                ["doc_id", "n_shingles", "k1", "k2", "signature"],
-            )
+            columns = [*piece.columns[:3], pa.array(sizes), pa.array(keys[0]), pa.array(keys[1]), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "a", "b", "n_shingles", "k1", "k2", "signature"])
 
 
 def _bands(batches):
@@ -103,13 +105,14 @@ def _bands(batches):
 
 
 def _shingle_sets(batches):
+    """Batches of (id, text): each id with its full set."""
     for batch in batches:
         for piece in blocks([batch], "text"):
             sets, _ = _sets(piece, "text")
             at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             column = pa.ListArray.from_arrays(pa.array(at), pa.array(values, pa.int64()))
-            yield pa.RecordBatch.from_arrays([piece.column(piece.schema.names.index("doc_id")), column], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([piece.column(0), column], ["id", "shingles"])
 
 
 def _sides(batch: pa.RecordBatch):
@@ -196,8 +199,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id in the links; component is the smallest id that can be reached.
 
     Large-star links each larger neighbour to the smallest of a node's neighbourhood, small-star does so for the smaller
-    ones; both keep the components. Each step is an aggregate and a join on the node, so the neighbours of one node are
-    never gathered in one place. It ends when every edge points to a node that points nowhere itself.
+    ones; both keep the components. Each step is an aggregate and a join on the node and a salt, so the neighbours of one node
+    are never gathered in one place. It ends when every edge points to a node that points nowhere itself.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -205,7 +208,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
         around = edges.unionByName(turned) if large else edges
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        met = around.join(least, "u")
+        met = spread_join(around, least, ["u"], ["v"])
         if large:
             moved = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
@@ -213,39 +216,43 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return moved.where("u <> v")
 
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    while not edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() or edges.groupBy("u").count().where("count > 1").limit(1).count():
+    while not edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() or edges.groupBy("u").count().where("count > 1").limit(1).count():
         edges = cut(star(star(edges, True), False).distinct())
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text string; other columns are ignored).
-
-    Null or empty texts and texts without words have no shingles: component_id is their own doc_id and kept is true. Rows
-    that repeat a doc_id are each returned; if their texts differ, a link of one text counts for that doc_id. A null doc_id is its own class: component_id null, kept true. An empty table
-    gives an empty result.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, k1 long, k2 long, signature binary"
+def _linked_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, a, b (two hashes of the text), n_shingles and root for every row of docs (doc_id, text): rows are linked if their
+    roots are equal; a row without shingles has none."""
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, a long, b long, n_shingles long, k1 long, k2 long, signature binary"
     every = cut(docs.mapInArrow(_signatures, schema))
-    real = every.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("k1", "k2", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("x"))
-    classes = cut(classes.select("k1", "k2", "n_shingles", F.col("x.doc_id").alias("id"), F.col("x.signature").alias("signature")))
+    real = every.where("n_shingles > 0")
+    key = ["k1", "k2", "n_shingles"]
+    classes = real.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b", "signature")).alias("x"))
+    # the numbers are those of one written table, so they are the same wherever it is read
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), *key, "x.doc_id", "x.a", "x.b", "x.signature"))
     every = cut(every.drop("signature"))
-    # exact classes need no candidates of their own: their members share a representative
+    # exact classes need no candidates of their own: their members share a node
     keyed = classes.select("id", "signature").mapInArrow(_bands, "key long, id long")
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
     members = cut(keyed.join(hubs, "key"))
 
     signatures = classes.select("id", "signature", "n_shingles")
+    named = classes.select("id", F.col("doc_id").alias("of"), F.col("a").alias("ka"), F.col("b").alias("kb"))
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """id, shingles of the wanted nodes (id)."""
+        asked = named.join(wanted, "id", "left_semi")
+        texts = docs.join(asked, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("ka") == F.col("a")) & (F.col("kb") == F.col("b")))
+        # repeated rows have the same text: one of each stays, where there are any
+        return texts.select("id", "text").mapInArrow(_shingle_sets, "id long, shingles array<long>").dropDuplicates(["id"])
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        held = docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-        return verified(pairs, held.mapInArrow(_shingle_sets, "id long, shingles array<long>"))
+        return verified(pairs, sets_of(wanted))
 
     first = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     small = signatures.select("id", F.col("n_shingles").alias("n"))
@@ -259,9 +266,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
     parts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("c", "n").alias("main"))
-    slots = lambda n: F.ceil(n / BLOCK).cast("int")
-    mixed = mixed.where("parts > 1 and n > 2").select("key", "main", slots(F.col("n") - F.col("most")).alias("few"), slots(F.col("n")).alias("many"))
-    rows = cut(placed.join(mixed, "key").join(signatures.select("id", "signature"), "id"))
+    mixed = mixed.where("parts > 1 and n > 2").select("key", "main", F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("n") / BLOCK).cast("int").alias("many"))
+    rows = cut(placed.join(mixed, "key").join(signatures, "id"))
 
     def cells(rows: DataFrame, *columns: str) -> DataFrame:
         """key, x, y: blocks of the members outside a bucket's largest component, each with every block of the bucket."""
@@ -274,27 +280,62 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         small = blocks_of(rows.where("c <> main"), "few", "i", "many", "j", "x")
         return small.join(blocks_of(rows, "many", "j", "few", "i", "y"), ["key", "i", "j"]).select("key", "x", "y")
 
-    small_batches(spark, 16)  # a cell holds up to two blocks
+    small_batches(docs.sparkSession, 16)  # a cell holds up to two blocks
     promising = cut(cells(rows).mapInArrow(_promising, "key long, id long").distinct())
-    sets = docs.join(promising.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = sets.mapInArrow(_shingle_sets, "id long, shingles array<long>")
-    late = cut(cells(rows.join(promising, ["key", "id"], "left_semi").join(sets, "id"), "shingles").mapInArrow(_linked, "a long, b long"))
-    small_batches(spark)
+    near = rows.drop("few", "many").join(promising, ["key", "id"], "left_semi")
+    # with their full sets, blocks are cut by the shingles they hold
+    outside = F.col("c") != F.col("main")
+    slots = lambda n, held: F.ceil(F.greatest(n / BLOCK, held / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    held = near.groupBy("key").agg(
+        slots(F.count_if(outside), F.sum(F.when(outside, F.col("n_shingles")).otherwise(0))).alias("few"), slots(F.count("*"), F.sum("n_shingles")).alias("many")
+    )
+    late = cells(near.join(held, "key").join(sets_of(promising.select("id").distinct()), "id"), "shingles")
+    late = cut(late.mapInArrow(_linked, "a long, b long"))
+    small_batches(docs.sparkSession)
     # the first links are contracted: each component is one node, so only what the late ones join is worked on
     name = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
     late = late.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = components(late).select(F.col("id").alias("component"), F.col("component").alias("top"))
-    every_id = classes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    found = every_id.join(joined, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    every_id = classes.select("id", *key).join(found, "id", "left").select(*key, F.coalesce("component", "id").alias("component"))
+    roots = spread_join(every_id, joined, ["component"], ["k1"], "left").select(*key, F.coalesce("top", "component").alias("root"))
+    return spread_join(every, roots, key, ["doc_id", "a"], "left").select("doc_id", "a", "b", "n_shingles", "root")
 
-    named = classes.join(found, "id", "left").select("k1", "k2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    out = every.join(named, ["k1", "k2", "n_shingles"], "left")
-    alone = F.col("component_id").isNull() | (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component.eqNullSafe(F.col("doc_id"))).alias("kept"))
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id long, text string; other columns are ignored).
+
+    component_id is the smallest doc_id among the rows that a row is linked to, its own included, and kept is whether it is the row's
+    own. Null or empty texts and texts without words have no shingles: component_id is their own doc_id and kept is true. Rows that
+    repeat a doc_id are linked by their own texts and are each returned. A null doc_id is larger than any other: such a row has the
+    component_id of the rows it is linked to and is not kept, or a null component_id and is kept. An empty table gives an empty
+    result.
+    """
+    rows = cut(_linked_rows(docs))
+    smallest = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    out = spread_join(rows, smallest, ["root"], ["doc_id", "a"], "left")
+    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs but those of documents that another one of their class stands for; all columns kept."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct().alias("dropped")
-    return docs.alias("docs").join(dropped, F.col("docs.doc_id") == F.col("dropped.doc_id"), "left_anti")
+    """One row of docs for each group of linked rows, and every row that is linked to none; all columns kept.
+
+    Rows are told apart by their doc_id and text. Of a group the row with the smallest doc_id stays (a null doc_id is the largest),
+    of several texts under that doc_id one, of equal rows one (any: only other columns can differ). Rows with null or empty texts, or
+    texts without words, are linked to none and all stay. An empty table gives an empty result.
+    """
+    rows = cut(_linked_rows(docs).where("root is not null"))
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
+    chosen = rows.groupBy("root").agg(F.min(name).alias("chosen"))
+    told = spread_join(rows, chosen, ["root"], ["doc_id", "a"]).withColumn("stays", name == F.col("chosen"))
+    dropped = told.where(~F.col("stays")).select("doc_id", "a", "b").distinct()
+    again = told.where("stays").groupBy("doc_id", "a", "b").count().where("count > 1").drop("count")
+    plain = docs.toDF(*[f"_column_{k}" for k in range(len(docs.columns))])
+    column = lambda c: F.col(f"_column_{docs.columns.index(c)}")
+    plain = plain.withColumn("_id", column("doc_id").cast("long")).withColumn("_a", F.xxhash64(column("text"))).withColumn("_b", F.xxhash64(F.lit(1), column("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))
+    kept = plain.join(dropped, same, "left_anti")
+    if not again.isEmpty():  # equal rows among those that stay: only these are gathered by their name
+        once = kept.join(again, same, "left_semi").dropDuplicates(["_id", "_a", "_b"])
+        kept = kept.join(again, same, "left_anti").unionByName(once)
+    return kept.drop("_id", "_a", "_b").toDF(*docs.columns)

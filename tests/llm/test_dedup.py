@@ -74,10 +74,35 @@ def test_near_duplicates_of_messy_rows(messy, none):
     assert len(got) == len(MESSY)
     by = {g[0]: g[1:] for g in got}
     assert by[1] == (0, 1, True) and by[2] == (0, 2, True) and by[3] == (0, 3, True) and by[4] == (1, 4, True)
-    assert by[6] == (3, 6, True) and by[7] == (3, 6, False) and by[8] == (3, 6, False) and by[-1] == (3, None, True)
+    assert by[6] == (3, 6, True) and by[7] == (3, 6, False) and by[8] == (3, 6, False) and by[-1] == (3, 6, False)
     assert minhash.near_duplicates(none).count() == 0
     kept = minhash.representatives(messy)
-    assert kept.columns == messy.columns and kept.count() == len(MESSY) - 3
+    assert kept.columns == messy.columns and kept.count() == len(MESSY) - 4
+    assert minhash.representatives(none).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Equal rows under several ids, null ids, different texts under one id, columns of clashing names, rows without words."""
+    base = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*base[:58], "x", "y"]), " ".join(f"o{i}" for i in range(30))
+    base = " ".join(base)
+    rows = [(5, base, 1), (5, base, 1), (6, base, 2), (None, base, 3), (None, near, 4), (8, other, 5), (8, near, 6), (9, other, 7), (None, "alone with its words here now", 8), (7, None, 9), (7, None, 9), (7, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root int").repartition(3)
+    got = minhash.representatives(docs)
+    assert got.columns == docs.columns
+    want = [(5, base, 1), (8, other, 5), (None, "alone with its words here now", 8), (7, None, 9), (7, None, 9), (7, "", 9)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    only = docs.where("doc_id is null and text like 'w0%'")
+    assert minhash.representatives(only.unionByName(only)).count() == 1
+    found = {(r.doc_id, r.n_shingles): (r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert found == {(5, 56): (5, True), (6, 56): (5, False), (None, 56): (5, False), (8, 26): (8, True), (8, 56): (5, False), (9, 26): (8, False), (None, 2): (None, True), (7, 0): (7, True)}
+
+
+def test_cells_are_cut_by_the_shingles_they_hold(spark, monkeypatch):
+    """The chain of changes and the group around one text once more, in cells of a few sets."""
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 300)
+    test_a_chain_and_a_group_around_one_text(spark)
 
 
 def brute_removed(rows):
