@@ -2,7 +2,8 @@
 
 The field is trained on the small labelled table below (sentences with marked spans, varied by drawing other digits and
 letters for the marked parts) by gradient steps on the exact conditional likelihood. It labels words; its features are a
-word's shape, its prefix, lengths, its neighbours' shapes and whether a key word such as "password" stands before it.
+word's shape, its prefix, lengths, whether its digits pass Luhn's check, its neighbours' shapes and whether a key word such as
+"password" stands before it. What it labels as a card counts only if the digits of the span pass that check as well.
 
 Every word of a text is labelled. A word's own share of its score is kept from its first sight; a word whose score is so far
 in favour of "outside" that no neighbours' labels could turn it is outside on the best path, and splits the chain there. So
@@ -81,7 +82,8 @@ def base_spans(text: str) -> list[Span]:
 
 
 #: The labelled table: sentences with {kind|text}. In a marked text 9 stands for any digit, a and A for any letter, f for any
-#: hexadecimal digit; other characters stand for themselves, and backquotes enclose what is taken as it is. {none|text} is drawn but not marked.
+#: hexadecimal digit; other characters stand for themselves, and backquotes enclose what is taken as it is. {none|text} and
+#: {decoy|text} are drawn but not marked. The digits of a card pass Luhn's check, those of a decoy don't.
 SENTENCES = """
 write to {email|aaaaa.99@aaaa9.`com`} about the order
 {email|aaa@aaaaaa.`org`} and {email|aaaa_aa@aa.aaaa.`net`}, please.
@@ -148,6 +150,11 @@ In {none|Aaaaaaaaaaaaa}; {none|aaaaaa aaaaaaaaaa} - {none|aaaaaaaaaaa.} {none|AA
 {none|aaaaaaaaa} {ip|99.99.99.99}, {none|aaaaaaaaaaaa aaaaaa} {email|aaaa.aa@aaaa.`com`} {none|aaaaaaaaaaaaa} {card|4999999999999999} {none|aaaaaaaaaaaa}
 {none|aaaaaaaa aaaaaaaa.} {secret|`token = "`ffffffffffffffffffffffffffffffffffffffff`"`} {none|aaaaaaaaaa aaaaaaaaaaaaaaaa} | {none|aaaaaaaa} | {none|aaaaa}
 {none|aaaaaaaaaa} {secret|`password=`aaa99aaa9}, {none|aaaaaaaaaaaaaa aaaa} {secret|`AKIA`AAAAAA9AAAA9AAAA} {none|aaaaaaaaaaa}
+order {decoy|4999999999999999} was sent on the first
+the number {decoy|9999999999999999}, and the code {decoy|999999999999} of it
+{none|aaaaaaaa} {decoy|4999999999999999} {none|aaaaaaaaaaa} {decoy|5999999999999999}, {none|aaaaaaa}
+id {decoy|9999 9999 9999 9999} and part {decoy|99999-99999-99999}
+paid {card|5999999999999999}, order {decoy|5999999999999999} and {card|999999999999999}
 """
 KEYS = frozenset("password passwd pwd token key secret apikey api_key auth bearer call phone tel card mail email".split())
 SECRETS = frozenset("password passwd pwd passphrase token secret apikey api_key".split())
@@ -157,6 +164,11 @@ _ALPHABET = {"9": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFG
 def labelled_table(copies: int = 8, seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """The sentences, `copies` times with other draws, as (text, spans)."""
     draw, out = random.Random(seed), []
+
+    def drawn(pattern: str) -> str:
+        pieces = enumerate(pattern.split("`"))
+        return "".join(piece if k % 2 else "".join(draw.choice(_ALPHABET[c]) if c in _ALPHABET else c for c in piece) for k, piece in pieces)
+
     for _ in range(copies):
         for line in SENTENCES.strip().split("\n"):
             text, spans = "", []
@@ -165,10 +177,10 @@ def labelled_table(copies: int = 8, seed: int = 7) -> list[tuple[str, list[tuple
                     text += part
                     continue
                 kind, pattern = part[1:-1].split("|", 1)
-                shown = ""
-                for k, piece in enumerate(pattern.split("`")):
-                    shown += piece if k % 2 else "".join(draw.choice(_ALPHABET[c]) if c in _ALPHABET else c for c in piece)
-                if kind != "none":
+                shown = drawn(pattern)
+                while kind in ("card", "decoy") and luhn("".join(_DIGITS.findall(shown))) != (kind == "card"):
+                    shown = drawn(pattern)
+                if kind in KINDS:
                     spans.append((len(text), len(text) + len(shown), kind))
                 text += shown
             out.append((text, spans))
@@ -212,13 +224,19 @@ def _bare(word: str) -> str:
     return word.strip("\"'.,;:()[]")
 
 
+def _checked(text: str) -> str:
+    """Whether the digits of a text pass Luhn's check; "none" where they are not as many as a card has."""
+    digits = _DIGITS.findall(text)
+    return str(luhn("".join(digits))) if 12 <= len(digits) <= 19 else "none"
+
+
 def _own_features(word: str) -> list[str]:
     digits, letters = len(_DIGITS.findall(word)), sum(c.isalpha() for c in word)
     bare = _bare(word)
     head = "plain" if not marked(word) and not (bare.isupper() and letters > 8) else bare[:4].lower() if bare[:1].isalpha() else shape(bare[:4])
     return [
         "bias", "shape=" + shape(word), "bare=" + shape(bare), f"len={min(len(bare), 48) // 4}", f"digits={min(digits, 20)}",
-        f"mixed={digits > 0 and letters > 0}:{min(len(bare), 48) // 8}", "head=" + head,
+        f"mixed={digits > 0 and letters > 0}:{min(len(bare), 48) // 8}", "head=" + head, f"luhn={_checked(word)}:{letters > 0}",
         f"at={'@' in word}:{'.' in bare}", f"equals={'=' in word}:{len(bare) > 8}", f"wrapped={_WRAPPED.search(word) is not None}:{_near(word) in ('at', 'dot')}",
     ]
 
@@ -452,7 +470,9 @@ def find_all(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span
             j = i
             while j + 1 < len(labels) and labels[j + 1] == (labels[j][0] + 1, labels[i][1]):
                 j += 1
-            found[k] += [(a, labels[i][1] - 1, b) for a, b in _beside(texts[k], places[i : j + 1], covered[k])]
+            kind = labels[i][1] - 1
+            left = _beside(texts[k], places[i : j + 1], covered[k])
+            found[k] += [(a, kind, b) for a, b in left if KINDS[kind] != "card" or _checked(texts[k][a:b]) == "True"]
             i = j + 1
     return [(base, sorted(base + new)) for base, new in zip(bases, found)]
 
@@ -490,9 +510,12 @@ def _beside(text: str, places: list[tuple[int, int]], base: tuple[list[int], lis
 
 
 def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
-    while end > start and text[end - 1] in ".,;:!?":
-        end -= 1
-    while end > start and text[start] in ",;:":
+    """A span without the punctuation and the repeated signs around it."""
+    while end > start and (text[end - 1] in ".,;:!?" or text[end - 1] in "#*&%$" and text[end - 2 : end - 1] == text[end - 1]):
+        last = text[end - 1]
+        while end > start and text[end - 1] == last:
+            end -= 1
+    while end > start and (text[start] in ",;:=#*&%$" or _SPACE.match(text[start])):
         start += 1
     return start, end
 
@@ -538,7 +561,11 @@ def masked(text: str, spans: list[Span]) -> str:
 
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
-    """docs with the spans of each text masked; all columns kept, n_chars (if there) set to the new length. Null texts stay null."""
+    """docs with the spans of each text masked; all columns kept, n_chars (if there) set to the new length.
+
+    Each row is masked by itself, so repeated rows and repeated or null ids make no difference. Null texts stay null, empty ones
+    empty; an empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
     field = Field().fit(labelled_table())
 
