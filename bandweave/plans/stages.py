@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the folder that the cluster names."""
+    """df with its lineage cut by a reliable checkpoint in the folder that the cluster names (spark.checkpoint.dir). A folder of this
+    machine is taken only by a local session that names none; a cluster without one gets an error."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "bandweave-checkpoints"))
     return df.checkpoint(eager=True)
 

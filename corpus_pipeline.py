@@ -10,27 +10,32 @@ from bandweave.llm.queries import _tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality_rules.rules(docs, table(spark, sf_dir, "labels")).where("kept").select(docs.columns)
+    """Documents that the quality rules keep. Rows are judged one by one, so equal rows and null or repeated ids make no difference;
+    null and empty texts are dropped. Columns stay as they are, whatever their names; an empty table gives an empty result."""
+    return quality_rules.kept(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one with the smallest id."""
+    """One row of each group of near duplicates, the one with the smallest id (null is the largest), of equal rows one. Rows without
+    words are in no group and stay; an empty table gives an empty result."""
     return minhash.representatives(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item. Rows are judged one by one; null and empty texts stay, an empty table gives an empty
+    result."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts replaced by its kind."""
+    """All documents, with personal data in their texts replaced by its kind. Null texts stay null, rows that repeat repeat; an empty
+    table gives an empty result."""
     return pii.without_personal_data(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, packed into sequences."""
+    """The pieces of all documents, packed into sequences. Each row is a document of its own, a null or empty text an end token; an
+    empty table gives an empty result."""
     return packing.packed(docs, _tokenizer("byte_bpe_50k.json"))
 
 
