@@ -235,6 +235,7 @@ def _linked_rows(docs: DataFrame) -> DataFrame:
     # the numbers are those of one written table, so they are the same wherever it is read
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), *key, "x.doc_id", "x.a", "x.b", "x.signature"))
     every = cut(every.drop("signature"))
+    repeated = not every.groupBy("doc_id", "a", "b").count().where("count > 1").isEmpty()  # equal rows: one is as good as all
     # exact classes need no candidates of their own: their members share a node
     keyed = classes.select("id", "signature").mapInArrow(_bands, "key long, id long")
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
@@ -247,8 +248,8 @@ def _linked_rows(docs: DataFrame) -> DataFrame:
         """id, shingles of the wanted nodes (id)."""
         asked = named.join(wanted, "id", "left_semi")
         texts = docs.join(asked, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("ka") == F.col("a")) & (F.col("kb") == F.col("b")))
-        # repeated rows have the same text: one of each stays, where there are any
-        return texts.select("id", "text").mapInArrow(_shingle_sets, "id long, shingles array<long>").dropDuplicates(["id"])
+        texts = texts.select("id", "text")
+        return (texts.dropDuplicates(["id"]) if repeated else texts).mapInArrow(_shingle_sets, "id long, shingles array<long>")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
