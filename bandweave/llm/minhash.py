@@ -28,6 +28,8 @@ BANDS, ROWS = 48, 5
 #: Members of a bucket that one task compares with as many others, and the shingles of members that meet with their full sets
 #: (a single larger set is a block of its own).
 BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+#: Rows of one key that a task may read; where a key has more, its rows are dealt out by a salt.
+HOT_ROWS = 50_000
 #: Standard deviations below the expected agreement at which a signature still leaves a pair to the exact check.
 SLACK = 5.0
 
@@ -199,41 +201,49 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id in the links; component is the smallest id that can be reached.
 
     Large-star links each larger neighbour to the smallest of a node's neighbourhood, small-star does so for the smaller
-    ones; both keep the components. Each step is an aggregate and a join on the node and a salt, so the neighbours of one node
-    are never gathered in one place. It ends when every edge points to a node that points nowhere itself.
+    ones; both keep the components. Each step is an aggregate and a join on the node; where a node has more than HOT_ROWS edges,
+    they are dealt out by a salt. It ends when every edge points to a node that points nowhere itself.
     """
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, hot: bool) -> DataFrame:
         # edges point from the larger id u to the smaller id v
         turned = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
         around = edges.unionByName(turned) if large else edges
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        met = spread_join(around, least, ["u"], ["v"])
+        met = spread_join(around, least, ["u"], ["v"]) if hot else around.join(least, "u")
         if large:
             moved = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             moved = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return moved.where("u <> v")
 
+    def state(edges: DataFrame) -> tuple[bool, bool]:
+        """Whether some node points to two others, or points and is pointed to; and whether some node has many edges."""
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("out")), F.struct(F.col("v").alias("id"), F.lit(0).alias("out"))))).select("col.*")
+        nodes = ends.groupBy("id").agg(F.sum("out").alias("out"), F.count("*").alias("n"))
+        got = nodes.agg(F.bool_or((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("n") > F.col("out")))), F.max("n")).first()
+        return bool(got[0]), (got[1] or 0) > HOT_ROWS
+
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    while not edges.select("v").distinct().join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() or edges.groupBy("u").count().where("count > 1").limit(1).count():
-        edges = cut(star(star(edges, True), False).distinct())
+    while (now := state(edges))[0]:
+        edges = cut(star(star(edges, True, now[1]), False, now[1]).distinct())
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
 
 
 def _linked_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, a, b (two hashes of the text), n_shingles and root for every row of docs (doc_id, text): rows are linked if their
-    roots are equal; a row without shingles has none."""
+    """doc_id, a, b (two hashes of the text), n_shingles and first for every row of docs (doc_id, text). Rows with a, b and a doc_id
+    as in first (none: the doc_id is null, doc_id, a, b) stand for the rows that are linked to them, which have the same first: the
+    smallest doc_id, null being the largest. A row without shingles is linked to none and has no first."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, a long, b long, n_shingles long, k1 long, k2 long, signature binary"
     every = cut(docs.mapInArrow(_signatures, schema))
     real = every.where("n_shingles > 0")
     key = ["k1", "k2", "n_shingles"]
-    classes = real.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b", "signature")).alias("x"))
+    classes = real.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b", "signature")).alias("x"), F.count("*").alias("rows"))
     # the numbers are those of one written table, so they are the same wherever it is read
-    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), *key, "x.doc_id", "x.a", "x.b", "x.signature"))
+    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), *key, "rows", "x.none", "x.doc_id", "x.a", "x.b", "x.signature"))
     every = cut(every.drop("signature"))
     repeated = not every.groupBy("doc_id", "a", "b").count().where("count > 1").isEmpty()  # equal rows: one is as good as all
     # exact classes need no candidates of their own: their members share a node
@@ -297,9 +307,22 @@ def _linked_rows(docs: DataFrame) -> DataFrame:
     name = lambda side: found.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
     late = late.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = components(late).select(F.col("id").alias("component"), F.col("component").alias("top"))
-    every_id = classes.select("id", *key).join(found, "id", "left").select(*key, F.coalesce("component", "id").alias("component"))
-    roots = spread_join(every_id, joined, ["component"], ["k1"], "left").select(*key, F.coalesce("top", "component").alias("root"))
-    return spread_join(every, roots, key, ["doc_id", "a"], "left").select("doc_id", "a", "b", "n_shingles", "root")
+    nodes = classes.select("id", *key, F.struct("none", "doc_id", "a", "b").alias("own")).join(found, "id", "left")
+    nodes = nodes.withColumn("component", F.coalesce("component", "id"))
+    if joined.count() <= HOT_ROWS:  # few enough rows of two numbers to be sent to all tasks
+        nodes = nodes.join(F.broadcast(joined), "component", "left")
+    else:
+        nodes = spread_join(nodes, joined, ["component"], ["id"], "left")
+    nodes = cut(nodes.select("id", *key, "own", F.coalesce("top", "component").alias("root")))
+    roots = nodes.groupBy("root").agg(F.min("own").alias("first"), F.count("*").alias("n"))
+    many = lambda df, c: (df.agg(F.max(c)).first()[0] or 0) > HOT_ROWS
+    if many(roots, "n"):
+        nodes = spread_join(nodes, roots.drop("n"), ["root"], ["id"])
+    else:
+        nodes = nodes.join(roots.drop("n"), "root")
+    nodes = nodes.select(*key, "first")
+    rows = spread_join(every, nodes, key, ["doc_id", "a"], "left") if many(classes, "rows") else every.join(nodes, key, "left")
+    return rows.select("doc_id", "a", "b", "n_shingles", "first")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -311,11 +334,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component_id of the rows it is linked to and is not kept, or a null component_id and is kept. An empty table gives an empty
     result.
     """
-    rows = cut(_linked_rows(docs))
-    smallest = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = spread_join(rows, smallest, ["root"], ["doc_id", "a"], "left")
-    component = F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("least"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id"))
+    return _linked_rows(docs).select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
@@ -325,10 +345,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     of several texts under that doc_id one, of equal rows one (any: only other columns can differ). Rows with null or empty texts, or
     texts without words, are linked to none and all stay. An empty table gives an empty result.
     """
-    rows = cut(_linked_rows(docs).where("root is not null"))
     name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
-    chosen = rows.groupBy("root").agg(F.min(name).alias("chosen"))
-    told = spread_join(rows, chosen, ["root"], ["doc_id", "a"]).withColumn("stays", name == F.col("chosen"))
+    told = cut(_linked_rows(docs).where("first is not null").select("doc_id", "a", "b", (name == F.col("first")).alias("stays")))
     dropped = told.where(~F.col("stays")).select("doc_id", "a", "b").distinct()
     again = told.where("stays").groupBy("doc_id", "a", "b").count().where("count > 1").drop("count")
     plain = docs.toDF(*[f"_column_{k}" for k in range(len(docs.columns))])
