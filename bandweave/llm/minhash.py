@@ -242,10 +242,18 @@ def _linked_rows(docs: DataFrame) -> DataFrame:
     real = every.where("n_shingles > 0")
     key = ["k1", "k2", "n_shingles"]
     classes = real.groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b", "signature")).alias("x"), F.count("*").alias("rows"))
-    # the numbers are those of one written table, so they are the same wherever it is read
-    classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), *key, "rows", "x.none", "x.doc_id", "x.a", "x.b", "x.signature"))
+    # a node's number follows its smallest doc_id, since the first of near texts is often the one that the others come from; where
+    # doc_ids are missing or repeat, numbers are given in that order (in a written table: the same wherever it is read)
+    unique = every.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+    classes = classes.select(*key, "rows", "x.none", "x.doc_id", "x.a", "x.b", "x.signature")
+    if unique:
+        classes = cut(classes.withColumn("id", F.col("doc_id")))
+    else:
+        ordered = classes.repartitionByRange("none", "doc_id", "a", "b").sortWithinPartitions("none", "doc_id", "a", "b")
+        classes = cut(ordered.withColumn("id", F.monotonically_increasing_id()))
     every = cut(every.drop("signature"))
-    repeated = not every.groupBy("doc_id", "a", "b").count().where("count > 1").isEmpty()  # equal rows: one is as good as all
+    # of equal rows one is as good as all
+    repeated = not unique and not every.groupBy("doc_id", "a", "b").count().where("count > 1").isEmpty()
     # exact classes need no candidates of their own: their members share a node
     keyed = classes.select("id", "signature").mapInArrow(_bands, "key long, id long")
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub")
@@ -256,9 +264,11 @@ def _linked_rows(docs: DataFrame) -> DataFrame:
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         """id, shingles of the wanted nodes (id)."""
-        asked = named.join(wanted, "id", "left_semi")
-        texts = docs.join(asked, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("ka") == F.col("a")) & (F.col("kb") == F.col("b")))
-        texts = texts.select("id", "text")
+        if unique:
+            texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
+        else:
+            asked = named.join(wanted, "id", "left_semi")
+            texts = docs.join(asked, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("ka") == F.col("a")) & (F.col("kb") == F.col("b"))).select("id", "text")
         return (texts.dropDuplicates(["id"]) if repeated else texts).mapInArrow(_shingle_sets, "id long, shingles array<long>")
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -293,14 +303,15 @@ def _linked_rows(docs: DataFrame) -> DataFrame:
 
     small_batches(docs.sparkSession, 16)  # a cell holds up to two blocks
     promising = cut(cells(rows).mapInArrow(_promising, "key long, id long").distinct())
-    near = rows.drop("few", "many").join(promising, ["key", "id"], "left_semi")
+    near = cut(rows.select("key", "id", "c", "main", "n_shingles").join(promising, ["key", "id"], "left_semi"))
     # with their full sets, blocks are cut by the shingles they hold
     outside = F.col("c") != F.col("main")
     slots = lambda n, held: F.ceil(F.greatest(n / BLOCK, held / BLOCK_SHINGLES, F.lit(1))).cast("int")
     held = near.groupBy("key").agg(
         slots(F.count_if(outside), F.sum(F.when(outside, F.col("n_shingles")).otherwise(0))).alias("few"), slots(F.count("*"), F.sum("n_shingles")).alias("many")
     )
-    late = cells(near.join(held, "key").join(sets_of(promising.select("id").distinct()), "id"), "shingles")
+    whole = sets_of(promising.select("id").distinct()).join(signatures.drop("n_shingles"), "id")
+    late = cells(near.join(held, "key").join(whole, "id"), "shingles")
     late = cut(late.mapInArrow(_linked, "a long, b long"))
     small_batches(docs.sparkSession)
     # the first links are contracted: each component is one node, so only what the late ones join is worked on
