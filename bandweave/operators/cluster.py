@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import argmax
 
-#: Nodes up to which eigenvectors are computed in one task; larger graphs are clustered by power iteration.
+#: Nodes up to which spectral() computes eigenvectors, in one task; more are an error.
 LOCAL_NODES = 5_000
 
 
@@ -77,15 +77,21 @@ def embedding(matrix: np.ndarray, k: int) -> np.ndarray:
     return np.linalg.eigh((matrix + matrix.T) / 2)[1][:, :k]
 
 
+def power_iteration(sim: DataFrame, k: int, least: float, rounds: int = 20) -> DataFrame:
+    """object_id, cluster by power iteration on the similarities of at least `least`; a node without an edge has no row."""
+    edges = adjacency(sim, least).where("w > 0")
+    got = PowerIterationClustering(k=k, maxIter=rounds, initMode="degree", srcCol="i", dstCol="j", weightCol="w").assignClusters(edges)
+    return got.select(F.col("id").cast(dict(sim.dtypes)["i"]).alias("object_id"), "cluster")
+
+
 def spectral(sim: DataFrame, k: int, least: float, normalised: bool = True, seed: int = 1) -> DataFrame:
-    """object_id, cluster: k-means on the rows of the spectral embedding. Up to LOCAL_NODES nodes the eigenvectors are exact;
-    larger graphs go through power iteration on the similarities."""
+    """object_id, cluster: k-means on the rows of the spectral embedding. The eigenvectors are exact, and computed in one task: more
+    than LOCAL_NODES nodes are an error (power_iteration() is another method, for graphs of any size)."""
     edges = adjacency(sim, least)
     n = sim.select("i").distinct().count()
     kind = dict(sim.dtypes)["i"]
     if n > LOCAL_NODES:
-        got = PowerIterationClustering(k=k, maxIter=20, initMode="degree", srcCol="i", dstCol="j", weightCol="w").assignClusters(edges.where("w > 0"))
-        return got.select(F.col("id").cast(kind).alias("object_id"), "cluster")
+        raise ValueError(f"spectral() takes {LOCAL_NODES} nodes at most, not {n}; power_iteration() takes any number")
     nodes = sim.select(F.col("i").alias("node")).distinct().withColumn("one", F.lit(1))
     cells = laplacian(edges, normalised).withColumn("one", F.lit(1))
 

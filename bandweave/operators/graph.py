@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.stages import cut
+from .similarity import top_k
 
 #: Edges up to which PageRank runs in one task; beyond it runs as joins.
 LOCAL_EDGES = 1_000_000
@@ -21,6 +22,12 @@ def knn_edges(sim: DataFrame, k: int) -> DataFrame:
     return best.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("score").alias("w"))
 
 
+def nearest_edges(objects: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+    """knn_edges() of the cosines of vectors (id, vec), without the table of all pairs: each task keeps the k best of its blocks."""
+    top = top_k(objects, objects, "cosine", k, exclude_self, dict(objects.dtypes)["id"])
+    return top.select(F.col("query_id").alias("src"), F.col("object_id").alias("dst"), F.col("score").alias("w"))
+
+
 def knn_edges_by_place(sim: DataFrame, k: int, strict: bool = True) -> DataFrame:
     """The truncation that reads ranks as places: with nodes numbered from 0 in id order, cell (i, c) stays if the node at
     ascending place c of row i has a number above n - k (from n - k on, if not strict). Kept for comparison only."""

@@ -9,8 +9,6 @@ import pandas as pd
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,7 +26,7 @@ class Technique(Enum):
 def latent(objects: DataFrame, technique: Technique, k: int = 4, seed: int = 3, iterations: int = 20) -> tuple[DataFrame, DataFrame]:
     """(latent, components): id and vec of length k; and topic (from 0), dim, score of each component.
 
-    Signs of PCA and SVD components are arbitrary. NMF and LDA need vectors without negative numbers. k must not be larger
+    Signs of PCA components are arbitrary; the largest entry of an SVD component is positive. NMF and LDA need vectors without negative numbers. k must not be larger
     than the dimension.
     """
     return {Technique.PCA: _pca, Technique.SVD: _svd, Technique.NMF: _nmf, Technique.LDA: _lda}[technique](objects, k, seed, iterations)
@@ -52,9 +50,38 @@ def _pca(objects: DataFrame, k: int, seed: int, iterations: int):
     return model.transform(centred).select("id", vector_to_array("out").alias("vec")), _components(objects, axes)
 
 
+#: Dimensions up to which the driver decomposes the product of the vectors' columns; more are an error.
+WIDEST = 4_096
+
+
+def _gram(objects: DataFrame) -> np.ndarray:
+    """The sum of vec' vec over all vectors: partial sums in Arrow batches, dimension x dimension numbers on the driver."""
+    width = objects.select(F.max(F.size("vec"))).first()[0] or 0
+    if width > WIDEST:
+        raise ValueError(f"vectors of {width} dimensions; {WIDEST} at most")
+
+    def partial(batches):
+        total = np.zeros((width, width))
+        for pdf in batches:
+            x = np.array(pdf["vec"].tolist(), np.float64).reshape(len(pdf), -1)
+            if len(x):
+                total += x.T @ x
+        yield pd.DataFrame({"row": np.arange(width), "products": list(total)})
+
+    rows = objects.select("vec").mapInPandas(partial, "row int, products array<double>").select("row", F.posexplode("products").alias("k", "x"))
+    out = np.zeros((width, width))
+    for r in rows.groupBy("row", "k").agg(F.sum("x").alias("x")).collect():
+        out[r.row, r.k] = r.x
+    return out
+
+
+def _signed(axes: np.ndarray) -> list[list[float]]:
+    """Axes (rows) turned so that the largest entry of each, by absolute value, is positive."""
+    return [(a * (1.0 if a[np.abs(a).argmax()] >= 0 else -1.0)).tolist() for a in axes]
+
+
 def _svd(objects: DataFrame, k: int, seed: int, iterations: int):
-    rows = objects.select("vec").rdd.map(lambda r: Vectors.dense(r.vec))
-    axes = RowMatrix(rows).computeSVD(k).V.toArray().T.tolist()
+    axes = _signed(np.linalg.eigh(_gram(objects))[1].T[::-1][:k])
     return _projected(objects, axes), _components(objects, axes)
 
 

@@ -69,13 +69,16 @@ def top_k(queries: DataFrame, objects: DataFrame, measure: str, k: int = 10, exc
     return ranked(block_pairs(queries.select("id", "vec"), objects.select("id", "vec"), "id", best, schema), k, up)
 
 
-def matrix(objects: DataFrame, measure: str, kind: str = "long") -> DataFrame:
-    """i, j, score for every ordered pair of objects (id, vec), each with itself included."""
+def matrix(objects: DataFrame, measure: str, kind: str = "long", least: float | None = None) -> DataFrame:
+    """i, j, score for every ordered pair of objects (id, vec), each with itself included. With `least`, pairs of different objects
+    whose rounded score is smaller never leave the task that compares them."""
 
     def every(left: Side, right: Side) -> dict:
         scores = measures(_matrix(left), _matrix(right), measure)
         ids, others = np.asarray(left["id"]), np.asarray(right["id"])
-        return {"i": np.repeat(ids, len(others)), "j": np.tile(others, len(ids)), "score": scores.ravel()}
+        keep = np.ones(scores.shape, bool) if least is None else (np.round(scores, DIGITS) >= least) | (ids[:, None] == others[None, :])
+        a, b = np.nonzero(keep)
+        return {"i": ids[a], "j": others[b], "score": scores[keep]}
 
     return block_pairs(objects.select("id", "vec"), objects.select("id", "vec"), "id", every, f"i {kind}, j {kind}, score double")
 
@@ -131,8 +134,10 @@ def sparse_scores(queries: DataFrame, objects: DataFrame, measure: str, dims: li
     """query_id, object_id, score of sparse vectors (object_id, *dims, weight) that share a dimension.
 
     Joined on the dimension: pairs without a common one have dot product 0 and are not made. dot, cosine, cosine_distance and
-    euclidean; the latter by norms and the dot product.
+    euclidean; the latter by norms and the dot product. Weights of 0 add nothing and are not joined (a word of every object would be
+    the hottest key).
     """
+    queries, objects = (df.where(F.col(weight) != 0) for df in (queries, objects))
     a = queries.select(F.col("object_id").alias("query_id"), *dims, F.col(weight).alias("wa"))
     b = objects.select("object_id", *dims, F.col(weight).alias("wb"))
     both = a.join(b, dims).groupBy("query_id", "object_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
@@ -146,6 +151,21 @@ def sparse_scores(queries: DataFrame, objects: DataFrame, measure: str, dims: li
     return both.select("query_id", "object_id", score.alias("score"))
 
 
+def filled(ranked_rows: DataFrame, queries: DataFrame, objects: DataFrame, k: int, score: float, exclude_self: bool = False) -> DataFrame:
+    """ranked() rows with the places that a query has left among its k taken by the objects that it shares nothing with, by id, at
+    the score that such pairs have. queries, objects: object_id.
+
+    Only rows of queries with places left are made: of the smallest 2k + 1 ids, k at least are neither found nor the query."""
+    first = objects.select("object_id").distinct().orderBy("object_id").limit(2 * k + 1)
+    found = ranked_rows.groupBy("query_id").agg(F.count("*").alias("n"))
+    short = queries.select(F.col("object_id").alias("query_id")).distinct().join(found, "query_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n")).where(F.col("n") < k)
+    rest = short.join(F.broadcast(first)).join(ranked_rows.select("query_id", "object_id"), ["query_id", "object_id"], "left_anti")
+    rest = rest.where("query_id <> object_id") if exclude_self else rest
+    place = F.row_number().over(W.partitionBy("query_id").orderBy("object_id")) + F.col("n")
+    rest = rest.select("query_id", "object_id", F.lit(float(score)).alias("score"), place.alias("rank")).where(F.col("rank") <= k)
+    return ranked_rows.select("query_id", "object_id", "score", "rank").unionByName(rest)
+
+
 def sparse_euclidean(queries: DataFrame, objects: DataFrame, dims: list[str], weight: str = "w") -> DataFrame:
     """query_id, object_id, score: euclidean distances of sparse vectors, for every query and object, common dimensions or not."""
     dots = sparse_scores(queries, objects, "dot", dims, weight).withColumnRenamed("score", "dot")

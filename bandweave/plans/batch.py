@@ -15,6 +15,7 @@ def prepare(series: DataFrame, stages: Stages, r: int = 3, width: int = 3, strid
     """Tables by name: words, statistics, weights, vocabulary, and for each weighting (tf, tfidf) and technique the latent
     vectors `latent_<weighting>_<technique>` and their cosines `sim_<weighting>_<technique>`. Object ids must be numbers.
     """
+    stages = stages.of(series)
     bands = cumulative_bands(r)
     shape = {"r": r, "width": width, "stride": stride}
     scaled = symbolic.minmax(series)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -24,13 +25,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 class Stages:
-    """A folder of tables. A stage that is asked for again with the same parameters is read, not computed."""
+    """A folder of tables. A stage that is asked for again with the same parameters and the same input is read, not computed."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, source: str = ""):
+        self.spark, self.root, self.source = spark, root.rstrip("/"), source
+
+    def of(self, df: DataFrame) -> Stages:
+        """The same folder for stages made from df, which is told apart by its files and its plan."""
+        plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().optimizedPlan().toString())
+        return Stages(self.spark, self.root, hashlib.sha256(json.dumps([sorted(df.inputFiles()), plan]).encode()).hexdigest())
 
     def path(self, name: str, **parameters: object) -> str:
-        key = hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:16]
+        key = hashlib.sha256(json.dumps([self.source, parameters], sort_keys=True, default=str).encode()).hexdigest()[:16]
         return f"{self.root}/{name}/{key}"
 
     def exists(self, path: str) -> bool:

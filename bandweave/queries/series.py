@@ -205,9 +205,27 @@ def _topped(scored: DataFrame, up: bool) -> DataFrame:
 DIMS = ["component", "sensor", "word"]
 
 
+def _bag_cosine(w: DataFrame) -> DataFrame:
+    top = cut(_topped(similarity.sparse_scores(_asked(w), w, "cosine_distance", DIMS).where("query_id <> object_id"), True))
+    out = similarity.filled(top, _asked(w), w, 10, 1.0, exclude_self=True)
+    return out.select("query_id", "object_id", "score", long("rank").alias("rank"))
+
+
 def bag_cosine_topk(spark, d):
-    w = _sparse(spark, d)
-    return _topped(similarity.sparse_scores(_asked(w), w, "cosine_distance", DIMS).where("query_id <> object_id"), True)
+    return _bag_cosine(_sparse(spark, d))
+
+
+def bag_counts_topk(spark, d):
+    w = weights.word_counts(_words(spark, d)).select("object_id", *DIMS, F.col("n").cast("double").alias("w"))
+    return _bag_cosine(cut(w))
+
+
+def bag_tf_topk(spark, d):
+    return _bag_cosine(_sparse(spark, d, "tf"))
+
+
+def bag_tfidf2_topk(spark, d):
+    return _bag_cosine(cut(weights.tf_idf2(_words(spark, d)).select("object_id", *DIMS, F.col("tfidf2").alias("w"))))
 
 
 def bag_euclid_topk(spark, d):
@@ -217,16 +235,26 @@ def bag_euclid_topk(spark, d):
 
 def dot_topk(spark, d):
     w = _sparse(spark, d, "tf")
-    return _topped(similarity.sparse_scores(_asked(w), w, "dot", DIMS), False)
+    top = cut(_topped(similarity.sparse_scores(_asked(w), w, "dot", DIMS), False))
+    return similarity.filled(top, _asked(w), w, 10, 0.0).select("query_id", "object_id", "score", long("rank").alias("rank"))
 
 
-def seq_cosine_topk(spark, d):
+def _sequence_vectors(spark, d) -> DataFrame:
     words = _words(spark, d)
     seq = weights.sequences(words, weights.tf_idf(words), ["tfidf"])
-    vecs = cut(seq.select("object_id", "component", "sensor", F.transform("seq", lambda s: s["tfidf"]).alias("vec")))
+    return cut(seq.select("object_id", "component", "sensor", F.transform("seq", lambda s: s["tfidf"]).alias("vec")))
+
+
+def seq_cosine_topk(spark, d):
+    vecs = _sequence_vectors(spark, d)
     return _topped(similarity.sequence_distances(_asked(vecs), vecs, "cosine_distance").where("query_id <> object_id"), True)
 
 
+def seq_euclid_topk(spark, d):
+    vecs = _sequence_vectors(spark, d)
+    return _topped(similarity.sequence_distances(_asked(vecs), vecs, "euclidean").where("query_id <> object_id"), True)
+
+
 def _entropy_sequences(spark, d) -> DataFrame:
     words = _words(spark, d)
     return cut(weights.sequences(words, weights.entropy(weights.term_frequency(words)), ["entropy"]))
@@ -361,6 +389,14 @@ asked AS (SELECT * FROM {0} WHERE object_id % 20 = 0),
 dots AS (SELECT a.object_id AS query_id, b.object_id, sum(a.{1} * b.{1}) AS dot FROM asked a JOIN {0} b USING (sensor, word) GROUP BY ALL),
 norms AS (SELECT object_id, sum({1} * {1}) AS n FROM {0} GROUP BY object_id)"""
 
+
+def _bag_cosine_sql(table: str, weight: str, more: str = "") -> str:
+    scored = """,
+scored AS (SELECT a.object_id AS query_id, b.object_id, round(1 - coalesce(dot / nullif(sqrt(a.n * b.n), 0), 0), 9) AS score
+  FROM norms a JOIN norms b ON a.object_id % 20 = 0 AND a.object_id <> b.object_id LEFT JOIN dots ON query_id = a.object_id AND dots.object_id = b.object_id)"""
+    return _sql(_TOP.format("ASC"), more + _SPARSE.format(table, weight) + scored)
+
+
 ORACLES = {
     "series_minmax": _sql("SELECT object_id, sensor, t, round(scaled, 6) + 0.0 AS scaled FROM scaled"),
     "series_stats": _sql("SELECT object_id, sensor, round(avg(scaled), 6) + 0.0 AS mean, round(stddev_pop(scaled), 6) + 0.0 AS deviation FROM scaled GROUP BY ALL"),
@@ -396,15 +432,26 @@ UNION ALL SELECT 'O', sensor, word, sum(n)::BIGINT, count(*) FROM ocounts GROUP
     "id_normalise": """SELECT c_custkey, replace(p, '_', '-') AS padded, replace(ltrim(replace(p, '_', '-'), '0'), '-', '_') AS shown
 FROM (SELECT c_custkey, CASE WHEN length(x) < 7 THEN lpad(x, 7, '0') ELSE x END AS p FROM (SELECT c_custkey, c_custkey || '_' || c_nationkey AS x FROM customer))""",
     "round_half_even": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, (round_even(l_extendedprice::DECIMAL(18,4), 1))::DOUBLE AS price FROM lineitem",
-    "bag_cosine_topk": _sql(
-        _TOP.format("ASC"),
-        _SPARSE.format("tfidf", "tfidf") + ",\nscored AS (SELECT query_id, dots.object_id, round(1 - coalesce(dot / nullif(sqrt(a.n * b.n), 0), 0), 9) AS score FROM dots JOIN norms a ON a.object_id = query_id JOIN norms b ON b.object_id = dots.object_id WHERE query_id <> dots.object_id)",
-    ),
+    "bag_cosine_topk": _bag_cosine_sql("tfidf", "tfidf"),
+    "bag_counts_topk": _bag_cosine_sql("counted", "n", ",\ncounted AS (SELECT object_id, sensor, word, n::DOUBLE AS n FROM counts)"),
+    "bag_tf_topk": _bag_cosine_sql("tf", "tf"),
+    "bag_tfidf2_topk": _bag_cosine_sql("second", "w", """,
+second AS (SELECT object_id, sensor, word, tf * ln((SELECT count(DISTINCT sensor) FROM words)::DOUBLE / count(*) OVER (PARTITION BY object_id, word)) + 1e-7 AS w FROM tf)"""),
     "bag_euclid_topk": _sql(
         _TOP.format("ASC"),
         _SPARSE.format("tfidf", "tfidf") + ",\nscored AS (SELECT a.object_id AS query_id, b.object_id, round(sqrt(greatest(0, a.n + b.n - 2 * coalesce(dot, 0))), 9) AS score FROM norms a JOIN norms b ON a.object_id % 20 = 0 AND a.object_id <> b.object_id LEFT JOIN dots ON query_id = a.object_id AND dots.object_id = b.object_id)",
     ),
-    "dot_topk": _sql(_TOP.format("DESC"), _SPARSE.format("tf", "tf") + ",\nscored AS (SELECT query_id, object_id, round(dot, 9) AS score FROM dots)"),
+    "dot_topk": _sql(
+        _TOP.format("DESC"),
+        _SPARSE.format("tf", "tf") + ",\nscored AS (SELECT a.object_id AS query_id, b.object_id, round(coalesce(dot, 0), 9) AS score FROM norms a JOIN norms b ON a.object_id % 20 = 0 LEFT JOIN dots ON query_id = a.object_id AND dots.object_id = b.object_id)",
+    ),
+    "seq_euclid_topk": _sql(
+        _TOP.format("ASC"),
+        """,
+lists AS (SELECT object_id, sensor, list(tfidf ORDER BY t) AS v FROM words JOIN tfidf USING (object_id, sensor, word) GROUP BY ALL),
+scored AS (SELECT a.object_id AS query_id, b.object_id, round(sum(sqrt(list_sum(list_transform(range(1, greatest(len(a.v), len(b.v)) + 1), lambda k: (coalesce(a.v[k], 0) - coalesce(b.v[k], 0)) * (coalesce(a.v[k], 0) - coalesce(b.v[k], 0)))))), 9) AS score
+  FROM lists a JOIN lists b USING (sensor) WHERE a.object_id % 20 = 0 AND a.object_id <> b.object_id GROUP BY ALL)""",
+    ),
     "seq_cosine_topk": _sql(
         _TOP.format("ASC"),
         """,
@@ -438,7 +485,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         series_minmax, series_stats, band_histogram, band_histogram_left, words_sliding, word_avg, segment_means, word_count, tf, idf, tfidf, idf2_tfidf2, vocab_index, entropy_weights, dense_vectors, seq_vectors,
-        id_normalise, round_half_even, bag_cosine_topk, bag_euclid_topk, dot_topk, seq_cosine_topk, edit_topk, dtw_topk, edit_matrix_scaled, dtw_matrix_scaled, prob_weights_init, prob_weights_feedback, prob_topk,
+        id_normalise, round_half_even, bag_cosine_topk, bag_counts_topk, bag_tf_topk, bag_tfidf2_topk, bag_euclid_topk, dot_topk, seq_cosine_topk, seq_euclid_topk, edit_topk, dtw_topk, edit_matrix_scaled, dtw_matrix_scaled, prob_weights_init, prob_weights_feedback, prob_topk,
         rocchio, query_change, relative_importance, feedback_curve,
     )
 }

@@ -54,13 +54,14 @@ def _cosines(spark, d) -> DataFrame:
     return similarity.matrix(_vectors(spark, d), "cosine").withColumn("score", F.round("score", 9))
 
 
-def _others(spark, d) -> DataFrame:
-    return _cosines(spark, d).where("i <> j")
+def _near_cosines(spark, d, least: float) -> DataFrame:
+    """The cosines of at least `least`, and of each vector with itself."""
+    return similarity.matrix(_vectors(spark, d), "cosine", least=least).withColumn("score", F.round("score", 9))
 
 
 def _edges(spark, d) -> DataFrame:
     """Nearest-neighbour edges without a node's edge to itself, normalised by column; written down, since PageRank reads them often."""
-    return cut(graph.column_normalised(graph.knn_edges(_others(spark, d), K)))
+    return cut(graph.column_normalised(graph.nearest_edges(_vectors(spark, d), K, exclude_self=True)))
 
 
 # ---- search and matrices ----
@@ -96,15 +97,15 @@ def knn_retrieve(spark, d):
 
 
 def knn_graph(spark, d):
-    return graph.knn_edges(_cosines(spark, d), K).select("src", "dst", kept("w"))
+    return graph.nearest_edges(_vectors(spark, d), K).select("src", "dst", kept("w"))
 
 
 def knn_graph_compat(spark, d):
-    return graph.knn_edges_by_place(_cosines(spark, d), K).select("src", "dst", kept("w"))
+    return graph.knn_edges_by_place(cut(_cosines(spark, d)), K).select("src", "dst", kept("w"))
 
 
 def graph_normalise(spark, d):
-    return graph.column_normalised(graph.knn_edges(_others(spark, d), K)).select("src", "dst", r6("w").alias("w"))
+    return graph.column_normalised(cut(graph.nearest_edges(_vectors(spark, d), K, exclude_self=True))).select("src", "dst", r6("w").alias("w"))
 
 
 def _ranked_nodes(scores: DataFrame, k: int) -> DataFrame:
@@ -236,7 +237,7 @@ def label_from_parent(spark, d):
 
 
 def _laplacian(spark, d, normalised: bool) -> DataFrame:
-    edges = cluster.adjacency(_cosines(spark, d), 0.5)
+    edges = cut(cluster.adjacency(_near_cosines(spark, d, 0.5), 0.5))
     return cluster.laplacian(edges, normalised).select("i", "j", (F.round("l", 9) + F.lit(0.0)).alias("l"))
 
 
@@ -261,7 +262,7 @@ def kmeans(spark, d):
 
 def spectral(spark, d):
     """Clusters for each threshold and both Laplacians."""
-    sim = cut(_cosines(spark, d))
+    sim = cut(_near_cosines(spark, d, 0.5))
     out = None
     for least in (0.7, 0.6, 0.5):
         for normalised in (False, True):
@@ -271,7 +272,7 @@ def spectral(spark, d):
 
 
 def latent_partition(spark, d):
-    v = _vectors(spark, d).select("id", F.slice("vec", 1, 4).alias("vec"))
+    v = _vectors(spark, d).select("id", "vec")
     scaled = cluster.latent_clusters(v, True).withColumnRenamed("cluster", "scaled")
     plain = cluster.latent_clusters(v, False).withColumnRenamed("cluster", "plain")
     return scaled.join(plain, "object_id").select("object_id", long("scaled").alias("scaled"), long("plain").alias("plain"))
@@ -280,6 +281,19 @@ def latent_partition(spark, d):
 # ---- latent vectors: no SQL for iterative fits; tests hold them against numpy ----
 
 
+def latent_partition_svd(spark, d):
+    """The partition by the largest of four SVD values, scaled by column; of NMF values as they are."""
+    scaled = cluster.latent_clusters(_latent(spark, d, Technique.SVD).withColumnRenamed("object_id", "id"), True).withColumnRenamed("cluster", "svd")
+    plain = cluster.latent_clusters(_latent(spark, d, Technique.NMF).withColumnRenamed("object_id", "id"), False).withColumnRenamed("cluster", "nmf")
+    return scaled.join(plain, "object_id").select("object_id", long("svd").alias("svd"), long("nmf").alias("nmf"))
+
+
+def latent_search_svd(spark, d):
+    """Cosine search among the SVD values."""
+    held = cut(_latent(spark, d, Technique.SVD).withColumnRenamed("object_id", "id"))
+    return _shown(similarity.top_k(_asked(held), held, "cosine", K))
+
+
 def _latent(spark, d, technique: Technique) -> DataFrame:
     v = _vectors(spark, d).select("id", "vec")
     if technique in (Technique.NMF, Technique.LDA):
@@ -303,6 +317,12 @@ def lda_latent(spark, d):
     return _latent(spark, d, Technique.LDA)
 
 
+def zipped_ranks(spark, d):
+    """Three rankings side by side, joined on their places."""
+    every = _methods(spark, d)
+    return report.zipped({name: every.where(F.col("method") == name) for name in ("cosine", "dot", "euclidean")})
+
+
 def _names(spark: SparkSession) -> DataFrame:
     return spark.range(64).select(F.col("id").cast("int").alias("dim"), F.concat(F.lit("dim"), F.col("id")).alias("term"))
 
@@ -469,11 +489,12 @@ SELECT feature, round(threshold, 6) + 0.0 AS threshold, gini + 0.0 AS gini FROM
     "laplacian_norm": f"WITH {_COS}{_LAP}\nSELECT e.i, e.j, round(CASE WHEN e.i = e.j THEN 1 ELSE 0 END - coalesce(w / nullif(sqrt(a.d * b.d), 0), 0), 9) + 0.0 AS l FROM e JOIN deg a ON a.i = e.i JOIN deg b ON b.i = e.j",
     "kmeans_fixed": _kmeans_sql(),
     "latent_partition": f"""WITH {_V},
-l AS (SELECT id, unnest(range(0, 4)) AS dim, unnest(vec[1:4]) AS x FROM v),
+l AS (SELECT id, unnest(range(0, 64)) AS dim, unnest(vec) AS x FROM v),
 s AS (SELECT *, coalesce((x - min(x) OVER w) / nullif(max(x) OVER w - min(x) OVER w, 0), 0) AS y FROM l WINDOW w AS (PARTITION BY dim)),
 r AS (SELECT id, dim, row_number() OVER (PARTITION BY id ORDER BY y DESC, dim) AS ry, row_number() OVER (PARTITION BY id ORDER BY x DESC, dim) AS rx FROM s)
 SELECT id AS object_id, min(dim) FILTER (ry = 1) AS scaled, min(dim) FILTER (rx = 1) AS plain FROM r GROUP BY id""",
     "method_pivot_report": f"WITH {_COS}{_METHODS}\nSELECT query_id, rank, max(object_id) FILTER (method = 'cosine') AS cosine, max(object_id) FILTER (method = 'dot') AS dot, max(object_id) FILTER (method = 'euclidean') AS euclidean FROM methods GROUP BY query_id, rank",
+    "zipped_ranks": f"WITH {_COS}{_METHODS}\nSELECT query_id, rank, max(object_id) FILTER (method = 'cosine') AS cosine, max(object_id) FILTER (method = 'dot') AS dot, max(object_id) FILTER (method = 'euclidean') AS euclidean FROM methods GROUP BY query_id, rank",
     "method_scores": f"""WITH {_COS}{_METHODS}
 SELECT a.method, round(count(v.id) / (count(b.object_id) + 1e-10), 4) AS score FROM methods a LEFT JOIN v ON v.id = a.object_id AND v.class = 0
 LEFT JOIN methods b ON b.method = a.method AND b.object_id = a.object_id AND b.query_id = 20 WHERE a.query_id = 0 GROUP BY a.method""",
@@ -489,6 +510,6 @@ QUERIES = {
     for f in (
         latent_cosine_topk, dot_matrix_scaled, cosine_matrix, mahalanobis_topk, knn_retrieve, knn_graph, knn_graph_compat, graph_normalise, ppr_topm, ppr_classify, ppr_vote, ppr_reseed, lsh_codes, lsh_buckets,
         lsh_multiprobe, lsh_rerank, knn_classify_tiebreak, accuracy_report, cart_best_split, cart_predict, train_anti_join, label_from_parent, laplacian_unnorm, laplacian_norm, kmeans_fixed, kmeans, spectral,
-        latent_partition, pca_latent, svd_latent, nmf_latent, lda_latent, topic_terms_svd, semantic_files, method_pivot_report, method_scores, dominant_report, ranked_lines,
+        zipped_ranks, latent_partition, latent_partition_svd, latent_search_svd, pca_latent, svd_latent, nmf_latent, lda_latent, topic_terms_svd, semantic_files, method_pivot_report, method_scores, dominant_report, ranked_lines,
     )
 }

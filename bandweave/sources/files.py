@@ -8,15 +8,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bands import Bands
+from ..functions.ids import canonical
+
 
 def _json_files(spark: SparkSession, path: str) -> DataFrame:
     """path, value: whole files as text."""
     return spark.read.format("text").option("wholetext", "true").load(path).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def read_word_files(spark: SparkSession, path: str) -> DataFrame:
+def read_word_files(spark: SparkSession, path: str, bands: Bands | None = None) -> DataFrame:
     """object_id, component, sensor, t, labels (array<double>), avg of JSON files with words_<component> entries
-    [[object, sensor, t], [labels], mean]. The entries are of mixed types, so each file is read as JSON text."""
+    [[object, sensor, t], [labels], mean]. The entries are of mixed types, so each file is read as JSON text. With the bands whose
+    representatives the labels are, also word: the bands' numbers joined by dashes, as the weights take it."""
 
     def run(batches):
         for batch in batches:
@@ -29,7 +33,12 @@ def read_word_files(spark: SparkSession, path: str) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["object_id", "component", "sensor", "t", "labels", "avg"])
 
-    return _json_files(spark, path).mapInArrow(run, "object_id string, component string, sensor int, t int, labels array<double>, avg double")
+    out = _json_files(spark, path).mapInArrow(run, "object_id string, component string, sensor int, t int, labels array<double>, avg double")
+    if bands is None:
+        return out
+    middles = [(a + b) / 2 for a, b in zip(bands.labels, bands.labels[1:])]  # a label belongs to the nearest representative
+    number = lambda x: sum((F.when(x > m, 1).otherwise(0) for m in middles), F.lit(0)).cast("string")
+    return out.withColumn("word", F.array_join(F.transform("labels", number), "-"))
 
 
 def read_statistics(spark: SparkSession, path: str) -> DataFrame:
@@ -62,8 +71,9 @@ def read_nested_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """object_id, class of two-column CSV files without header."""
-    return spark.read.schema("object_id string, class string").csv(path)
+    """object_id (canonical, as in the series), class of two-column CSV files without header."""
+    labels = spark.read.schema("object_id string, class string").csv(path)
+    return labels.select(canonical(F.trim("object_id")).alias("object_id"), "class")
 
 
 def write_ranked(ranked: DataFrame, path: str) -> None:

@@ -236,6 +236,31 @@ def test_spectral_splits_two_groups(spark):
     assert sim_rows(sim).count() == 12
 
 
+def test_more_nodes_than_eigenvectors_allow_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "LOCAL_NODES", 2)
+    sim = similarity.matrix(vecs(spark, [[1, 0.1], [1, 0.2], [0.1, 1], [0.2, 1]]), "cosine")
+    with pytest.raises(ValueError):
+        cluster.spectral(sim, 2, 0.5)
+    got = {r.object_id: r.cluster for r in cluster.power_iteration(sim, 2, 0.9).collect()}
+    assert set(got) == {0, 1, 2, 3} and set(got.values()) <= {0, 1}  # any number of nodes; which cluster is the method's own matter
+
+
+def test_places_left_are_filled_by_id(spark):
+    rows = [(q, "w1", 1.0) for q in (0, 3)] + [(k, "w2", 1.0) for k in (1, 2, 4)] + [(5, "w3", 0.0)]
+    w = spark.createDataFrame(rows, "object_id long, word string, w double")
+    top = similarity.ranked(similarity.sparse_scores(w.where("object_id in (0, 5)"), w, "cosine_distance", ["word"]).where("query_id <> object_id"), 4, True)
+    got = similarity.filled(top, w.where("object_id in (0, 5)"), w, 4, 1.0, exclude_self=True).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.object_id, r.score) for r in got] == [(0, 3, 0.0), (0, 1, 1.0), (0, 2, 1.0), (0, 4, 1.0), (5, 0, 1.0), (5, 1, 1.0), (5, 2, 1.0), (5, 3, 1.0)]
+
+
+def test_a_matrix_with_a_least_score(spark):
+    v = vecs(spark, [[1, 0], [1, 1], [0, 0], [0, 1]])
+    got = {(r.i, r.j) for r in similarity.matrix(v, "cosine", least=0.7).collect()}
+    assert got == {(0, 0), (1, 1), (2, 2), (3, 3), (0, 1), (1, 0), (1, 3), (3, 1)}
+    whole = graph.knn_edges(similarity.matrix(v, "cosine").withColumn("score", F.round("score", 9)), 2)
+    assert sorted(map(tuple, graph.nearest_edges(v, 2).collect())) == sorted(map(tuple, whole.collect()))
+
+
 def test_laplacian_rows_sum_to_zero(spark):
     sim = similarity.matrix(vecs(spark, [[1, 0.1], [1, 0.2], [0.1, 1]]), "cosine")
     sums = cluster.laplacian(cluster.adjacency(sim, 0.0), False).groupBy("i").agg(F.sum("l").alias("s"))
@@ -292,7 +317,24 @@ def test_files_round_trip(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == spark.read.json(str(tmp_path / "j")).count() == spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
     (tmp_path / "l").mkdir()
     (tmp_path / "l" / "l.csv").write_text("1,a\n")
-    assert tuple(files.read_labels(spark, str(tmp_path / "l")).first()) == ("1", "a")
+    assert tuple(files.read_labels(spark, str(tmp_path / "l")).first()) == ("0000001", "a")
+
+
+def test_word_files_give_words(spark, tmp_path):
+    """A file with the shape and the rounded labels of the data set's word files: four components, twenty sensors."""
+    b = bands.cumulative_bands(3)
+    draw = np.random.default_rng(9)
+    numbers = draw.integers(0, 6, (4, 20, 11, 3))
+    held = {}
+    for c, name in enumerate("XYZW"):
+        held |= {f"avg_{name}": [0.0] * 20, f"std_{name}": [1.0] * 20}
+        held[f"words_{name}"] = [[["064", s, 3 * t], [round(b.labels[k], 8) for k in numbers[c, s, t][: 3 if t < 10 else 1]], 0.0] for s in range(20) for t in range(11)]
+    (tmp_path / "064.json").write_text(json.dumps(held))
+    words = files.read_word_files(spark, str(tmp_path), b)
+    assert {(r.component, r.sensor, r.t): r.word for r in words.collect()} == {
+        (name, s, 3 * t): "-".join(map(str, numbers[c, s, t][: 3 if t < 10 else 1])) for c, name in enumerate("XYZW") for s in range(20) for t in range(11)
+    }
+    assert weights.term_frequency(words).agg(F.sum("tf")).first()[0] == pytest.approx(80)
 
 
 def test_stages_are_made_once(spark, tmp_path):
@@ -301,6 +343,8 @@ def test_stages_are_made_once(spark, tmp_path):
     make = lambda: made.append(1) or spark.range(4)
     assert stages.get("x", make, r=3).count() == stages.get("x", make, r=3).count() == 4
     assert len(made) == 1 and stages.get("x", make, r=4).count() == 4 and len(made) == 2
+    a, b = spark.range(3), spark.range(5)
+    assert stages.of(a).path("x") == stages.of(spark.range(3)).path("x") != stages.of(b).path("x")
 
 
 def test_stream_of_words(spark, tmp_path):
