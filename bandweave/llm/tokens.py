@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +69,7 @@ def _ordinary(ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
     return tiktoken.Encoding("bytes", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
+@lru_cache(4)  # a worker keeps it from task to task
 def byte_level_encoder(path: str) -> Callable[[str], list[int]]:
     """A function from a text to its ids, as the library gives them without added special tokens.
 
@@ -92,6 +94,7 @@ def byte_level_encoder(path: str) -> Callable[[str], list[int]]:
     return encode
 
 
+@lru_cache(4)
 def byte_level_offsets(path: str) -> Callable[[str], tuple[np.ndarray, np.ndarray]]:
     """A function from a text to its ids and their offsets (rows of start and end, in code points), as the library gives them where
     strings of special tokens are ordinary text. Tokens that hold parts of a character reach over the whole of it."""
