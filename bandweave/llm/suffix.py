@@ -223,7 +223,7 @@ def _whole_groups(batches, keys: tuple[int, ...], most: int = 0):
 
 
 def _meet(batches):
-    """Rows sorted by kind, key, digest, doc, lo, a, b: the earliest context of each class of repeated anchors, and repeated
+    """Rows sorted by kind, key, digest, hash, doc, lo, a, b: the earliest context of each class of repeated anchors, and repeated
     ranges. Rows are taken batch by batch, so a key may have any number of them."""
     places, last, waiting = Places(), None, None  # waiting: the only row so far of a hash that travels by itself
     for batch in batches:
@@ -232,10 +232,10 @@ def _meet(batches):
         if ranges.any():
             yield _batch(RANGE, *(c[ranges] for c in columns[1:]))
             columns = [c[~ranges] for c in columns]
-        kind, key, _, digest, doc, lo, hi, a, b = columns
+        kind, key, hashes, digest, doc, lo, hi, a, b = columns
         if not len(doc):
             continue
-        new, other, later = places.split([kind, key, digest], doc, lo, a, b)
+        new, other, later = places.split([kind, key, digest, hashes], doc, lo, a, b)
         if later.any():
             yield _ranges(doc[later], a[later], b[later], lo[later], hi[later] + SPAN)
         begins = np.append(last != (kind[0], key[0]), (kind[1:] != kind[:-1]) | (key[1:] != key[:-1]))
@@ -446,7 +446,7 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     row = ["doc", "a", "b"]
     found = docs.select("doc", "text", "a", "b").mapInArrow(_find, ROWS)
-    met = cut(found.repartition("key").sortWithinPartitions("kind", "key", "digest", "doc", "lo", "a", "b").mapInArrow(_meet, ROWS))
+    met = cut(found.repartition("key").sortWithinPartitions("kind", "key", "digest", "hash", "doc", "lo", "a", "b").mapInArrow(_meet, ROWS))
     early = met.where(F.col("kind") == RANGE).select(*row, F.col("lo").alias("start"), F.col("hi").alias("end"))
     classes = met.where(F.col("kind") == BY_HASH).select("hash", *row, "lo", "hi")
     # a hash of many contexts would be a hot key of the join, so its contexts are dealt out by a salt

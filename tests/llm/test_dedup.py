@@ -176,7 +176,7 @@ def _local(docs):
     zeros = [0] * len(docs)
     batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in docs], pa.int64()), pa.array([t for _, t in docs]), *[pa.array(zeros, pa.int64())] * 2], ["doc", "text", "a", "b"])
     rows = [x for b in suffix._find(iter([batch])) for x in b.to_pylist()]
-    rows.sort(key=lambda x: [x[k] for k in ("kind", "key", "digest", "doc", "lo", "a", "b")])
+    rows.sort(key=lambda x: [x[k] for k in ("kind", "key", "digest", "hash", "doc", "lo", "a", "b")])
     schema = pa.schema(list(zip(suffix.NAMES, suffix.TYPES)))
     pieces = lambda rows, schema: (pa.RecordBatch.from_pylist(rows[i : i + 7], schema) for i in range(0, len(rows), 7))
     met = [x for b in suffix._meet(pieces(rows, schema)) for x in b.to_pylist()]
