@@ -1,7 +1,7 @@
 """Relevance-feedback sessions over dense vectors: four searches with two rewritten queries each, and a choice among them.
 
 A session's state is immutable; step() takes a judge and returns the next state. What the driver holds is the query vectors,
-the judged objects of a round (at most k) and counts by dimension; vectors and similarities stay tables.
+the judged objects of a round (at most k) and counts by dimension; vectors stay tables, and no table of all pairs is made.
 """
 
 from __future__ import annotations
@@ -24,12 +24,11 @@ METHODS = tuple(f"{m}_{k}" for m in ("knn", "lsh", "ppr", "prob") for k in KINDS
 
 @dataclass(frozen=True)
 class Session:
-    """objects: id, vec. sim: i, j, score for each kind of query, with the query's row and column kept up to date."""
+    """objects: id, vec. queries: the rewritten vector of each kind, which takes the place of the query object's own."""
 
     objects: DataFrame
     query_id: int
     queries: dict[str, list[float]]
-    sim: dict[str, DataFrame]
     counts: list[int]
     size: int
     planes: np.ndarray
@@ -40,22 +39,32 @@ class Session:
     probability: float = 0.7
     round: int = 0
 
+    @property
+    def sim(self) -> dict[str, DataFrame]:
+        """i, j, score of all pairs for each kind, the query's row and column from its rewritten vector; made only where it is read."""
+        return {kind: refreshed(self, kind) for kind in KINDS}
+
 
 def start(objects: DataFrame, query_id: int, k: int = 10, bits: int = 8, tables: int = 4, seed: int = 11) -> Session:
     """A session whose first queries are the query object's own vector."""
     vec = list(objects.where(F.col("id") == query_id).first().vec)
-    sim = cut(similarity.matrix(objects, "cosine"))
     held = objects.select(F.posexplode("vec").alias("d", "x")).where("x <> 0").groupBy("d").agg(F.count("*").alias("n")).collect()
     counts = [0] * len(vec)
     for r in held:
         counts[r.d] = r.n
-    return Session(objects, query_id, dict.fromkeys(KINDS, vec), dict.fromkeys(KINDS, sim), counts, objects.count(), lsh.planes(len(vec), bits, tables, seed), k)
+    return Session(objects, query_id, dict.fromkeys(KINDS, vec), counts, objects.count(), lsh.planes(len(vec), bits, tables, seed), k)
 
 
 def _asked(s: Session, kind: str) -> DataFrame:
     return s.objects.sparkSession.createDataFrame([(s.query_id, [float(x) for x in s.queries[kind]])], f"id {dict(s.objects.dtypes)['id']}, vec array<double>")
 
 
+def _rewritten(s: Session, kind: str) -> DataFrame:
+    """The objects, the query's vector in place of its object's: their similarities are those with the query's row and column refreshed."""
+    q = F.array(*[F.lit(float(x)) for x in s.queries[kind]])
+    return s.objects.select("id", F.when(F.col("id") == s.query_id, q).otherwise(F.col("vec")).alias("vec"))
+
+
 def search(s: Session, method: str) -> DataFrame:
     """query_id, object_id, score, rank of one of METHODS."""
     name, kind = method.split("_")
@@ -67,7 +76,7 @@ def search(s: Session, method: str) -> DataFrame:
         found = lsh.probe(lsh.codes(query, s.planes), lsh.codes(s.objects, s.planes), bits, s.k, exclude_self=True)
         return lsh.rerank(found, query, s.objects, s.k).drop("n_candidates")
     if name == "ppr":
-        edges = graph.column_normalised(graph.knn_edges(s.sim[kind].where("i <> j"), s.neighbours))
+        edges = cut(graph.column_normalised(graph.nearest_edges(_rewritten(s, kind), s.neighbours, exclude_self=True)))
         nodes = s.objects.where(F.col("id").isin(sorted(s.seeds | {s.query_id}))).select(F.lit(s.query_id).alias("run"), F.col("id").alias("node"))
         scores = graph.pagerank(edges, graph.uniform_seeds(nodes), 0.65, 25)
         named = scores.select(F.col("run").alias("query_id"), F.col("node").alias("object_id"), F.round("score", 9).alias("score"))
@@ -78,11 +87,15 @@ def search(s: Session, method: str) -> DataFrame:
 
 
 def results(s: Session) -> DataFrame:
-    """method, query_id, object_id, score, rank of all eight searches."""
+    """method, query_id, object_id, score, rank of all eight searches. While both kinds ask with one vector, as at the start, each
+    search runs once for both."""
+    searched = KINDS[:1] if s.queries[KINDS[0]] == s.queries[KINDS[1]] else KINDS
     out = None
-    for method in METHODS:
-        one = search(s, method).select(F.lit(method).alias("method"), "query_id", "object_id", "score", "rank")
-        out = one if out is None else out.unionByName(one)
+    for name in ("knn", "lsh", "ppr", "prob"):
+        for kind in searched:
+            named = F.array(*[F.lit(f"{name}_{k}") for k in (KINDS if len(searched) == 1 else (kind,))])
+            one = search(s, f"{name}_{kind}").select(F.explode(named).alias("method"), "query_id", "object_id", "score", "rank")
+            out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -123,8 +136,7 @@ def step(s: Session, judge: Callable[[list], dict], draw: np.random.Generator) -
     base = s.queries[chosen.split("_")[1]]
     q_vect = rewritten_vector(base, [held[i] for i in relevant], [held[i] for i in others])
     q_prob = rewritten_odds(q_vect if chosen.endswith("vect") else base, [held[i] for i in relevant], s.counts, s.size)
-    new = replace(s, queries={"vect": q_vect, "prob": q_prob}, seeds=s.seeds | set(relevant), previous=found, probability=min(1.0, s.probability * 1.1), round=s.round + 1)
-    return replace(new, sim={kind: cut(refreshed(new, kind)) for kind in KINDS}), chosen, len(relevant) / s.k
+    return replace(s, queries={"vect": q_vect, "prob": q_prob}, seeds=s.seeds | set(relevant), previous=found, probability=min(1.0, s.probability * 1.1), round=s.round + 1), chosen, len(relevant) / s.k
 
 
 def refreshed(s: Session, kind: str) -> DataFrame:
@@ -133,4 +145,4 @@ def refreshed(s: Session, kind: str) -> DataFrame:
     unit = (q / (np.linalg.norm(q) or 1.0)).tolist()
     score = dot(normalised(F.col("vec")), F.array(*[F.lit(float(x)) for x in unit]))
     fresh = s.objects.select(F.lit(s.query_id).cast(dict(s.objects.dtypes)["id"]).alias("i"), F.col("id").alias("j"), score.alias("score"))
-    return graph.with_refreshed(s.sim[kind], fresh)
+    return graph.with_refreshed(similarity.matrix(s.objects, "cosine", dict(s.objects.dtypes)["id"]), fresh)

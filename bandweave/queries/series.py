@@ -12,6 +12,7 @@ from ..functions.bands import cumulative_bands, sampled_bands
 from ..functions.ids import canonical, display, half_even
 from ..operators import feedback as fb
 from ..operators import sequence, similarity, symbolic, weights
+from ..operators.latent import Technique, latent, topic_terms
 from ..plans.stages import cut
 from ..sources.series import event_series, order_series
 
@@ -177,6 +178,36 @@ def seq_vectors(spark, d):
     return seq.select(*KEY, F.posexplode("seq").alias("place", "s")).select(*KEY, long("place").alias("place"), long("s.t").alias("t"), "s.word", r6("s.tf").alias("tf"), r6("s.tfidf").alias("tfidf"))
 
 
+def _word_vectors(spark, d) -> tuple[DataFrame, DataFrame]:
+    """id and vec, the TF-IDF of every word of the vocabulary, written down; and the vocabulary."""
+    words = _words(spark, d)
+    vocab = cut(weights.vocabulary(words))
+    return cut(weights.dense(weights.tf_idf(words), vocab, words, "tfidf").withColumnRenamed("object_id", "id")), vocab
+
+
+def word_latent_topk(spark, d):
+    """Cosine search among the latent vectors that each technique gives of the objects' word weights."""
+    objects, _ = _word_vectors(spark, d)
+    out = None
+    for technique in Technique:
+        held = cut(latent(objects, technique)[0])
+        top = similarity.top_k(held.where(F.col("id") % 20 == 0), held, "cosine", 10, exclude_self=True)
+        one = top.select(F.lit(technique.value).alias("technique"), "query_id", "object_id", kept("score"), long("rank").alias("rank"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def word_topic_terms(spark, d):
+    """The words of each latent topic by falling score, for techniques whose signs are settled."""
+    objects, vocab = _word_vectors(spark, d)
+    names = vocab.select("dim", F.concat_ws(":", *DIMS).alias("term"))
+    out = None
+    for technique in (Technique.SVD, Technique.NMF, Technique.LDA):
+        one = topic_terms(latent(objects, technique)[1], names).select(F.lit(technique.value).alias("technique"), "topic", long("rank").alias("rank"), "term", "score")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def id_normalise(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet")
     padded = canonical(F.concat_ws("_", c.c_custkey, c.c_nationkey))
@@ -486,6 +517,6 @@ QUERIES = {
     for f in (
         series_minmax, series_stats, band_histogram, band_histogram_left, words_sliding, word_avg, segment_means, word_count, tf, idf, tfidf, idf2_tfidf2, vocab_index, entropy_weights, dense_vectors, seq_vectors,
         id_normalise, round_half_even, bag_cosine_topk, bag_counts_topk, bag_tf_topk, bag_tfidf2_topk, bag_euclid_topk, dot_topk, seq_cosine_topk, seq_euclid_topk, edit_topk, dtw_topk, edit_matrix_scaled, dtw_matrix_scaled, prob_weights_init, prob_weights_feedback, prob_topk,
-        rocchio, query_change, relative_importance, feedback_curve,
+        rocchio, query_change, relative_importance, feedback_curve, word_latent_topk, word_topic_terms,
     )
 }

@@ -11,6 +11,7 @@ from bandweave.functions import bands, ids, vectors
 from bandweave.operators import classify, cluster, feedback, graph, lsh, report, sequence, similarity, symbolic, weights
 from bandweave.operators.latent import Technique, latent, sim_rows, topic_terms
 from bandweave.plans.stages import Stages
+from bandweave.queries import series as series_queries
 from bandweave.queries import vectors as vector_queries
 from bandweave.sources import files, series
 
@@ -175,6 +176,29 @@ def test_lsh_recall_against_brute_force(spark, data):
     assert grown >= 0.9 > registered
 
 
+def test_lsh_search_recall(spark, data):
+    """24 tables, within one bit: at least 0.9 of the exact ten nearest."""
+    exact = vector_queries.latent_cosine_topk(spark, data).select("query_id", "object_id").cache()
+    found = vector_queries.lsh_search(spark, data)
+    assert exact.join(found, ["query_id", "object_id"], "left_semi").count() >= 0.9 * exact.count()
+
+
+def test_word_search_among_svd_and_pca_values(spark, data):
+    objects, _ = series_queries._word_vectors(spark, data)
+    rows = objects.orderBy("id").toPandas()
+    x, ids = np.array(rows.vec.tolist()), rows.id.to_numpy()
+    got = series_queries.word_latent_topk(spark, data).toPandas()
+    assert set(got.technique) == {"pca", "svd", "nmf", "lda"}
+    assert (got.groupby(["technique", "query_id"]).size() == 10).all()
+    for name, m in (("svd", x), ("pca", x - x.mean(0))):
+        z = m @ np.linalg.svd(m, full_matrices=False)[2][:4].T
+        z /= np.linalg.norm(z, axis=1, keepdims=True)
+        cosine = {(a, b): z[i] @ z[j] for i, a in enumerate(ids) if a % 20 == 0 for j, b in enumerate(ids)}
+        for r in got[got.technique == name].itertuples():
+            better = sum(s > r.score + 1e-6 for (a, b), s in cosine.items() if a == r.query_id and b != a)
+            assert cosine[r.query_id, r.object_id] == pytest.approx(r.score, abs=1e-6) and better < r.rank
+
+
 def test_knn_ties_grow_k(spark):
     rows = [(1, 1, "a"), (1, 2, "b"), (1, 3, "b"), (2, 1, "a"), (2, 2, "b")]
     got = {r.query_id: (r.predicted, r.k_used) for r in classify.knn_votes(spark.createDataFrame(rows, "query_id long, rank int, class string"), 2).collect()}
