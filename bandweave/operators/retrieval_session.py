@@ -24,7 +24,8 @@ METHODS = tuple(f"{m}_{k}" for m in ("knn", "lsh", "ppr", "prob") for k in KINDS
 
 @dataclass(frozen=True)
 class Session:
-    """objects: id, vec. queries: the rewritten vector of each kind, which takes the place of the query object's own."""
+    """objects: id, vec. queries: the rewritten vector of each kind, which takes the place of the query object's own. coded: the
+    objects' codes, written down once."""
 
     objects: DataFrame
     query_id: int
@@ -32,6 +33,7 @@ class Session:
     counts: list[int]
     size: int
     planes: np.ndarray
+    coded: DataFrame
     k: int = 10
     neighbours: int = 10
     seeds: frozenset = frozenset()
@@ -52,7 +54,8 @@ def start(objects: DataFrame, query_id: int, k: int = 10, bits: int = 8, tables:
     counts = [0] * len(vec)
     for r in held:
         counts[r.d] = r.n
-    return Session(objects, query_id, dict.fromkeys(KINDS, vec), counts, objects.count(), lsh.planes(len(vec), bits, tables, seed), k)
+    planes = lsh.planes(len(vec), bits, tables, seed)
+    return Session(objects, query_id, dict.fromkeys(KINDS, vec), counts, objects.count(), planes, cut(lsh.codes(objects, planes)), k)
 
 
 def _asked(s: Session, kind: str) -> DataFrame:
@@ -73,7 +76,7 @@ def search(s: Session, method: str) -> DataFrame:
         return similarity.top_k(query, s.objects, "euclidean", s.k, exclude_self=True, kind=dict(s.objects.dtypes)["id"])
     if name == "lsh":
         bits = s.planes.shape[1]
-        found = lsh.probe(lsh.codes(query, s.planes), lsh.codes(s.objects, s.planes), bits, s.k, exclude_self=True)
+        found = lsh.probe(cut(lsh.codes(query, s.planes)), s.coded, bits, s.k, exclude_self=True)
         return lsh.rerank(found, query, s.objects, s.k).drop("n_candidates")
     if name == "ppr":
         edges = cut(graph.column_normalised(graph.nearest_edges(_rewritten(s, kind), s.neighbours, exclude_self=True)))
