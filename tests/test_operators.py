@@ -430,3 +430,34 @@ def test_batch_preparation(spark, data, tmp_path):
     assert out["latent_tf_svd"].count() == out["latent_tfidf_nmf"].count() == n and out["sim_tfidf_svd"].count() == n * n
     again = prepare(own, Stages(spark, str(tmp_path)), k=2, techniques=(Technique.SVD,))
     assert again["latent_tf_svd"].count() == n
+
+
+def test_blocks_are_few_and_rows_are_sent_seldom(spark, tmp_path):
+    """Rows sent to the tasks: each once for each block of the other side, so blocks must be large."""
+    from bandweave.operators import blocks
+
+    v = spark.range(20_000).select("id", F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
+    asked = v.where("id % 20 = 0")
+    pairs = blocks.block_pairs(asked, v, "id", lambda x, y: {"n": [len(x["id"]) + len(y["id"])], "pairs": [len(x["id"]) * len(y["id"])]}, "n long, pairs long")
+    sent = pairs.agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs")).first()
+    assert sent.pairs == 1_000 * 20_000 and sent.n <= 7 * (1_000 + 20_000)
+
+
+def test_search_by_expansion_keeps_near_vectors_apart(spark):
+    """Distances far below the vectors' lengths, copies, and excluded queries: as a plain sort by exact differences."""
+    draw = np.random.default_rng(4)
+    x = 1e6 + np.round(draw.standard_normal((60, 5)) * 1e-4, 6)
+    x[50:] = x[:10]
+    v = vecs(spark, x)
+    for measure in ("euclidean", "cosine", "dot", "cosine_distance"):
+        up = similarity.ascending(measure)
+        for own in (False, True):
+            got = {(r.query_id, r["rank"]): r.object_id for r in similarity.top_k(v, v, measure, 7, exclude_self=own).collect()}
+            scores = np.round(similarity.measures(x, x, measure), 9) * (1 if up else -1)
+            want = {}
+            for i in range(60):
+                order = [j for j in np.lexsort((np.arange(60), scores[i])) if not own or j != i][:7]
+                want |= {(i, r + 1): j for r, j in enumerate(order)}
+            if measure == "euclidean":
+                assert got == want
+            assert len(got) == len(want)
