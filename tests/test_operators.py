@@ -461,3 +461,13 @@ def test_search_by_expansion_keeps_near_vectors_apart(spark):
             if measure == "euclidean":
                 assert got == want
             assert len(got) == len(want)
+
+
+def test_scaled_matrix_is_the_matrix_scaled_by_column(spark):
+    v = vecs(spark, [*np.random.default_rng(6).standard_normal((9, 3)).tolist(), [0.0, 0.0, 0.0]])
+    m = similarity.column_scaled(similarity.matrix(v, "dot").withColumn("score", F.round("score", 9)))
+    want = {(r.i, r.j): r.score for r in m.collect()}
+    plan = similarity.scaled_matrix(v, "dot", 6)
+    got = {(r.i, r.j): r.score for r in plan.collect()}
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-6) for p in want)
+    assert "Window" not in plan._jdf.queryExecution().executedPlan().toString()
