@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.vectors import dot
 from ..plans.stages import cut
-from .similarity import top_k
+from .blocks import Side, block_pairs
+from .similarity import DIGITS, _matrix, _pieces, half_up, measures, ranked, top_k
 
-#: Edges up to which PageRank runs in one task; beyond it runs as joins.
-LOCAL_EDGES = 1_000_000
+#: Edges up to which PageRank runs in one task, 24 bytes each; beyond it runs as joins.
+LOCAL_EDGES = 4_000_000
+#: Tasks that hold the edges, and runs that such a task takes together.
+GROUPS, RUNS = 24, 32
 
 
 def knn_edges(sim: DataFrame, k: int) -> DataFrame:
@@ -42,56 +46,119 @@ def knn_edges_by_place(sim: DataFrame, k: int, strict: bool = True) -> DataFrame
     return sim.join(cells, ["i", "j"]).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("score").alias("w"))
 
 
+def place_edges(objects: DataFrame, k: int, strict: bool = True) -> DataFrame:
+    """knn_edges_by_place() of the cosines of vectors (id, vec), without the table of all pairs.
+
+    Only the places of the nodes with the largest numbers are asked for: each pair of blocks counts, for each row and each of
+    them, the scores before it, and the counts add up to its place. The driver holds these k vectors.
+    """
+    objects = objects.select("id", "vec")
+    kind = dict(objects.dtypes)["id"]
+    last = sorted((r.id, r.vec) for r in objects.orderBy(F.col("id").desc()).limit(k - 1 if strict else k).collect())
+    ends, vecs = np.array([i for i, _ in last]), np.array([v for _, v in last], np.float64)
+
+    def before(left: Side, right: Side):
+        ids, others = np.asarray(left["id"]), np.asarray(right["id"])
+        by_id = np.argsort(others, kind="stable")
+        a, b, others = _matrix(left), _matrix(right)[by_id], others[by_id]
+        wanted = np.round(measures(a, vecs, "cosine"), DIGITS) if len(ends) else np.zeros((len(a), 0))
+        # equal scores count up to the node's own place by id, smaller ones on both sides of it
+        place = list(zip(np.searchsorted(others, ends), np.searchsorted(others, ends, "right"))) if len(ends) else []
+        for piece in _pieces(len(ids), len(others)):
+            scores = np.round(measures(a[piece], b, "cosine"), DIGITS)
+            n = [[np.count_nonzero(row[:p] <= x) + np.count_nonzero(row[q:] < x) for x, (p, q) in zip(own, place)] for row, own in zip(scores, wanted[piece])]
+            yield {"src": np.repeat(ids[piece], len(ends)), "end": np.tile(np.arange(len(ends)), len(scores)), "no": np.array(n, np.int64).ravel()}
+
+    places = block_pairs(objects, objects, "id", before, f"src {kind}, end long, no long").groupBy("src", "end").agg(F.sum("no").alias("no"))
+    number = objects.select("id").withColumn("no", F.row_number().over(W.orderBy("id")) - 1)  # one row for each node
+    cells = places.join(number.select(F.col("id").alias("dst"), "no"), "no").select("src", "dst")
+    pairs = cells.join(objects.select(F.col("id").alias("src"), F.col("vec").alias("a")), "src").join(objects.select(F.col("id").alias("dst"), F.col("vec").alias("b")), "dst")
+    length = F.sqrt(dot(F.col("a"), F.col("a"))) * F.sqrt(dot(F.col("b"), F.col("b")))
+    return pairs.select("src", "dst", F.round(F.coalesce(F.try_divide(dot(F.col("a"), F.col("b")), length), F.lit(0.0)), DIGITS).alias("w"))
+
+
 def column_normalised(edges: DataFrame, offset: float = 1e-7) -> DataFrame:
     """Weights divided by the sum of their column (dst) plus a small offset."""
     total = edges.groupBy("dst").agg(F.sum("w").alias("total"))
     return edges.join(total, "dst").select("src", "dst", (F.col("w") / (F.col("total") + offset)).alias("w"))
 
 
-def _local(restart: float, rounds: int):
+def _local(restart: float, rounds: int, k: int | None, digits: int):
     def run(edges: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(np.concatenate([edges.src.to_numpy(), edges.dst.to_numpy(), seeds.node.to_numpy()]))
+        asked = np.ones(len(nodes), bool)
+        if "among" in edges and len(edges):
+            asked[:] = False
+            asked[np.searchsorted(nodes, edges.src.to_numpy()[edges.among.to_numpy(bool)])] = True
+            edges = edges[~edges.among.to_numpy(bool)]
+        edges = edges.sort_values("src", kind="stable")
         src, dst = np.searchsorted(nodes, edges.src.to_numpy()), np.searchsorted(nodes, edges.dst.to_numpy())
-        w = edges.w.to_numpy()
+        w = edges.w.to_numpy()[:, None] * (1 - restart)
+        starts = np.flatnonzero(np.r_[True, src[1:] != src[:-1]][: len(src)])
+        # rows of the matrix in parts whose products stay near the core
+        parts = [(starts[p : p + 512], starts[p + 512] if p + 512 < len(starts) else len(src)) for p in range(0, len(starts), 512)]
+        names, number = np.unique(seeds.run.to_numpy(), return_inverse=True)
+        own = seeds.assign(number=number, at=np.searchsorted(nodes, seeds.node.to_numpy()))
         out = []
-        for run_id, own in seeds.groupby("run", sort=True):
-            v = np.zeros(len(nodes))
-            np.add.at(v, np.searchsorted(nodes, own.node.to_numpy()), own.p.to_numpy())
-            u = v.copy()
+        for first in range(0, len(names), RUNS):
+            mine = own[(own.number >= first) & (own.number < first + RUNS)]
+            v = np.zeros((len(nodes), min(RUNS, len(names) - first)))
+            np.add.at(v, (mine["at"].to_numpy(), mine.number.to_numpy() - first), mine.p.to_numpy())
+            u, v = v, restart * v
             for _ in range(rounds):
-                u = (1 - restart) * np.bincount(src, w * u[dst], len(nodes)) + restart * v
-            held = u > 0
-            out.append(pd.DataFrame({"run": run_id, "node": nodes[held], "score": u[held]}))
+                moved = v.copy()
+                for begin, end in parts:
+                    at = begin[0]
+                    moved[src[begin]] += np.add.reduceat(u[dst[at:end]] * w[at:end], begin - at, axis=0)
+                u = moved
+            for place, name in enumerate(names[first : first + RUNS]):
+                score = u[:, place]
+                held = np.flatnonzero((score > 0) & asked)
+                if k is not None:
+                    score = half_up(score, digits)
+                    if len(held) > k:
+                        least = np.partition(score[held], len(held) - k)[len(held) - k]
+                        above = held[score[held] > least]
+                        held = np.r_[above, held[score[held] == least][: k - len(above)]]
+                out.append(pd.DataFrame({"run": name, "node": nodes[held], "score": score[held]}))
         return pd.concat(out) if out else pd.DataFrame({"run": [], "node": [], "score": []})
 
     return run
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, restart: float, rounds: int, local_edges: int = LOCAL_EDGES, check_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, restart: float, rounds: int, local_edges: int = LOCAL_EDGES, check_every: int = 5, k: int | None = None, digits: int = 8, among: DataFrame | None = None) -> DataFrame:
     """run, node, score: personalised PageRank u = (1 - restart) A u + restart v for each run, after a fixed number of rounds.
 
     edges: normalised (src, dst, w), A[src, dst] = w. seeds: run, node, p with p summing to 1 in a run. All runs share one
     frame keyed by (run, node). Small graphs (the number of edges is checked) go through in numpy, a task for each group of
     runs; larger ones as a join and an aggregate for each round, checkpointed every few rounds. Scores of 0 are left out.
+    With k, the k best nodes of each run by their scores rounded to `digits`, which are returned; ties go to the smaller node; of
+    the nodes `among` (node) if given. Small graphs then send no other scores.
     """
     kind = dict(edges.dtypes)["src"]
     schema = f"run {dict(seeds.dtypes)['run']}, node {kind}, score double"
     if edges.limit(local_edges + 1).count() <= local_edges:
         # the edge table is bounded, so each group of runs gets a copy of it
-        groups = 16
-        spread = seeds.withColumn("g", F.pmod(F.xxhash64("run"), F.lit(groups)).cast("int"))
-        copies = edges.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        run = _local(restart, rounds)
+        spread = seeds.withColumn("g", F.pmod(F.xxhash64("run"), F.lit(GROUPS)).cast("int")).repartition(4 * GROUPS, "g")
+        held = edges.select("src", "dst", "w")
+        if among is not None:  # an edge without weight marks a node
+            marks = among.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("among"))
+            held = held.withColumn("among", F.lit(False)).unionByName(marks)
+        copies = held.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)))).repartition(4 * GROUPS, "g")
+        run = _local(restart, rounds, k, digits)
         return copies.groupBy("g").cogroup(spread.groupBy("g")).applyInPandas(lambda a, b: run(a, b) if len(b) else run(a[:0], b), schema)
     edges = cut(edges)
     v = cut(seeds.groupBy("run", "node").agg(F.sum("p").alias("p")))
     u = v.withColumnRenamed("p", "score")
-    for k in range(1, rounds + 1):
+    for n in range(1, rounds + 1):
         moved = u.join(edges, u["node"] == edges["dst"]).select("run", F.col("src").alias("node"), (F.col("score") * F.col("w") * (1 - restart)).alias("score"))
         u = moved.unionByName(v.select("run", "node", (F.col("p") * restart).alias("score"))).groupBy("run", "node").agg(F.sum("score").alias("score"))
-        if k % check_every == 0:
+        if n % check_every == 0:
             u = cut(u)
-    return u
+    if k is None:
+        return u
+    u = u.where("score > 0") if among is None else u.where("score > 0").join(among.select("node"), "node", "left_semi")
+    return ranked(u.select("run", "node", F.round("score", digits).alias("score")), k, False, "run", "node").select("run", "node", "score")
 
 
 def uniform_seeds(nodes: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ def knn_graph(spark, d):
 
 
 def knn_graph_compat(spark, d):
-    return graph.knn_edges_by_place(cut(_cosines(spark, d)), K).select("src", "dst", kept("w"))
+    return graph.place_edges(_vectors(spark, d), K).select("src", "dst", kept("w"))
 
 
 def graph_normalise(spark, d):
@@ -118,7 +118,7 @@ def ppr_topm(spark, d):
     v = _vectors(spark, d)
     seeds = _asked(v).select(F.col("id").alias("run"), F.explode(F.array("id", F.col("id") + 1)).alias("node"))
     seeds = seeds.join(v.select(F.col("id").alias("node")), "node", "left_semi").select("run", "node")
-    return _ranked_nodes(graph.pagerank(_edges(spark, d), graph.uniform_seeds(seeds), 0.65, ROUNDS), K)
+    return _ranked_nodes(graph.pagerank(_edges(spark, d), graph.uniform_seeds(seeds), 0.65, ROUNDS, k=K), K)
 
 
 def _class_seeds(v: DataFrame) -> DataFrame:
@@ -138,8 +138,8 @@ def _neighbour_votes(spark, d) -> DataFrame:
     """The ten training nodes with the largest PageRank from each other node: query_id, class, score."""
     v = _vectors(spark, d)
     seeds = graph.uniform_seeds(v.where(~_train(F.col("id"))).select(F.col("id").alias("run"), F.col("id").alias("node")))
-    scores = graph.pagerank(_edges(spark, d), seeds, 0.65, ROUNDS)
     trained = v.where(_train(F.col("id"))).select(F.col("id").alias("node"), "class")
+    scores = graph.pagerank(_edges(spark, d), seeds, 0.65, ROUNDS, k=K, among=trained)
     named = scores.join(trained, "node").select(F.col("run").alias("query_id"), F.col("node").alias("object_id"), "class", F.round("score", 8).alias("score"))
     return similarity.ranked(named.where("score > 0"), K, False)
 
@@ -155,12 +155,12 @@ def ppr_reseed(spark, d):
     v = _vectors(spark, d)
     edges = _edges(spark, d)
     own = _asked(v).select(F.col("id").alias("run"), F.col("id").alias("node"))
-    first = _ranked_nodes(graph.pagerank(edges, graph.uniform_seeds(own), 0.8, ROUNDS), K)
+    first = _ranked_nodes(graph.pagerank(edges, graph.uniform_seeds(own), 0.8, ROUNDS, k=K), K)
     found = first.select(F.col("query_id").alias("run"), F.col("object_id").alias("node"))
     wanted = v.select(F.col("id").alias("run"), F.col("class").alias("wanted"))
     relevant = found.join(wanted, "run").join(v.select(F.col("id").alias("node"), "class"), "node").where("class = wanted").select("run", "node")
     seeds = cut(own.union(relevant).distinct())
-    return _ranked_nodes(graph.pagerank(edges, graph.uniform_seeds(seeds), 0.8, ROUNDS), K)
+    return _ranked_nodes(graph.pagerank(edges, graph.uniform_seeds(seeds), 0.8, ROUNDS, k=K), K)
 
 
 # ---- hashing ----
@@ -174,27 +174,21 @@ def lsh_buckets(spark, d):
     return lsh.buckets(lsh.codes(_vectors(spark, d), PLANES)).select(long("table_id").alias("table_id"), "code", "n", "first", "last")
 
 
-def _probed(spark, d) -> DataFrame:
-    coded = cut(lsh.codes(_vectors(spark, d), PLANES))
-    return lsh.probe(coded.where("object_id % 20 = 0"), coded, 8, 50)
-
-
 def lsh_multiprobe(spark, d):
-    return _probed(spark, d).select("query_id", "object_id", long("level").alias("level"))
+    coded = cut(lsh.packed(_vectors(spark, d), PLANES))
+    return lsh.within(_asked(coded), coded, 8, 50).select("query_id", "object_id", long("level").alias("level"))
 
 
 def lsh_rerank(spark, d):
-    v = _vectors(spark, d)
-    out = lsh.rerank(_probed(spark, d), _asked(v), v, K)
+    coded = cut(lsh.packed(_vectors(spark, d), PLANES))
+    out = lsh.search(_asked(coded), coded, 8, 50, K)
     return out.select("query_id", "object_id", kept("score"), long("rank").alias("rank"), "n_candidates")
 
 
 def lsh_search(spark, d):
     """The ten nearest of the objects within one bit of the query's code in any of 24 tables: recall@10 of 0.93 and more."""
-    v = _vectors(spark, d)
-    coded = cut(lsh.codes(v, WIDE))
-    found = lsh.probe(coded.where("object_id % 20 = 0"), coded, 2, 1 << 62)  # a minimum no table reaches: always both levels
-    return _shown(lsh.rerank(found, _asked(v), v, K))
+    coded = cut(lsh.packed(_vectors(spark, d), WIDE))
+    return _shown(lsh.search(_asked(coded), coded, 2, None, K))
 
 
 # ---- classification ----

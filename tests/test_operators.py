@@ -471,3 +471,13 @@ def test_scaled_matrix_is_the_matrix_scaled_by_column(spark):
     got = {(r.i, r.j): r.score for r in plan.collect()}
     assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p], abs=1e-6) for p in want)
     assert "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_place_edges_without_all_pairs(spark):
+    """As by the table of all pairs, ties and a zero vector included."""
+    x = np.round(np.random.default_rng(8).standard_normal((40, 2)))
+    v = vecs(spark, x)
+    sim = similarity.matrix(v, "cosine").withColumn("score", F.round("score", 9))
+    rows = lambda df: sorted((r.src, r.dst, round(r.w, 9) + 0.0) for r in df.collect())
+    for k, strict in ((5, True), (5, False), (1, True)):
+        assert rows(graph.place_edges(v, k, strict)) == rows(graph.knn_edges_by_place(sim, k, strict))
