@@ -481,3 +481,26 @@ def test_place_edges_without_all_pairs(spark):
     rows = lambda df: sorted((r.src, r.dst, round(r.w, 9) + 0.0) for r in df.collect())
     for k, strict in ((5, True), (5, False), (1, True)):
         assert rows(graph.place_edges(v, k, strict)) == rows(graph.knn_edges_by_place(sim, k, strict))
+
+
+def test_probe_and_search_against_numpy(spark):
+    """Levels, candidates, their number and the nearest of them, as by comparing all codes; no pair is shuffled to find a level."""
+    x = np.random.default_rng(9).standard_normal((70, 8))
+    h = lsh.planes(8, 5, 3)
+    packed = lsh.packed(vecs(spark, x), h).cache()
+    code = np.array([[int("".join("1" if p @ v >= 0 else "0" for p in rows), 2) for rows in h] for v in x])
+    assert {r.id: r.codes for r in packed.collect()} == dict(enumerate(code.tolist()))
+    d = np.bitwise_count(code[:, None, :] ^ code[None, :, :]).min(2)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    asked = packed.where("id % 7 = 0")
+    found = {(r.query_id, r.object_id): r.level for r in lsh.within(asked, packed, 5, 30).collect()}
+    nearest = lsh.search(asked, packed, 5, 30, 4).collect()
+    every = lsh.search(asked, packed, 2, None, 4).collect()
+    for q in range(0, 70, 7):
+        level = next((n for n in range(5) if (d[q] <= n).sum() >= 30), 4)
+        near = np.flatnonzero(d[q] <= level)
+        assert {o: found[p] for p in found for o in [p[1]] if p[0] == q} == dict.fromkeys(near.tolist(), level)
+        for got, among in ((nearest, near), (every, np.flatnonzero(d[q] <= 1))):
+            best = sorted(among, key=lambda o: (-round(unit[q] @ unit[o], 9), o))[:4]
+            assert [r.object_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == best
+        assert {r.n_candidates for r in nearest if r.query_id == q} == {len(near)}
