@@ -504,3 +504,55 @@ def test_probe_and_search_against_numpy(spark):
             best = sorted(among, key=lambda o: (-round(unit[q] @ unit[o], 9), o))[:4]
             assert [r.object_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == best
         assert {r.n_candidates for r in nearest if r.query_id == q} == {len(near)}
+
+
+def _sequences(spark):
+    """Rows of 24 objects, the last twelve equal to earlier ones; some lack a sensor. Sequences by object and sensor too."""
+    draw = np.random.default_rng(12)
+    held = {}
+    for i in range(12):
+        for sensor in ("a", "b")[: 1 + i % 2] if i % 5 else ("b",):
+            held[i, sensor] = [(str(w), float(w) / 3, float(w) / 7 + 0.1) for w in draw.integers(0, 4, draw.integers(1, 5))]
+    held |= {(i + 12, s): q for (i, s), q in held.items()}
+    rows = [(i, "E", s, [(3 * n, *x) for n, x in enumerate(q)]) for (i, s), q in held.items()]
+    return held, spark.createDataFrame(rows, "object_id long, component string, sensor string, seq array<struct<t: int, word: string, avg: double, entropy: double>>")
+
+
+def _sequence_distances(held, measure):
+    """Of every pair that shares a sensor, one pair of sequences at a time."""
+    from bandweave.operators.sequence import edit, warp
+
+    row = lambda q, at: np.array([[x[at] for x in q]], np.int64 if at == 0 else np.float64)
+    out = {}
+    for (i, s), p in held.items():
+        for (j, t), q in held.items():
+            if s != t:
+                continue
+            n, m = np.array([len(p)]), np.array([len(q)])
+            if measure == "dtw":
+                d = warp(row(p, 1), n, row(q, 1), m)[0]
+            elif measure == "edit":
+                d = edit(row(p, 0), row(p, 2), n, row(q, 0), row(q, 2), m)[0]
+            else:
+                x, y = (np.array([[x[2] for x in z] + [0.0] * (9 - len(z))]) for z in (p, q))
+                d = similarity.measures(x, y, measure)[0, 0]
+            out[i, j] = out.get((i, j), 0.0) + d
+    return {p: round(d, 9) for p, d in out.items()}
+
+
+@pytest.mark.parametrize("measure", ["cosine_distance", "euclidean", "edit", "dtw"])
+def test_sequence_search_with_equal_objects(spark, measure):
+    from bandweave.operators import sequence
+
+    held, rows = _sequences(spark)
+    if measure in ("cosine_distance", "euclidean"):
+        rows = rows.withColumn("seq", F.col("seq.entropy"))
+    want = _sequence_distances(held, measure)
+    for own in (False, True):
+        got = sequence.sequence_top_k(rows.where("object_id % 4 = 0"), rows, measure, 5, exclude_self=own)
+        found = {}
+        for r in got.orderBy("query_id", "rank").collect():
+            found.setdefault(r.query_id, []).append((r.object_id, r.score))
+        for q in range(0, 24, 4):
+            best = sorted(((d, j) for (i, j), d in want.items() if i == q and not (own and i == j)))[:5]
+            assert [j for j, _ in found[q]] == [j for _, j in best] and [d for _, d in found[q]] == pytest.approx([d for d, _ in best], abs=2e-9)
