@@ -556,3 +556,18 @@ def test_sequence_search_with_equal_objects(spark, measure):
         for q in range(0, 24, 4):
             best = sorted(((d, j) for (i, j), d in want.items() if i == q and not (own and i == j)))[:5]
             assert [j for j, _ in found[q]] == [j for _, j in best] and [d for _, d in found[q]] == pytest.approx([d for d, _ in best], abs=2e-9)
+
+
+@pytest.mark.parametrize("measure", ["edit", "dtw"])
+def test_sequence_matrix_of_equal_objects(spark, measure, monkeypatch):
+    from bandweave.operators import blocks, sequence
+
+    monkeypatch.setattr(blocks, "SMALL", 4)  # several blocks
+    monkeypatch.setattr(sequence, "MEMBERS", 1)  # and groups in several rows
+    held, rows = _sequences(spark)
+    want = _sequence_distances(held, measure)
+    most = {j: max(d for (_, b), d in want.items() if b == j) for _, j in want}
+    plan = sequence.sequence_matrix(rows, measure)
+    got = [(r.i, r.j, r.score) for r in plan.collect()]
+    assert len(got) == len(want) and {(i, j) for i, j, _ in got} == set(want)
+    assert all(s == pytest.approx((most[j] - want[i, j]) / most[j] if most[j] else 0.0, abs=1e-6) for i, j, s in got)
