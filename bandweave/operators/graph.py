@@ -83,6 +83,21 @@ def column_normalised(edges: DataFrame, offset: float = 1e-7) -> DataFrame:
     return edges.join(total, "dst").select("src", "dst", (F.col("w") / (F.col("total") + offset)).alias("w"))
 
 
+def _layers(src: np.ndarray, dst: np.ndarray, w: np.ndarray, rows: int = 2_048) -> list[tuple]:
+    """Edges, sorted by src, in parts that each have a row at most once: the first edges of a range of rows, their second ones, and
+    so on, so that a part is added at once and stays near the core. Rows are a slice where none is missing."""
+    layer = np.arange(len(src)) - np.searchsorted(src, src)
+    order = np.lexsort((src, layer, src // rows))
+    src, dst, w, layer = src[order], dst[order], w[order], layer[order]
+    ends = np.flatnonzero(np.r_[(layer[1:] != layer[:-1]) | (src[1:] // rows != src[:-1] // rows), True][: len(src)]) + 1
+    out = []
+    for begin, end in zip(np.r_[0, ends[:-1]], ends):
+        own = src[begin:end]
+        whole = own[-1] - own[0] + 1 == len(own)
+        out.append((slice(own[0], own[-1] + 1) if whole else own, dst[begin:end], w[begin:end, None]))
+    return out
+
+
 def _local(restart: float, rounds: int, k: int | None, digits: int):
     def run(edges: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(np.concatenate([edges.src.to_numpy(), edges.dst.to_numpy(), seeds.node.to_numpy()]))
@@ -93,10 +108,7 @@ def _local(restart: float, rounds: int, k: int | None, digits: int):
             edges = edges[~edges.among.to_numpy(bool)]
         edges = edges.sort_values("src", kind="stable")
         src, dst = np.searchsorted(nodes, edges.src.to_numpy()), np.searchsorted(nodes, edges.dst.to_numpy())
-        w = edges.w.to_numpy()[:, None] * (1 - restart)
-        starts = np.flatnonzero(np.r_[True, src[1:] != src[:-1]][: len(src)])
-        # rows of the matrix in parts whose products stay near the core
-        parts = [(starts[p : p + 512], starts[p + 512] if p + 512 < len(starts) else len(src)) for p in range(0, len(starts), 512)]
+        parts = _layers(src, dst, edges.w.to_numpy() * (1 - restart))
         names, number = np.unique(seeds.run.to_numpy(), return_inverse=True)
         own = seeds.assign(number=number, at=np.searchsorted(nodes, seeds.node.to_numpy()))
         out = []
@@ -107,9 +119,8 @@ def _local(restart: float, rounds: int, k: int | None, digits: int):
             u, v = v, restart * v
             for _ in range(rounds):
                 moved = v.copy()
-                for begin, end in parts:
-                    at = begin[0]
-                    moved[src[begin]] += np.add.reduceat(u[dst[at:end]] * w[at:end], begin - at, axis=0)
+                for rows, others, w in parts:
+                    moved[rows] += np.take(u, others, axis=0) * w
                 u = moved
             for place, name in enumerate(names[first : first + RUNS]):
                 score = u[:, place]

@@ -571,3 +571,29 @@ def test_sequence_matrix_of_equal_objects(spark, measure, monkeypatch):
     got = [(r.i, r.j, r.score) for r in plan.collect()]
     assert len(got) == len(want) and {(i, j) for i, j, _ in got} == set(want)
     assert all(s == pytest.approx((most[j] - want[i, j]) / most[j] if most[j] else 0.0, abs=1e-6) for i, j, s in got)
+
+
+def test_pagerank_keeps_the_best_nodes(spark):
+    """Of each run, among marked nodes, ties to the smaller node: in numpy and by joins as from all scores. Rows of unequal degrees."""
+    draw = np.random.default_rng(14)
+    pairs = sorted({(int(a), int(b)) for a, b in zip(draw.integers(0, 40, 160) ** 2 // 40, draw.integers(0, 40, 160))})
+    edges = graph.column_normalised(spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, w double"))
+    seeds = graph.uniform_seeds(spark.range(0, 40, 3).select(F.col("id").alias("run"), F.col("id").alias("node")))
+    among = spark.range(0, 44, 2).select(F.col("id").alias("node"))
+    a = np.zeros((44, 44))
+    for r in edges.collect():
+        a[r.src, r.dst] = r.w
+    want = {}
+    for run in range(0, 40, 3):
+        v = np.eye(44)[run]
+        u = v
+        for _ in range(6):
+            u = 0.35 * a @ u + 0.65 * v
+        score = np.round(u, 8)
+        want[run] = [n for n in np.lexsort((np.arange(44), -score)) if n % 2 == 0 and u[n] > 0][:4]
+    for local in (1_000, 10):
+        got = graph.pagerank(edges, seeds, 0.65, 6, local_edges=local, k=4, among=among).orderBy("run", F.desc("score"), "node").collect()
+        found = {}
+        for r in got:
+            found.setdefault(r.run, []).append(r.node)
+        assert found == {run: nodes for run, nodes in want.items() if nodes}
