@@ -597,3 +597,14 @@ def test_pagerank_keeps_the_best_nodes(spark):
         for r in got:
             found.setdefault(r.run, []).append(r.node)
         assert found == {run: nodes for run, nodes in want.items() if nodes}
+
+
+def test_few_queries_go_to_many_blocks():
+    """The grid of blocks that keeps as many tasks busy and sends fewer rows; never blocks of more rows than fit."""
+    from bandweave.operators import blocks
+
+    for n, m in ((5_129, 102_564), (102_564, 5_129), (102_564, 102_564), (1, 50_000), (0, 10), (50_000, 1_000_000)):
+        i, j = blocks._grid((n, 16_384), (m, 16_384))
+        even = max(7, -(-n // 16_384)) if n >= 3_584 else max(1, -(-n // 512)), max(7, -(-m // 16_384)) if m >= 3_584 else max(1, -(-m // 512))
+        assert i * 16_384 >= n and j * 16_384 >= m and n * j + m * i <= n * even[1] + m * even[0]
+    assert blocks._grid((5_129, 16_384), (102_564, 16_384)) == (2, 25)
