@@ -98,65 +98,227 @@ def _layers(src: np.ndarray, dst: np.ndarray, w: np.ndarray, rows: int = 2_048)
     return out
 
 
-def _local(restart: float, rounds: int, k: int | None, digits: int):
+def _widths(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+#: Rounds that are pushed from a run's seeds before all nodes are worked on.
+PUSHED = 4
+#: For votes: rounds that are pushed, and those that are then pulled to the nodes that may be among a run's best, as long as that leaves
+#: it open; and how many nodes are asked for at most.
+STEPS, CONTESTED = ((4, 3), (5, 4)), 400
+#: Added to every bound on scores, more than the error of adding them up.
+NOISE = 1e-13
+
+
+class _Walk:
+    """PageRank rounds of single runs over edges sorted by src, whose weights include 1 - restart: pushed from the few nodes that a
+    run has reached, or pulled to the few that are asked for."""
+
+    def __init__(self, nodes: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, restart: float, rounds: int):
+        self.nodes, self.src, self.dst, self.w, self.restart, self.rounds = nodes, src, dst, w, restart, rounds
+        by_dst = np.argsort(dst, kind="stable")
+        self.to, self.push, self.ends = src[by_dst], w[by_dst], np.searchsorted(dst[by_dst], np.arange(nodes + 1))
+        self.begins = np.searchsorted(src, np.arange(nodes + 1))
+        # what a change of at most 1 everywhere can still come to at a node in the rounds after it, the first m left out
+        self.left, step = np.zeros((max(m for _, m in STEPS) + 1, nodes)), np.ones(nodes)
+        for n in range(rounds):
+            step = np.bincount(src, w * step[dst], minlength=nodes)
+            self.left[: n + 1] += step
+
+    def pushed(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The next round's scores."""
+        held = np.flatnonzero(u)
+        n = self.ends[held + 1] - self.ends[held]
+        at = np.repeat(self.ends[held], n) + _widths(n)
+        return np.bincount(self.to[at], self.push[at] * np.repeat(u[held], n), minlength=self.nodes) + v
+
+    def pulled(self, u: np.ndarray, v: np.ndarray, asked: np.ndarray, rounds: int) -> np.ndarray:
+        """The scores of the nodes asked for, `rounds` rounds later."""
+        if not rounds:
+            return u[asked]
+        n = self.begins[asked + 1] - self.begins[asked]
+        at = np.repeat(self.begins[asked], n) + _widths(n)
+        others, place = np.unique(self.dst[at], return_inverse=True)
+        known = self.pulled(u, v, others, rounds - 1)
+        return np.bincount(np.repeat(np.arange(len(asked)), n), self.w[at] * known[place], minlength=len(asked)) + v[asked]
+
+
+def _best(score: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
+    """The k of the held nodes with the largest scores; ties go to the smaller."""
+    if len(held) > k:
+        least = np.partition(score[held], len(held) - k)[len(held) - k]
+        above = held[score[held] > least]
+        held = np.r_[above, held[score[held] == least][: k - len(above)]]
+    return held
+
+
+def _settled(score: np.ndarray, gap: np.ndarray, asked: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The k asked nodes with the largest rounded scores and these, if scores that may still change by gap have settled them."""
+    large = np.flatnonzero(asked & (score > 1e3 * 10.0**-digits))
+    if len(large) <= k:  # the k-th of fewer nodes only makes the bound weaker
+        large = np.flatnonzero(asked)
+    if len(large) <= k:
+        return None
+    least = np.partition(score[large] - gap[large], len(large) - k)[len(large) - k] - NOISE
+    may = np.flatnonzero(asked & (score + gap >= least - 1.1 * 10.0**-digits))
+    low, high = half_up(score[may] - gap[may] - NOISE, digits), half_up(score[may] + gap[may] + NOISE, digits)
+    if half_up(least, digits) <= 0 or (low != high).any():
+        return None
+    best = _best(low, np.arange(len(may)), k)
+    return may[best], low[best]
+
+
+def _elected(walk: _Walk, seeds: np.ndarray, voters: np.ndarray, classes: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The k voters with the largest scores and their scores, as far as needed to know for certain who they are and which class wins
+    by number and by the sum of rounded scores; None if that takes more rounds. classes: of the voters, numbered."""
+    if len(voters) <= k:
+        return None
+    last, u, v, done = None, seeds, walk.restart * seeds, 0
+    for pushed, pulled in STEPS:
+        if pushed + pulled > walk.rounds:
+            return None
+        for done in range(done + 1, pushed + 1):
+            last, u = u, walk.pushed(u, v)
+        moved, own = np.abs(u - last).max(), u[voters]
+        gap = moved * walk.left[0][voters] + NOISE
+        large = own > 1e3 * 10.0**-digits
+        if np.count_nonzero(large) <= k:
+            continue
+        least = np.partition(own[large] - gap[large], -k)[-k]
+        may = np.flatnonzero(own + gap >= least - 1.1 * 10.0**-digits)
+        if len(may) > CONTESTED:
+            continue
+        asked = voters[may]
+        score = walk.pulled(u, v, asked, pulled)
+        gap = moved * walk.left[pulled][asked] + NOISE
+        low, high = half_up(score - gap, digits), half_up(score + gap, digits)
+        order = np.lexsort((asked, -score))
+        first, rest = order[:k], order[k:]
+        if low[first].min() <= 0 or high[rest].max(initial=0.0) >= low[first].min():
+            continue
+        group = classes[may[first]]
+        lows, highs = np.bincount(group, low[first]), np.bincount(group, high[first])
+        most = lows.argmax()
+        if (np.delete(highs, most) < lows[most] - 2e-9).all():
+            return asked[first], half_up(score[first], digits)
+    return None
+
+
+def _local(restart: float, rounds: int, k: int | None, digits: int, votes: bool = False):
     def run(edges: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
         nodes = np.unique(np.concatenate([edges.src.to_numpy(), edges.dst.to_numpy(), seeds.node.to_numpy()]))
-        asked = np.ones(len(nodes), bool)
+        asked, voters = np.ones(len(nodes), bool), None
         if "among" in edges and len(edges):
+            marks = edges.among.to_numpy(bool)
             asked[:] = False
-            asked[np.searchsorted(nodes, edges.src.to_numpy()[edges.among.to_numpy(bool)])] = True
-            edges = edges[~edges.among.to_numpy(bool)]
+            at = np.searchsorted(nodes, edges.src.to_numpy()[marks])
+            asked[at] = True
+            if votes:  # the weight of a mark is its class
+                voters, first = np.unique(at, return_index=True)
+                classes = np.unique(edges.w.to_numpy()[marks][first], return_inverse=True)[1]
+            edges = edges[~marks]
         edges = edges.sort_values("src", kind="stable")
         src, dst = np.searchsorted(nodes, edges.src.to_numpy()), np.searchsorted(nodes, edges.dst.to_numpy())
-        parts = _layers(src, dst, edges.w.to_numpy() * (1 - restart))
+        w = edges.w.to_numpy() * (1 - restart)
+        parts = _layers(src, dst, w)
+        # bounds hold for weights that aren't negative
+        walk = _Walk(len(nodes), src, dst, w, restart, rounds) if k is not None and len(seeds) and (w >= 0).all() else None
+        largest = walk.left[0].max(initial=0.0) if walk is not None else 0.0
         names, number = np.unique(seeds.run.to_numpy(), return_inverse=True)
-        own = seeds.assign(number=number, at=np.searchsorted(nodes, seeds.node.to_numpy()))
+        own = seeds.assign(number=number, at=np.searchsorted(nodes, seeds.node.to_numpy())).sort_values("number", kind="stable")
+        begins = np.searchsorted(own.number.to_numpy(), np.arange(len(names) + 1))
+        places, shares = own["at"].to_numpy(), own.p.to_numpy()
         out = []
-        for first in range(0, len(names), RUNS):
-            mine = own[(own.number >= first) & (own.number < first + RUNS)]
-            v = np.zeros((len(nodes), min(RUNS, len(names) - first)))
-            np.add.at(v, (mine["at"].to_numpy(), mine.number.to_numpy() - first), mine.p.to_numpy())
-            u, v = v, restart * v
-            for _ in range(rounds):
-                moved = v.copy()
-                for rows, others, w in parts:
-                    moved[rows] += np.take(u, others, axis=0) * w
-                u = moved
-            for place, name in enumerate(names[first : first + RUNS]):
+
+        def told(name, held: np.ndarray, score: np.ndarray) -> None:
+            out.append((name, nodes[held], score))
+
+        def seeded(number: int) -> np.ndarray:
+            mine = slice(begins[number], begins[number + 1])
+            return np.bincount(places[mine], shares[mine], minlength=len(nodes))
+
+        open_runs = np.arange(len(names))
+        if walk is not None and voters is not None:
+            unsure = []
+            for number in open_runs:
+                found = _elected(walk, seeded(number), voters, classes, k, digits)
+                if found is None:
+                    unsure.append(number)
+                else:
+                    told(names[number], *found)
+            open_runs = np.array(unsure, np.int64)
+        for first in range(0, len(open_runs), RUNS):
+            mine = open_runs[first : first + RUNS]
+            own_seeds = [seeded(number) for number in mine]
+            v, begun = restart * np.stack(own_seeds, axis=1), 0
+            if walk is not None and begins[-1] <= 16 * len(names):  # few nodes are reached at first
+                begun = min(PUSHED, rounds)
+                for place, score in enumerate(own_seeds):
+                    for _ in range(begun):
+                        score = walk.pushed(score, restart * seeded(mine[place]))
+                    own_seeds[place] = score
+            u = np.stack(own_seeds, axis=1)
+            for done in range(begun + 1, rounds + 1):
+                after = v.copy()
+                for rows, others, weight in parts:
+                    after[rows] += np.take(u, others, axis=0) * weight
+                last, u = u, after
+                if walk is None or done <= PUSHED or done == rounds:
+                    continue
+                moved, open_places = np.abs(u - last).max(0), []
+                for place, number in enumerate(mine):
+                    found = None
+                    if moved[place] * largest < 0.02 * 10.0**-digits:
+                        found = _settled(u[:, place].copy(), moved[place] * walk.left[0], asked, k, digits)
+                    if found is None:
+                        open_places.append(place)
+                    else:
+                        told(names[number], *found)
+                if len(open_places) < len(mine):
+                    mine, u, v = mine[open_places], u[:, open_places].copy(), v[:, open_places].copy()
+                if not len(mine):
+                    break
+            for place, number in enumerate(mine):
                 score = u[:, place]
                 held = np.flatnonzero((score > 0) & asked)
                 if k is not None:
                     score = half_up(score, digits)
-                    if len(held) > k:
-                        least = np.partition(score[held], len(held) - k)[len(held) - k]
-                        above = held[score[held] > least]
-                        held = np.r_[above, held[score[held] == least][: k - len(above)]]
-                out.append(pd.DataFrame({"run": name, "node": nodes[held], "score": score[held]}))
-        return pd.concat(out) if out else pd.DataFrame({"run": [], "node": [], "score": []})
+                    held = _best(score, held, k)
+                told(names[number], held, score[held])
+        if not out:
+            return pd.DataFrame({"run": [], "node": [], "score": []})
+        found, held, score = zip(*out)
+        return pd.DataFrame({"run": np.repeat(np.array(found), [len(x) for x in held]), "node": np.concatenate(held), "score": np.concatenate(score)})
 
     return run
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, restart: float, rounds: int, local_edges: int = LOCAL_EDGES, check_every: int = 5, k: int | None = None, digits: int = 8, among: DataFrame | None = None) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, restart: float, rounds: int, local_edges: int = LOCAL_EDGES, check_every: int = 5, k: int | None = None, digits: int = 8, among: DataFrame | None = None, votes: bool = False) -> DataFrame:
     """run, node, score: personalised PageRank u = (1 - restart) A u + restart v for each run, after a fixed number of rounds.
 
     edges: normalised (src, dst, w), A[src, dst] = w. seeds: run, node, p with p summing to 1 in a run. All runs share one
     frame keyed by (run, node). Small graphs (the number of edges is checked) go through in numpy, a task for each group of
     runs; larger ones as a join and an aggregate for each round, checkpointed every few rounds. Scores of 0 are left out.
     With k, the k best nodes of each run by their scores rounded to `digits`, which are returned; ties go to the smaller node; of
-    the nodes `among` (node) if given. Small graphs then send no other scores.
+    the nodes `among` (node) if given. Small graphs then send no other scores, and leave out a run's further rounds where bounds
+    prove that they can't change what it returns. With votes, among has a class too, and what they can't change is which nodes
+    are returned and which class wins by number and by the sum of rounded scores to nine digits; the scores may still change.
     """
     kind = dict(edges.dtypes)["src"]
     schema = f"run {dict(seeds.dtypes)['run']}, node {kind}, score double"
     if edges.limit(local_edges + 1).count() <= local_edges:
         # the edge table is bounded, so each group of runs gets a copy of it
-        spread = seeds.withColumn("g", F.pmod(F.xxhash64("run"), F.lit(GROUPS)).cast("int")).repartition(4 * GROUPS, "g")
+        groups = max(1, seeds.select("run").distinct().limit(GROUPS).count())
+        spread = seeds.withColumn("g", F.pmod(F.xxhash64("run"), F.lit(groups)).cast("int")).repartition(4 * groups, "g")
         held = edges.select("src", "dst", "w")
-        if among is not None:  # an edge without weight marks a node
-            marks = among.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w"), F.lit(True).alias("among"))
+        if among is not None:  # a further edge marks a node
+            mark = F.coalesce(F.col("class").cast("double"), F.lit(float("nan"))) if votes else F.lit(0.0)
+            marks = among.select(F.col("node").alias("src"), F.col("node").alias("dst"), mark.alias("w"), F.lit(True).alias("among"))
             held = held.withColumn("among", F.lit(False)).unionByName(marks)
-        copies = held.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)))).repartition(4 * GROUPS, "g")
-        run = _local(restart, rounds, k, digits)
+        copies = held.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(4 * groups, "g")
+        run = _local(restart, rounds, k, digits, votes)
         return copies.groupBy("g").cogroup(spread.groupBy("g")).applyInPandas(lambda a, b: run(a, b) if len(b) else run(a[:0], b), schema)
     edges = cut(edges)
     v = cut(seeds.groupBy("run", "node").agg(F.sum("p").alias("p")))

@@ -135,11 +135,11 @@ def ppr_classify(spark, d):
 
 
 def _neighbour_votes(spark, d) -> DataFrame:
-    """The ten training nodes with the largest PageRank from each other node: query_id, class, score."""
+    """The ten training nodes with the largest PageRank from each other node: query_id, class, score (as exact as votes need)."""
     v = _vectors(spark, d)
     seeds = graph.uniform_seeds(v.where(~_train(F.col("id"))).select(F.col("id").alias("run"), F.col("id").alias("node")))
     trained = v.where(_train(F.col("id"))).select(F.col("id").alias("node"), "class")
-    scores = graph.pagerank(_edges(spark, d), seeds, 0.65, ROUNDS, k=K, among=trained)
+    scores = graph.pagerank(_edges(spark, d), seeds, 0.65, ROUNDS, k=K, among=trained, votes=True)
     named = scores.join(trained, "node").select(F.col("run").alias("query_id"), F.col("node").alias("object_id"), "class", F.round("score", 8).alias("score"))
     return similarity.ranked(named.where("score > 0"), K, False)
 

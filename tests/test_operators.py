@@ -608,3 +608,56 @@ def test_few_queries_go_to_many_blocks():
         even = max(7, -(-n // 16_384)) if n >= 3_584 else max(1, -(-n // 512)), max(7, -(-m // 16_384)) if m >= 3_584 else max(1, -(-m // 512))
         assert i * 16_384 >= n and j * 16_384 >= m and n * j + m * i <= n * even[1] + m * even[0]
     assert blocks._grid((5_129, 16_384), (102_564, 16_384)) == (2, 25)
+
+
+def _neighbour_graph(seed: int, nodes: int = 600, degree: int = 6):
+    import pandas as pd
+
+    draw = np.random.default_rng(seed)
+    a = np.zeros((nodes, nodes))
+    for i in range(nodes):
+        a[i, draw.choice(np.delete(np.arange(nodes), i), degree, replace=False)] = draw.uniform(0.5, 1, degree)
+    a /= a.sum(0) + 1e-7
+    src, dst = np.nonzero(a)
+    scores = lambda seed, restart: [u := seed, *(u := (1 - restart) * a @ u + restart * seed for _ in range(25))][-1]
+    return pd.DataFrame({"src": src, "dst": dst, "w": a[src, dst]}), scores
+
+
+def test_pagerank_stops_where_rounds_change_nothing(monkeypatch):
+    """The same rounded scores and nodes as after all rounds, for runs of one and of several seeds, most of them from fewer rounds."""
+    import pandas as pd
+
+    edges, scores = _neighbour_graph(21)
+    settled, found = graph._settled, []
+    monkeypatch.setattr(graph, "_settled", lambda *x: (out := settled(*x), found.append(out is not None))[0])
+    seeds = pd.DataFrame({"run": [0, 1, 1, 2, *range(3, 40)], "node": [5, 7, 9, 11, *range(100, 137)], "p": [1, 0.5, 0.5, *[1.0] * 38]})
+    for restart in (0.65, 0.8):
+        got = graph._local(restart, 25, 10, 8)(edges, seeds)
+        for run, own in seeds.groupby("run"):
+            score = np.round(scores(np.bincount(own.node, own.p, minlength=600), restart), 8)
+            best = np.lexsort((np.arange(600), -score))[:10]
+            mine = got[got.run == run].sort_values(["score", "node"], ascending=[False, True])
+            assert mine.node.tolist() == best.tolist() and np.allclose(mine.score, score[best], atol=1e-12)
+    assert sum(found) >= 60  # of 80 runs
+
+
+def test_votes_take_few_rounds(monkeypatch):
+    """The same voters and winners as from all rounds; most runs need no round over all nodes, and those in doubt get all."""
+    import pandas as pd
+
+    edges, scores = _neighbour_graph(22)
+    classes = np.random.default_rng(23).integers(0, 4, 600)
+    voters = np.arange(0, 600, 3)
+    marked = pd.concat([edges.assign(among=False), pd.DataFrame({"src": voters, "dst": voters, "w": classes[voters].astype(float), "among": True})])
+    runs = np.setdiff1d(np.arange(600), voters)[:200]
+    elected, found = graph._elected, []
+    monkeypatch.setattr(graph, "_elected", lambda *x: (out := elected(*x), found.append(out is not None))[0])
+    got = graph._local(0.65, 25, 10, 8, True)(marked, pd.DataFrame({"run": runs, "node": runs, "p": 1.0}))
+    count = lambda nodes, weights: np.round(np.bincount(classes[nodes], weights, minlength=4), 9).argmax()
+    for run in runs:
+        score = np.round(scores(np.eye(600)[run], 0.65), 8)
+        best = voters[np.lexsort((voters, -score[voters]))[:10]]
+        best, mine = best[score[best] > 0], got[(got.run == run) & (got.score > 0)]
+        assert sorted(mine.node) == sorted(best)  # none where no other node has the run's among its nearest
+        assert count(mine.node, None) == count(best, None) and count(mine.node, mine.score) == count(best, score[best])
+    assert 100 <= sum(found) and len(found) == 200
