@@ -32,6 +32,15 @@ def nearest_edges(objects: DataFrame, k: int, exclude_self: bool = False) -> Dat
     return top.select(F.col("query_id").alias("src"), F.col("object_id").alias("dst"), F.col("score").alias("w"))
 
 
+def edges_with(edges: DataFrame, node, scores: DataFrame, k: int) -> DataFrame:
+    """nearest_edges() of a table with one more node, from those of the others (exclude_self) and its scores with them (id, w): no
+    pair of the others is compared again."""
+    into = scores.select(F.col("id").alias("i"), F.lit(node).cast(dict(edges.dtypes)["dst"]).alias("j"), F.col("w").alias("score"))
+    held = knn_edges(edges.select(F.col("src").alias("i"), F.col("dst").alias("j"), F.col("w").alias("score")).unionByName(into), k)
+    own = scores.orderBy(F.col("w").desc(), "id").limit(k).select(F.lit(node).cast(dict(edges.dtypes)["src"]).alias("src"), F.col("id").alias("dst"), "w")
+    return held.unionByName(own)
+
+
 def knn_edges_by_place(sim: DataFrame, k: int, strict: bool = True) -> DataFrame:
     """The truncation that reads ranks as places: with nodes numbered from 0 in id order, cell (i, c) stays if the node at
     ascending place c of row i has a number above n - k (from n - k on, if not strict). Kept for comparison only."""

@@ -25,7 +25,7 @@ METHODS = tuple(f"{m}_{k}" for m in ("knn", "lsh", "ppr", "prob") for k in KINDS
 @dataclass(frozen=True)
 class Session:
     """objects: id, vec. queries: the rewritten vector of each kind, which takes the place of the query object's own. coded: the
-    objects' codes, written down once."""
+    objects' codes, and near: the nearest-neighbour edges among the objects but the query's, both written down once."""
 
     objects: DataFrame
     query_id: int
@@ -34,6 +34,7 @@ class Session:
     size: int
     planes: np.ndarray
     coded: DataFrame
+    near: DataFrame
     k: int = 10
     neighbours: int = 10
     seeds: frozenset = frozenset()
@@ -55,17 +56,21 @@ def start(objects: DataFrame, query_id: int, k: int = 10, bits: int = 8, tables:
     for r in held:
         counts[r.d] = r.n
     planes = lsh.planes(len(vec), bits, tables, seed)
-    return Session(objects, query_id, dict.fromkeys(KINDS, vec), counts, objects.count(), planes, cut(lsh.codes(objects, planes)), k)
+    near = cut(graph.nearest_edges(objects.where(F.col("id") != query_id), Session.neighbours, exclude_self=True))
+    return Session(objects, query_id, dict.fromkeys(KINDS, vec), counts, objects.count(), planes, cut(lsh.codes(objects, planes)), near, k)
 
 
 def _asked(s: Session, kind: str) -> DataFrame:
     return s.objects.sparkSession.createDataFrame([(s.query_id, [float(x) for x in s.queries[kind]])], f"id {dict(s.objects.dtypes)['id']}, vec array<double>")
 
 
-def _rewritten(s: Session, kind: str) -> DataFrame:
-    """The objects, the query's vector in place of its object's: their similarities are those with the query's row and column refreshed."""
+def _edges(s: Session, kind: str) -> DataFrame:
+    """The neighbour graph with the query's vector in place of its object's: all that depends on it are the cosines with it."""
     q = F.array(*[F.lit(float(x)) for x in s.queries[kind]])
-    return s.objects.select("id", F.when(F.col("id") == s.query_id, q).otherwise(F.col("vec")).alias("vec"))
+    length = F.sqrt(dot(F.col("vec"), F.col("vec"))) * float(np.linalg.norm(s.queries[kind]))
+    cosine = F.round(F.coalesce(F.try_divide(dot(F.col("vec"), q), length), F.lit(0.0)), similarity.DIGITS)
+    scores = cut(s.objects.where(F.col("id") != s.query_id).select("id", cosine.alias("w")))
+    return graph.edges_with(s.near, s.query_id, scores, s.neighbours)
 
 
 def search(s: Session, method: str) -> DataFrame:
@@ -79,9 +84,9 @@ def search(s: Session, method: str) -> DataFrame:
         found = lsh.probe(cut(lsh.codes(query, s.planes)), s.coded, bits, s.k, exclude_self=True)
         return lsh.rerank(found, query, s.objects, s.k).drop("n_candidates")
     if name == "ppr":
-        edges = cut(graph.column_normalised(graph.nearest_edges(_rewritten(s, kind), s.neighbours, exclude_self=True)))
+        edges = cut(graph.column_normalised(cut(_edges(s, kind))))
         nodes = s.objects.where(F.col("id").isin(sorted(s.seeds | {s.query_id}))).select(F.lit(s.query_id).alias("run"), F.col("id").alias("node"))
-        scores = graph.pagerank(edges, graph.uniform_seeds(nodes), 0.65, 25)
+        scores = graph.pagerank(edges, graph.uniform_seeds(nodes), 0.65, 25, k=s.k + 1, digits=9)  # the query may be among them
         named = scores.select(F.col("run").alias("query_id"), F.col("node").alias("object_id"), F.round("score", 9).alias("score"))
         return similarity.ranked(named.where("object_id <> query_id"), s.k, False)
     q = F.array(*[F.lit(float(x)) for x in s.queries[kind]])

@@ -661,3 +661,27 @@ def test_votes_take_few_rounds(monkeypatch):
         assert sorted(mine.node) == sorted(best)  # none where no other node has the run's among its nearest
         assert count(mine.node, None) == count(best, None) and count(mine.node, mine.score) == count(best, score[best])
     assert 100 <= sum(found) and len(found) == 200
+
+
+def test_one_more_node_changes_few_edges(spark):
+    """The graph with a node from that without it, equal vectors and a zero vector among the others."""
+    x = np.random.default_rng(31).integers(-2, 3, (60, 3)).astype(float)
+    x[5], x[6] = x[4], 0
+    v = vecs(spark, x)
+    for node in (0, 6, 30):
+        others = v.where(F.col("id") != node)
+        scores = similarity.top_k(v.where(F.col("id") == node), others, "cosine", 100).select(F.col("object_id").alias("id"), F.col("score").alias("w"))
+        got = graph.edges_with(graph.nearest_edges(others, 4, exclude_self=True), node, scores, 4).collect()
+        want = graph.nearest_edges(v, 4, exclude_self=True).collect()
+        assert sorted((r.src, r.dst, r.w) for r in got) == sorted((r.src, r.dst, r.w) for r in want)
+
+
+def test_a_session_compares_its_objects_once(spark, data, monkeypatch):
+    from bandweave.operators import retrieval_session as rs
+
+    made = []
+    nearest = graph.nearest_edges
+    monkeypatch.setattr(graph, "nearest_edges", lambda *x, **y: (made.append(1), nearest(*x, **y))[1])
+    v = spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id < 60").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    s, _, _ = rs.step(rs.start(v, 3, k=5), lambda ids: {i: 1 if i % 2 else -1 for i in ids}, np.random.default_rng(0))
+    assert {r.method for r in rs.results(s).collect()} >= set(rs.METHODS) - {"ppr_vect", "ppr_prob"} and len(made) == 1
