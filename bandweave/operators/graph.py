@@ -149,9 +149,12 @@ class _Walk:
             return u[asked]
         n = self.begins[asked + 1] - self.begins[asked]
         at = np.repeat(self.begins[asked], n) + _widths(n)
-        others, place = np.unique(self.dst[at], return_inverse=True)
-        known = self.pulled(u, v, others, rounds - 1)
-        return np.bincount(np.repeat(np.arange(len(asked)), n), self.w[at] * known[place], minlength=len(asked)) + v[asked]
+        if rounds == 1:
+            known = u[self.dst[at]]
+        else:
+            others, place = np.unique(self.dst[at], return_inverse=True)
+            known = self.pulled(u, v, others, rounds - 1)[place]
+        return np.bincount(np.repeat(np.arange(len(asked)), n), self.w[at] * known, minlength=len(asked)) + v[asked]
 
 
 def _best(score: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
