@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ from .similarity import DIGITS, _matrix, _pieces, half_up, measures, ranked, top
 
 #: Edges up to which PageRank runs in one task, 24 bytes each; beyond it runs as joins.
 LOCAL_EDGES = 4_000_000
-#: Tasks that hold the edges, and runs that such a task takes together.
-GROUPS, RUNS = 24, 32
+#: Tasks that hold the edges, edges that travel in one row, and runs that such a task takes together.
+GROUPS, EDGES, RUNS = 24, 262_144, 32
 
 
 def knn_edges(sim: DataFrame, k: int) -> DataFrame:
@@ -320,18 +321,40 @@ def pagerank(edges: DataFrame, seeds: DataFrame, restart: float, rounds: int, lo
     """
     kind = dict(edges.dtypes)["src"]
     schema = f"run {dict(seeds.dtypes)['run']}, node {kind}, score double"
-    if edges.limit(local_edges + 1).count() <= local_edges:
-        # the edge table is bounded, so each group of runs gets a copy of it
+    n_edges = edges.limit(local_edges + 1).count()
+    if n_edges <= local_edges:
+        # the edge table is bounded, so each group of runs reads all of it
         groups = max(1, seeds.select("run").distinct().limit(GROUPS).count())
-        spread = seeds.withColumn("g", F.pmod(F.xxhash64("run"), F.lit(groups)).cast("int")).repartition(4 * groups, "g")
+        spread = seeds.select("run", "node", "p", F.pmod(F.xxhash64("run"), F.lit(groups)).cast("int").alias("g")).repartitionById(groups, "g")
+        spread = spread.groupBy("g").agg(F.collect_list(F.struct("run", "node", "p")).alias("seeds"))
         held = edges.select("src", "dst", "w")
         if among is not None:  # a further edge marks a node
             mark = F.coalesce(F.col("class").cast("double"), F.lit(float("nan"))) if votes else F.lit(0.0)
             marks = among.select(F.col("node").alias("src"), F.col("node").alias("dst"), mark.alias("w"), F.lit(True).alias("among"))
             held = held.withColumn("among", F.lit(False)).unionByName(marks)
-        copies = held.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(4 * groups, "g")
+        rows = F.collect_list(F.struct(*held.columns)).alias("edges")
+        if n_edges <= EDGES:
+            parts = held.agg(rows)  # a row even without edges
+        else:  # shuffled once; each group reads the rows of all parts
+            slots = -(-n_edges // EDGES)
+            parts = held.withColumn("slot", F.pmod(F.xxhash64("src", "dst"), F.lit(slots)).cast("int")).repartitionById(slots, "slot").groupBy("slot").agg(rows).coalesce(1)
         run = _local(restart, rounds, k, digits, votes)
-        return copies.groupBy("g").cogroup(spread.groupBy("g")).applyInPandas(lambda a, b: run(a, b) if len(b) else run(a[:0], b), schema)
+
+        def in_groups(batches):
+            seeded, parts = {}, {}
+            for batch in batches:
+                for g, own, part in zip(batch.column("g").to_pylist(), batch.column("seeds"), batch.column("edges")):
+                    seeded.setdefault(g, own.values)
+                    parts.setdefault(g, []).append(part.values)
+            frame = lambda rows: pd.DataFrame({f.name: c.to_numpy(zero_copy_only=False) for f, c in zip(rows.type, rows.flatten())})
+            for g, own in seeded.items():
+                rows = pa.concat_arrays(parts[g])
+                out = run(frame(rows), frame(own))
+                if len(out):
+                    types = own.type.field("run").type, rows.type.field("src").type, pa.float64()
+                    yield pa.RecordBatch.from_arrays([pa.array(out[c].to_numpy(), type=t) for c, t in zip(out.columns, types)], ["run", "node", "score"])
+
+        return parts.select("edges").hint("shuffle_replicate_nl").crossJoin(spread).mapInArrow(in_groups, schema)
     edges = cut(edges)
     v = cut(seeds.groupBy("run", "node").agg(F.sum("p").alias("p")))
     u = v.withColumnRenamed("p", "score")

@@ -737,3 +737,18 @@ def test_screened_search_against_all_pairs(measure, kind):
         assert np.allclose([s for _, s in got[q]], scores[q][order], rtol=1e-12, atol=2e-9)
         if kind in ("plain", "copies", "nan"):
             assert [o for o, _ in got[q]] == others[order].tolist()
+
+
+def test_pagerank_shuffles_its_edges_once(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, (i * 7 + j) % 60, 0.5 / (j + 1)) for i in range(60) for j in range(3)], "src long, dst long, w double")
+    seeds = graph.uniform_seeds(spark.createDataFrame([(r, r * 5) for r in range(6)], "run long, node long"))
+    want = {(r.run, r.node): r.score for r in graph.pagerank(edges, seeds, 0.65, 6, local_edges=10).collect()}
+    for most in (262_144, 50):
+        monkeypatch.setattr(graph, "EDGES", most)
+        one = graph.pagerank(edges, seeds, 0.65, 6)
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" in plan and "explode" not in plan
+        got = {(r.run, r.node): r.score for r in one.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    alone = graph.pagerank(edges.limit(0), seeds, 0.65, 6).collect()
+    assert {(r.run, r.node) for r in alone} == {(r, r * 5) for r in range(6)}
