@@ -347,11 +347,13 @@ def pagerank(edges: DataFrame, seeds: DataFrame, restart: float, rounds: int, lo
                     seeded.setdefault(g, own.values)
                     parts.setdefault(g, []).append(part.values)
             frame = lambda rows: pd.DataFrame({f.name: c.to_numpy(zero_copy_only=False) for f, c in zip(rows.type, rows.flatten())})
+            batch = part = None  # the copy is enough
             for g, own in seeded.items():
-                rows = pa.concat_arrays(parts[g])
-                out = run(frame(rows), frame(own))
+                rows = pa.concat_arrays(parts.pop(g))
+                types = own.type.field("run").type, rows.type.field("src").type, pa.float64()
+                rows = frame(rows)
+                out = run(rows, frame(own))
                 if len(out):
-                    types = own.type.field("run").type, rows.type.field("src").type, pa.float64()
                     yield pa.RecordBatch.from_arrays([pa.array(out[c].to_numpy(), type=t) for c, t in zip(out.columns, types)], ["run", "node", "score"])
 
         return parts.select("edges").hint("shuffle_replicate_nl").crossJoin(spread).mapInArrow(in_groups, schema)
