@@ -39,6 +39,8 @@ SENT = 8
 HOT = 5_000
 #: Bytes of a text that are hashed at once, of text whose anchors are reduced together, and of a suffix array.
 SEGMENT, CHUNK, SHARD = 8 << 20, 16 << 20, 1 << 20
+#: Rows of a batch that leaves a task, and of one that a table's reader holds.
+PIECE, READ = 1 << 16, 256
 _POSITION = np.uint64((1 << 24) - 1)
 _LOWEST = -(1 << 63)
 
@@ -166,7 +168,9 @@ def _find(batches):
         head = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1]))
         rank = np.arange(len(hashes)) - np.repeat(head, np.diff(np.append(head, len(hashes))))
         known = rank >= SENT
-        yield _batch(np.where(known, BY_CONTEXT, BY_HASH), np.where(known, mix64(digest), hashes), hashes, digest, doc, lo, hi, a, b)
+        rows = np.where(known, BY_CONTEXT, BY_HASH), np.where(known, mix64(digest), hashes), hashes, digest, doc, lo, hi, a, b
+        for at in range(0, len(hashes), PIECE):  # the receiver holds a batch as a whole
+            yield _batch(*(x[at : at + PIECE] for x in rows))
 
     for batch in batches:
         ids, a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2, 3))
@@ -223,7 +227,7 @@ def _whole_groups(batches, keys: tuple[int, ...], most: int = 0):
 
 
 def _meet(batches):
-    """Rows sorted by kind, key, digest, hash, doc, lo, a, b: the earliest context of each class of repeated anchors, and repeated
+    """Rows sorted by key, kind, digest, hash, doc, lo, a, b: the earliest context of each class of repeated anchors, and repeated
     ranges. Rows are taken batch by batch, so a key may have any number of them."""
     places, last, waiting = Places(), None, None  # waiting: the only row so far of a hash that travels by itself
     for batch in batches:
@@ -362,8 +366,9 @@ def shared_prefix(text: np.ndarray, order: np.ndarray, depth: int = SPAN) -> np.
     return same
 
 
-def _repeats(doc: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(doc, a, b, start) of the 100-byte windows of the contexts that also stand in an earlier place among them."""
+def _repeats(doc: np.ndarray, start: np.ndarray, part: np.ndarray, contexts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(doc, part, start) of the 100-byte windows of the contexts that also stand in an earlier place among them. part: numbers that
+    tell the rows of a doc apart."""
     sizes = np.array([len(c) for c in contexts])
     ends = np.cumsum(sizes)
     text = np.frombuffer(b"".join(contexts), np.uint8)
@@ -372,11 +377,11 @@ def _repeats(doc: np.ndarray, start: np.ndarray, a: np.ndarray, b: np.ndarray, c
     owner = np.searchsorted(ends, order, "right")
     inside = order + SPAN <= ends[owner]
     order, run, owner = order[inside], run[inside], owner[inside]
-    doc, a, b, start = doc[owner], a[owner], b[owner], start[owner] + order - (ends - sizes)[owner]
-    by = np.lexsort((b, a, start, doc, run))
-    doc, a, b, start, run = doc[by], a[by], b[by], start[by], run[by]
-    later = Places().split([run], doc, start, a, b)[2]
-    return doc[later], a[later], b[later], start[later]
+    doc, part, start = doc[owner], part[owner], start[owner] + order - (ends - sizes)[owner]
+    by = np.lexsort((part, start, doc, run))
+    doc, part, start, run = doc[by], part[by], start[by], run[by]
+    later = Places().split([run], doc, start, part, np.zeros(len(part), np.int64))[2]
+    return doc[later], part[later], start[later]
 
 
 def _sort_shards(batches):
@@ -406,9 +411,10 @@ def _sort_shards(batches):
 
     found: list[pa.RecordBatch] = []
     for _, _, doc, lo, _, a, b, context in _whole_groups(contexts(), (0, 1), most=SHARD // 135):
-        doc, a, b, start = _repeats(doc, lo, a, b, list(context))
+        named, part = np.unique(np.stack([a, b], 1), axis=0, return_inverse=True)
+        doc, part, start = _repeats(doc, lo, part.reshape(-1), list(context))
         if len(doc):
-            yield ranges(doc, a, b, start, start + SPAN)
+            yield ranges(doc, *named[part].T, start, start + SPAN)
         yield from found
         found.clear()
     yield from found
@@ -444,9 +450,14 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc, a, b, start, end: byte ranges whose union, for each row, is what 100-byte strings that start earlier cover. docs: doc,
     text, a, b; rows with equal doc, a and b have equal texts."""
     small_batches(docs.sparkSession)
+    # the reader holds its rows' texts in arrays that grow by doubling; with 4,096 long texts the heap grows for them and stays so
+    docs.sparkSession.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ))
     row = ["doc", "a", "b"]
     found = docs.select("doc", "text", "a", "b").mapInArrow(_find, ROWS)
-    met = cut(found.repartition("key").sortWithinPartitions("kind", "key", "digest", "hash", "doc", "lo", "a", "b").mapInArrow(_meet, ROWS))
+    # the key comes first, since Spark compares by the first column before it reads rows; twice the partitions, since the rows of
+    # anchors are several times their text and a task sorts them in memory
+    parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = cut(found.repartition(parts, "key").sortWithinPartitions("key", "kind", "digest", "hash", "doc", "lo", "a", "b").mapInArrow(_meet, ROWS))
     early = met.where(F.col("kind") == RANGE).select(*row, F.col("lo").alias("start"), F.col("hi").alias("end"))
     classes = met.where(F.col("kind") == BY_HASH).select("hash", *row, "lo", "hi")
     # a hash of many contexts would be a hot key of the join, so its contexts are dealt out by a salt

@@ -76,3 +76,15 @@ def test_repeats_of_contexts():
         for d, s in zip(doc.tolist(), start.tolist()):
             marks[d].update(range(s, s + 100))
         assert marks == brute_repeats(contexts)
+
+
+def test_anchors_leave_in_small_batches():
+    text = DRAW.randbytes(3_000_000).hex()[:3_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array([7], pa.int64()), pa.array([text]), pa.array([1], pa.int64()), pa.array([2], pa.int64())], ["doc", "text", "a", "b"])
+    out = list(suffix._find([batch]))
+    assert max(x.num_rows for x in out) <= suffix.PIECE < sum(x.num_rows for x in out)
+    found = [np.concatenate(c) for c in zip(*(suffix._columns(x) for x in out))]
+    hashes, digest, _, lo, hi = suffix.anchors(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    by = np.argsort(found[5])
+    assert (found[2][by].view(np.uint64) == hashes).all() and (found[3][by].view(np.uint64) == digest).all()
+    assert (found[5][by] == lo).all() and (found[6][by] == hi).all() and set(zip(found[7].tolist(), found[8].tolist())) == {(1, 2)}
