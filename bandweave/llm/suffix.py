@@ -41,6 +41,8 @@ HOT = 5_000
 SEGMENT, CHUNK, SHARD = 8 << 20, 16 << 20, 1 << 20
 #: Rows of a batch that leaves a task, and of one that a table's reader holds.
 PIECE, READ = 1 << 16, 256
+#: Partitions whose results go to one file. They are worked on one after another, so a task holds no more than one of them.
+JOINED = 4
 _POSITION = np.uint64((1 << 24) - 1)
 _LOWEST = -(1 << 63)
 
@@ -446,6 +448,13 @@ def _remove(batches):
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _in_few_files(df: DataFrame) -> DataFrame:
+    """df in a quarter of the session's shuffle partitions, or two for each core: where Hadoop has no native library, an executor
+    starts several processes for each file that it writes."""
+    spark = df.sparkSession
+    return df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // JOINED))
+
+
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """doc, a, b, start, end: byte ranges whose union, for each row, is what 100-byte strings that start earlier cover. docs: doc,
     text, a, b; rows with equal doc, a and b have equal texts."""
@@ -457,7 +466,8 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     # the key comes first, since Spark compares by the first column before it reads rows; twice the partitions, since the rows of
     # anchors are several times their text and a task sorts them in memory
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = cut(found.repartition(parts, "key").sortWithinPartitions("key", "kind", "digest", "hash", "doc", "lo", "a", "b").mapInArrow(_meet, ROWS))
+    met = found.repartition(parts, "key").sortWithinPartitions("key", "kind", "digest", "hash", "doc", "lo", "a", "b").mapInArrow(_meet, ROWS)
+    met = cut(_in_few_files(met))
     early = met.where(F.col("kind") == RANGE).select(*row, F.col("lo").alias("start"), F.col("hi").alias("end"))
     classes = met.where(F.col("kind") == BY_HASH).select("hash", *row, "lo", "hi")
     # a hash of many contexts would be a hot key of the join, so its contexts are dealt out by a salt
@@ -486,7 +496,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     once = docs.groupBy("doc").count().where("count > 1").isEmpty()
     key = [F.lit(0).cast("long")] * 2 if once else [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
     docs = docs.withColumn("a", key[0]).withColumn("b", key[1])
-    spans = cut(repeated_ranges(docs)).groupBy("doc", "a", "b").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = cut(_in_few_files(repeated_ranges(docs))).groupBy("doc", "a", "b").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     joined = docs.join(spans, ["doc", "a", "b"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return joined.mapInArrow(_remove, schema)
+    return _in_few_files(joined.mapInArrow(_remove, schema))

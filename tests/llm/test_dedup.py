@@ -272,3 +272,21 @@ def test_scattered_and_short_items(spark, messy, none):
     assert {tuple(r) for r in decontam.contained_items(a, b).collect()} == want
     assert decontam.contained_items(a, b.limit(0)).count() == 0 and decontam.contained_items(none, b).count() == 0
     assert decontam.clean(messy, b).count() == len(MESSY) - 1 and decontam.clean(messy, b).columns == messy.columns
+
+
+def test_files_of_suffix_arrays(spark, monkeypatch):  # noqa: F811
+    """What is checkpointed and returned is in few files, however many partitions the shuffles have."""
+    made, cut = [], suffix.cut
+    monkeypatch.setattr(suffix, "cut", lambda df: made.append(df.rdd.getNumPartitions()) or cut(df))
+    text = "".join(f"{i} times {i * i}, " for i in range(60))
+    docs = spark.createDataFrame([(i, text[i:]) for i in range(6)], "doc_id long, text string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "48")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = suffix.deduplicated(docs)
+        assert [r.n_removed for r in out.orderBy("doc_id").collect()] == [0] + [len(text) - i for i in range(1, 6)]
+        assert max(*made, out.rdd.getNumPartitions()) <= 12
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
