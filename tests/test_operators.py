@@ -752,3 +752,21 @@ def test_pagerank_shuffles_its_edges_once(spark, monkeypatch):
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
     alone = graph.pagerank(edges.limit(0), seeds, 0.65, 6).collect()
     assert {(r.run, r.node) for r in alone} == {(r, r * 5) for r in range(6)}
+
+
+@pytest.mark.parametrize("name", ["dtw_topk"])
+def test_sequence_searches_ask_every_object(spark, data, duck, name):
+    every = {r[0] for r in duck.sql("SELECT DISTINCT user_id FROM events").fetchall()}
+    got = series_queries.QUERIES[name](spark, data).collect()
+    assert {r.query_id for r in got} == every
+    assert {r[0] for r in duck.sql(f"SELECT DISTINCT query_id FROM ({series_queries.ORACLES[name]})").fetchall()} == every
+
+
+@pytest.mark.parametrize("n, m", [(1, 1), (3, 5), (4, 0)])
+def test_distances_of_all_pairs_are_those_of_each(n, m):
+    draw = np.random.default_rng(n)
+    a, b, aw, bw = draw.random((7, n)), draw.random((6, m)), draw.integers(0, 3, (7, n)), draw.integers(0, 3, (6, m))
+    i, j = np.divmod(np.arange(42), 6)
+    sizes = np.full(42, n), np.full(42, m)
+    assert (sequence.warp_all(a, b).ravel() == sequence.warp(a[i], sizes[0], b[j], sizes[1])).all()
+    assert (sequence.edit_all(aw, a, bw, b).ravel() == sequence.edit(aw[i], a[i], sizes[0], bw[j], b[j], sizes[1])).all()
