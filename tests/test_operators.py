@@ -754,7 +754,7 @@ def test_pagerank_shuffles_its_edges_once(spark, monkeypatch):
     assert {(r.run, r.node) for r in alone} == {(r, r * 5) for r in range(6)}
 
 
-@pytest.mark.parametrize("name", ["dtw_topk"])
+@pytest.mark.parametrize("name", ["dtw_topk", "edit_topk"])
 def test_sequence_searches_ask_every_object(spark, data, duck, name):
     every = {r[0] for r in duck.sql("SELECT DISTINCT user_id FROM events").fetchall()}
     got = series_queries.QUERIES[name](spark, data).collect()
