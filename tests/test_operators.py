@@ -770,3 +770,22 @@ def test_distances_of_all_pairs_are_those_of_each(n, m):
     sizes = np.full(42, n), np.full(42, m)
     assert (sequence.warp_all(a, b).ravel() == sequence.warp(a[i], sizes[0], b[j], sizes[1])).all()
     assert (sequence.edit_all(aw, a, bw, b).ravel() == sequence.edit(aw[i], a[i], sizes[0], bw[j], b[j], sizes[1])).all()
+
+
+@pytest.mark.parametrize("measure", ["edit", "dtw"])
+def test_pairs_of_equal_objects_leave_numpy_as_lists(spark, measure, monkeypatch):
+    from bandweave.operators import blocks
+
+    _, rows = _sequences(spark)
+    made = [rows.withColumn("object_id", F.col("object_id") + 24 * n) for n in range(3)]
+    many = made[0].unionByName(made[1]).unionByName(made[2])
+    monkeypatch.setattr(blocks, "SMALL", 4)
+    asked = []
+    before = sequence.block_pairs
+    monkeypatch.setattr(sequence, "block_pairs", lambda *a, **b: asked.append(a[4]) or before(*a, **b))
+    got = sequence.sequence_matrix(many, measure).collect()
+    assert "array" in asked[-1]
+    monkeypatch.setattr(sequence, "SPREAD", 100)
+    want = sequence.sequence_matrix(many, measure).collect()
+    assert "array" not in asked[-1]
+    assert len(got) == len(want) and {tuple(r) for r in got} == {tuple(r) for r in want}
